@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines
+from . import lines, warc
 
-QUERIES = {"op3_line_dedup": lines.op3_line_dedup}
-SQL = {"op3_line_dedup": lines.OP3_SQL}
+QUERIES = {
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op8_warc": warc.op8_warc,
+}
+SQL = {
+    "op3_line_dedup": lines.OP3_SQL,
+    "op8_warc": warc.OP8_SQL,
+}
