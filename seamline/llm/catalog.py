@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, warc
+from . import lines, packing, warc
 
 QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op8_warc": warc.op8_warc,
+    "op10_packing": packing.op10_packing,
 }
 SQL = {
     "op3_line_dedup": lines.OP3_SQL,
