@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import lines, packing, warc
+from . import chat, lines, packing, warc
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op3_line_dedup": lines.op3_line_dedup,
     "op8_warc": warc.op8_warc,
     "op10_packing": packing.op10_packing,
 }
 SQL = {
+    "op1_chat_format": chat.OP1_SQL,
     "op3_line_dedup": lines.OP3_SQL,
     "op8_warc": warc.OP8_SQL,
 }
