@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lines, packing, quality, warc
+from . import bpe, chat, langid, lines, packing, quality, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc": warc.op8_warc,
     "op10_packing": packing.op10_packing,
