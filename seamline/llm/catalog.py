@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, lines, packing, quality, warc
+from . import bpe, chat, langid, lines, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
