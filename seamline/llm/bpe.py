@@ -43,9 +43,9 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Ids, merges and special tokens of a tokenizer file."""
+    """Ids, merges and special tokens of a tokenizer file; `pattern` cuts texts into words, as the file does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str = WORDS):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -54,10 +54,13 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         raw = {token: bytes(map(chars.__getitem__, token)) for token in ids if all(c in chars for c in token)}
         self.of_byte = [0] * 256
+        self.of_last = [0] * 256
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         for token, b in chars.items():
-            self.of_byte[b] = ids[token]
+            self.of_byte[b], self.of_last[b] = ids[token], ids[token + suffix]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self._sorted_pairs = None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*ids.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
@@ -65,7 +68,7 @@ class Vocabulary:
             self.bytes_of[i] = raw.get(token, token.encode())
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.cut = regex.compile(WORDS).findall
+        self.cut = regex.compile(pattern).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -78,7 +81,8 @@ class Vocabulary:
         """Ids of one word: the pair of least rank is merged until none is left."""
         if word in self.special:
             return np.array([self.special[word]], "<u4").tobytes()
-        ids = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
+        raw = word.encode("utf-8", "replace")
+        ids = [self.of_byte[b] for b in raw[:-1]] + [self.of_last[b] for b in raw[-1:]]
         merges = self.merges
         while len(ids) > 1:
             best = min((merges[p] for p in zip(ids, ids[1:]) if p in merges), default=None)
@@ -95,6 +99,84 @@ class Vocabulary:
             ids = out
         return np.array(ids, "<u4").tobytes()
 
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """merged() of each word; words of like length are merged together, each its leftmost pair of least rank at a time."""
+        raw = [w.encode("utf-8", "replace") for w in words]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[bytes] = [b""] * len(words)
+        order = np.argsort(lengths, kind="stable")
+        at = 0
+        while at < len(order):
+            size = int(lengths[order[at]])
+            width = max(4, size + 1 if size < 16 else size + size // 4)
+            if size == 0 or width > 64:
+                group = order[at : at + 1] if size == 0 else order[at:]
+                for i in group:
+                    out[i] = self.merged(words[i]) if size else b""
+                at += len(group)
+                continue
+            to = min(int(np.searchsorted(lengths[order], width, "right")), at + 20_000)
+            group = order[at:to]
+            at = to
+            ids, n = self._merge_matrix([raw[i] for i in group], lengths[group], width)
+            flat = ids.astype("<u4")
+            for row, i, k in zip(flat, group.tolist(), n.tolist()):
+                out[i] = row[:k].tobytes()
+        for i, word in enumerate(words):
+            if word in self.special:
+                out[i] = self.merged(word)
+        return out
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._sorted_pairs is None:
+            keys = np.fromiter((a << 20 | b for a, b in self.merges), np.int64, len(self.merges))
+            rank, new = (np.fromiter((v[k] for v in self.merges.values()), np.int64, len(self.merges)) for k in (0, 1))
+            order = np.argsort(keys)
+            self._sorted_pairs = keys[order], rank[order], new[order]
+        return self._sorted_pairs
+
+    def _merge_matrix(self, words: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, rank, new = self._pairs()
+        never = np.int64(1 << 40)
+
+        def look(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """Places of pairs in keys, -1 for none."""
+            key = left << 20 | right
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where((keys[place] == key) & (left >= 0) & (right >= 0), place, -1)
+
+        letters = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
+        columns = np.arange(width)
+        ids = np.array(self.of_byte, np.int64)[letters]
+        last = np.array(self.of_last, np.int64)[letters]
+        ids = np.where(columns == (lengths - 1)[:, None], last, ids)
+        ids[columns >= lengths[:, None]] = -1
+        places = np.full((len(words), width), -1, np.int64)
+        places[:, :-1] = look(ids[:, :-1], ids[:, 1:])
+        ranks = np.where(places >= 0, rank[places], never)
+        n = lengths.copy()
+        rows = np.arange(len(words))
+        while True:
+            best = ranks[rows].argmin(1)
+            going = ranks[rows, best] < never
+            rows, best = rows[going], best[going]
+            if not len(rows):
+                return ids, n
+            merged = new[places[rows, best]]
+            source = np.minimum(columns + (columns > best[:, None]), width - 1)
+            moved = np.take_along_axis(ids[rows], source, 1)
+            moved[:, -1] = -1
+            k = np.arange(len(rows))
+            moved[k, best] = merged
+            spots = np.take_along_axis(places[rows], source, 1)
+            spots[:, -1] = -1
+            spots[k, best] = look(merged, np.where(best + 1 < width, moved[k, np.minimum(best + 1, width - 1)], -1))
+            before = best > 0
+            spots[k[before], best[before] - 1] = look(moved[k[before], best[before] - 1], merged[before])
+            ids[rows], places[rows] = moved, spots
+            ranks[rows] = np.where(spots >= 0, rank[spots], never)
+            n[rows] -= 1
+
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -267,7 +349,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ma
     counted = count_words(docs, tokenizer, text_col=text_col).where(F.octet_length("word") <= WORD_BYTES)
     frequent = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()]
     vocab = vocabulary(tokenizer)
-    entries = sorted((w.encode(), vocab.merged(w)) for w in frequent if w not in vocab.special)
+    words = [w for w in frequent if w not in vocab.special]
+    entries = sorted(zip(map(str.encode, words), vocab.merge_many(words)))
     path = store.scratch(spark, "bpe-lexicon")
     Transducer.build(entries).save(store.Files(path))
     return path
@@ -281,19 +364,16 @@ class Encoder:
         self.merged: dict[str, bytes] = {}
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
-        table = {}
-        numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in words])
+        numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in words]).tolist()
         ids, starts = self.lexicon.ids, self.lexicon.starts
-        for word, number in zip(words, numbers.tolist()):
-            if number >= 0 and word not in self.vocab.special:
-                table[word] = ids[starts[number] : starts[number + 1]].tobytes()
-                continue
-            known = self.merged.get(word)
-            if known is None:
-                if len(self.merged) >= HELD_WORDS:
-                    self.merged.clear()
-                known = self.merged[word] = self.vocab.merged(word)
-            table[word] = known
+        table = {w: ids[starts[k] : starts[k + 1]].tobytes() for w, k in zip(words, numbers) if k >= 0}
+        unseen = [w for w, k in zip(words, numbers) if k < 0]
+        new = [w for w in unseen if w not in self.merged]
+        if len(self.merged) + len(new) > HELD_WORDS:
+            self.merged.clear()
+            new = unseen
+        self.merged.update(zip(new, self.vocab.merge_many(new)))
+        table.update((w, self.merged[w]) for w in unseen)
         return table
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

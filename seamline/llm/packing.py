@@ -7,8 +7,10 @@ table gives an empty table. Only id_col and text_col are read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,34 +20,47 @@ from pyspark.sql import functions as F
 
 from . import store
 from .batches import bounded
+from .bpe import Vocabulary
 
 WINDOW, END_ID = 2048, 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Words, and pieces of words, whose ids a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 400_000
+#: Fixed value: how this kind of tokenizer cuts folded text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _task int, _rank long"
 
 
-class WordIds(dict):
-    """Ids of words, as little-endian 32-bit integers; asks the tokenizer for each new word.
+class WordIds:
+    """Ids of texts, as little-endian 32-bit integers, as the tokenizer file defines them.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are its words' ids.
+    The tokenizer composes characters, folds them to lower case and drops white space, which no token spans: so a
+    text's ids are its words' ids. A new word falls apart into pieces, of which each new one is merged once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-    def of_text(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        self.vocabulary = Vocabulary(path, PIECES)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _cut(self, word: str) -> list[str]:
+        vocabulary = self.vocabulary
+        if "<|" in word and any(s in word for s in vocabulary.special):
+            return [p for part in vocabulary.at_special.split(word) for p in ([part] if part in vocabulary.special else self._cut(part))]
+        return vocabulary.cut(word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        wanted = set(chain.from_iterable(split))
+        new = wanted - self.words.keys()
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            self.pieces.clear()
+            new = wanted
+        cut = {word: self._cut(word) for word in new}
+        pieces = list(set(chain.from_iterable(cut.values())) - self.pieces.keys())
+        self.pieces.update(zip(pieces, self.vocabulary.merge_many(pieces)))
+        self.words.update((word, b"".join(map(self.pieces.__getitem__, of))) for word, of in cut.items())
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -68,8 +83,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col:
         ranks = np.zeros(window + 1, np.int64)
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "_task": [], "_rank": []} | ({"ids": []} if with_ids else {})
-            for ident, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
-                ids = words.of_text(text) + end
+            for ident, ids in zip(batch.column("_id").to_pylist(), words.encode(batch.column("_text").to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
