@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, lines, packing, quality, secrets, warc
+from . import bpe, chat, jaccard, langid, lines, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc": warc.op8_warc,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_packing": packing.op10_packing,
 }
 SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_line_dedup": lines.OP3_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
 }
