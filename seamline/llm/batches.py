@@ -1,8 +1,13 @@
-"""Arrow batches of bounded size for Python workers."""
+"""Arrow batches of bounded size for Python workers, and columns that a worker adds to a table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes of a batch; long texts make batches of fewer rows.
 ROWS, BYTES = 2_000, 16 << 20
@@ -14,3 +19,21 @@ def bounded(df: DataFrame) -> DataFrame:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     return df
+
+
+def mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make: Callable[[pa.Array], list[pa.Array]], *, keep_source: bool = True) -> DataFrame:
+    """df with added columns, which make(a batch's values of source) gives; they replace columns of the same name."""
+    names = [n for n, _ in added]
+    passed = [c for c in df.columns if c not in names and (keep_source or c != source)]
+    schema = T.StructType([f for f in df.schema.fields if f.name in passed])
+    for name, kind in added:
+        schema = schema.add(name, kind)
+    extra = [] if source in passed else [F.col(f"`{source}`").alias("_source")]
+    at = passed.index(source) if source in passed else len(passed)
+    rows = bounded(df.select(*[F.col(f"`{c}`") for c in passed], *extra))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *make(batch.column(at))], names=[*passed, *names])
+
+    return rows.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import store
-from .batches import bounded
+from .batches import bounded, mapped
 
 #: Words of the lexicon and bytes of each, at most; all others are merged exactly.
 LEXICON_WORDS, WORD_BYTES = 65_536, 32
@@ -396,22 +396,6 @@ def encoder(tokenizer: str, lexicon: str) -> Encoder:
     return _ENCODERS[tokenizer, lexicon]
 
 
-def _mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make) -> DataFrame:
-    """df with the added columns, which make(values of source) gives for each batch as Arrow arrays."""
-    names = [n for n, _ in added]
-    passed = [c for c in df.columns if c not in names]
-    schema = T.StructType([f for f in df.schema.fields if f.name in passed])
-    for name, kind in added:
-        schema = schema.add(name, kind)
-    rows = bounded(df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{source}`").alias("_source")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch.column(batch.num_columns - 1))], names=[*passed, *names])
-
-    return rows.mapInArrow(run, schema)
-
-
 def encode(docs: DataFrame, tokenizer: str, lexicon: str, *, text_col: str = "text") -> DataFrame:
     """docs with ids, an array of integers."""
 
@@ -420,7 +404,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, *, text_col: str = "te
         values = pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))
         return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(m) // 4 for m in made)]), pa.int32()), values)]
 
-    return _mapped(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make)
+    return mapped(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
@@ -430,11 +414,11 @@ def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataF
         vocab = vocabulary(tokenizer)
         return [pa.array([vocab.decode(np.array(row or [], "<u4").tobytes()) for row in ids.to_pylist()], pa.string())]
 
-    return _mapped(encoded, ids_col, [("decoded_text", T.StringType())], make)
+    return mapped(encoded, ids_col, [("decoded_text", T.StringType())], make)
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str, *, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256: encode, then decode, in one pass."""
+    """docs without the text, with n_tokens, ids_sha256 and decoded_sha256: encode, then decode, in one pass."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
         made, vocab = encoder(tokenizer, lexicon).encode(texts.to_pylist()), vocabulary(tokenizer)
@@ -442,7 +426,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str, *, text_co
         return [pa.array([len(m) // 4 for m in made], pa.int64()), pa.array(list(map(digest, made)), pa.string()), pa.array([digest(vocab.decode(m).encode("utf-8", "replace")) for m in made], pa.string())]
 
     kinds = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return _mapped(docs, text_col, kinds, make)
+    return mapped(docs, text_col, kinds, make, keep_source=False)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

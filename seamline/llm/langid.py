@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import store
-from .batches import bounded
+from .batches import bounded, mapped
 
 UNKNOWN = "und"
 #: Rows that calibrate scores, at most: those of the smallest hash of their id.
@@ -243,25 +243,20 @@ def fit_identifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return Identifier(plain.languages, folder, temperature, float(np.quantile(scores, REJECT)))
 
 
-def identify(docs: DataFrame, model: Identifier, *, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Identifier, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, score and rejected."""
-    names = ["lang_pred", "score", "rejected"]
-    passed = [c for c in docs.columns if c not in names]
-    schema = T.StructType([f for f in docs.schema.fields if f.name in passed]).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType())
-    rows = bounded(docs.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").alias("_source")))
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            judged = [model.judge(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [pa.array([j[i] for j in judged], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*passed, *names])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        judged = [model.judge(text) for text in texts.to_pylist()]
+        return [pa.array([j[i] for j in judged], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
-    return rows.mapInArrow(run, schema)
+    return mapped(docs, text_col, added, make, keep_source=keep_text)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit_identifier(docs.where(~held_out))
-    judged = identify(docs.select("doc_id", "text"), model)
+    judged = identify(docs.select("doc_id", "text"), model, keep_text=False)
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

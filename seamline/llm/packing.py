@@ -82,7 +82,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col:
         words, task = word_ids(tokenizer), TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "_task": [], "_rank": []} | ({"ids": []} if with_ids else {})
+            out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "_task": [], "_rank": []}
+            pieces: list[bytes] = []
             for ident, ids in zip(batch.column("_id").to_pylist(), words.encode(batch.column("_text").to_pylist())):
                 ids += end
                 total = len(ids) // 4
@@ -93,10 +94,13 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col:
                     for name, value in zip(out, values):
                         out[name].append(value)
                     if with_ids:
-                        out["ids"].append(np.frombuffer(piece, "<u4").astype(np.int32).tolist())
+                        pieces.append(piece)
                     ranks[length] += 1
-            kinds = {"_task": pa.int32(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+            arrays = {k: pa.array(v, pa.int32() if k == "_task" else pa.int64()) for k, v in out.items()}
+            if with_ids:
+                starts = np.cumsum([0, *out["length"]])
+                arrays["ids"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(arrays)
 
     return store.written(rows.mapInArrow(cut, PIECE + ", ids array<int>" * with_ids), "pieces")
 

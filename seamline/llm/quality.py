@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import bounded
+from .batches import bounded, mapped
 
 #: Labelled documents that the trees learn from, at most: those of the smallest hash of their id.
 MAX_LABELLED = 6_000
@@ -200,35 +200,28 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_c
     return x[order], y[order]
 
 
-def apply_rules(docs: DataFrame, trees: Trees, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def apply_rules(docs: DataFrame, trees: Trees, *, text_col: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
     """docs with BASE, base_failed, quality_score and kept."""
-    out = [*BASE, "base_failed", "quality_score", "kept"]
-    passed = [c for c in docs.columns if c not in out]
-    schema = T.StructType([f for f in docs.schema.fields if f.name in passed])
-    for name in out:
-        schema = schema.add(name, T.BooleanType() if name in ("base_failed", "kept") else T.DoubleType() if name == "quality_score" else T.LongType())
-    rows = bounded(docs.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").alias("_quality_text")))
+    added = [*((name, T.LongType()) for name in BASE), ("base_failed", T.BooleanType()), ("quality_score", T.DoubleType()), ("kept", T.BooleanType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = [statistics(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            base = np.array([s[0] for s in stats], np.int64).reshape(len(stats), len(BASE))
-            score = trees.score(np.array([s[1] for s in stats], float).reshape(len(stats), len(FEATURES)))
-            failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
-            made = [*base.T, failed, score, ~failed & (score >= threshold)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(m)) for m in made)], names=[*passed, *out])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        stats = [statistics(text) for text in texts.to_pylist()]
+        base = np.array([s[0] for s in stats], np.int64).reshape(len(stats), len(BASE))
+        score = trees.score(np.array([s[1] for s in stats], float).reshape(len(stats), len(FEATURES)))
+        failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
+        return [pa.array(np.ascontiguousarray(m)) for m in (*base.T, failed, score, ~failed & (score >= threshold))]
 
-    return rows.mapInArrow(run, schema)
+    return mapped(docs, text_col, added, make, keep_source=keep_text)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, keep_text: bool = True) -> DataFrame:
     """Fits trees on labelled documents and judges all; see apply_rules."""
     x, y = labelled_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, label_id_col=label_id_col, max_labelled=max_labelled)
-    return apply_rules(docs, fit(x, y), text_col=text_col)
+    return apply_rules(docs, fit(x, y), text_col=text_col, keep_text=keep_text)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules(docs, labels)
+    judged = quality_rules(docs, labels, keep_text=False)
     return judged.select("doc_id", *BASE, "base_failed", "kept", "quality_score")
