@@ -73,7 +73,10 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The text's words; special tokens stand as they are."""
-        if self.at_special is None or not any(s in text for s in self.special):
+        for token in self.special:
+            if token in text:
+                break
+        else:
             return self.cut(text)
         return list(chain.from_iterable([part] if part in self.special else self.cut(part) for part in self.at_special.split(text)))
 
@@ -344,10 +347,17 @@ def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> D
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, *, text_col: str = "text", max_words: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words of all texts; returns the shared folder that holds the automaton."""
+    """Compiles the most frequent words of all texts, at most max_words; returns the shared folder that holds the automaton."""
     spark = docs.sparkSession
-    counted = count_words(docs, tokenizer, text_col=text_col).where(F.octet_length("word") <= WORD_BYTES)
-    frequent = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    counted = store.written(count_words(docs, tokenizer, text_col=text_col).where((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1)), "word-counts")
+    eighths = F.floor(8 * F.log2("n")).cast("int")  # some hundred different values at most
+    least, room = None, max_words
+    for eighth, many in sorted(counted.groupBy(eighths.alias("eighth")).count().collect(), reverse=True):
+        room -= many
+        if room < 0:
+            break
+        least = eighth
+    frequent = [] if least is None else [r.word for r in counted.where(eighths >= least).select("word").collect()]
     vocab = vocabulary(tokenizer)
     words = [w for w in frequent if w not in vocab.special]
     entries = sorted(zip(map(str.encode, words), vocab.merge_many(words)))
@@ -361,12 +371,13 @@ class Encoder:
 
     def __init__(self, tokenizer: str, lexicon: str):
         self.vocab, self.lexicon = vocabulary(tokenizer), Transducer.load(store.Files(lexicon))
+        self.ids, self.starts = memoryview(self.lexicon.ids.tobytes()), (4 * self.lexicon.starts).tolist()
         self.merged: dict[str, bytes] = {}
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
         numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in words]).tolist()
-        ids, starts = self.lexicon.ids, self.lexicon.starts
-        table = {w: ids[starts[k] : starts[k + 1]].tobytes() for w, k in zip(words, numbers) if k >= 0}
+        ids, starts = self.ids, self.starts
+        table = {w: ids[starts[k] : starts[k + 1]] for w, k in zip(words, numbers) if k >= 0}
         unseen = [w for w, k in zip(words, numbers) if k < 0]
         new = [w for w in unseen if w not in self.merged]
         if len(self.merged) + len(new) > HELD_WORDS:
