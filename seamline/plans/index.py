@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import infer
 from ..operators import compare, graph, search
-from ..sources import parsers
+from ..sources import artifacts, parsers
 
 #: Route decorators and HTTP client calls.
 ROUTE = r"""\.(get|post|put|patch|delete|route)\(\s*['"]([^'"]+)['"]"""
@@ -89,6 +89,13 @@ def build(files: DataFrame, parsed: DataFrame) -> Index:
     return Index(files, symbols, imports, calls, graph.upsert_nodes(reduce(DataFrame.unionByName, nodes)), graph.insert_edges(reduce(DataFrame.unionByName, edges)), parsed.where("error is not null").select("path", "error"))
 
 
+def saved(index: Index, path: str) -> Index:
+    """The index written as a folder of tables and read back, so that questions don't build it anew."""
+    tables = dict(vars(index))
+    artifacts.export_tables(tables, path, overwrite=True)
+    return Index(**artifacts.import_tables(index.files.sparkSession, path, list(tables)))
+
+
 def http_calls(calls: DataFrame) -> DataFrame:
     """Calls of HTTP clients with a literal first argument: verb, url, confidence, route_key."""
     first = F.get("arguments", F.lit(0))

@@ -37,9 +37,9 @@ def root(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def index(spark, root):
+def index(spark, root, tmp_path_factory):
     files = scan.source_files(spark, root).cache()
-    return plan.build(files, parsers.parse_files(files).cache())
+    return plan.saved(plan.build(files, parsers.parse_files(files).cache()), str(tmp_path_factory.mktemp("index")))
 
 
 def names(df, column):
