@@ -122,19 +122,22 @@ def dedup_lines(
     hits = lines.join(F.broadcast(frequent) if small else frequent, ["_h1", "_h2"], "left_semi")
     hits = hits.groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_drop"))
     out = ["n_lines", "n_dropped", "kept_text"]
-    wide = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out or c in (id_col, text_col)], ident.alias("_did"), *[m.alias(f"_d{m_name}") for m, m_name in zip(mark, ("t1", "t2"))])
+    passed = [c for c in docs.columns if c not in out]
+    # boxed, so that no column's name clashes with the ones made here
+    box = F.struct(*[F.col(f"`{c}`") for c in passed if c != text_col], F.lit(0).alias("_")).alias("_box")
+    wide = docs.select(box, ident.alias("_did"), text.alias("_text"), mark[0].alias("_dt1"), mark[1].alias("_dt2"))
     joined = wide.join(hits.hint("shuffle_hash"), F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dt1") == F.col("_t1")) & (F.col("_dt2") == F.col("_t2")), "left")
     # a generated column: Catalyst would else split the text again for every kept line
-    joined = joined.select("*", F.explode(F.array(split_lines(text))).alias("_lines"))
+    joined = joined.select("_box", "_text", "_drop", F.explode(F.array(split_lines(F.col("_text")))).alias("_lines"))
     drop = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop)
     result = {
         "n_lines": F.size("_lines").cast("long"),
         "n_dropped": F.size(drop).cast("long"),
-        "kept_text": F.when(F.size(drop) == 0, F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")),
+        "kept_text": F.when(F.size(drop) == 0, F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")),
     }
-    passed = [F.col(f"`{c}`") for c in docs.columns if c not in out]
-    return joined.select(*passed, *[v.alias(k) for k, v in result.items()])
+    back = [(F.col("_text") if c == text_col else F.col(f"_box.`{c}`")).alias(c) for c in passed]
+    return joined.select(*back, *[v.alias(k) for k, v in result.items()])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

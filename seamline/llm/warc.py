@@ -149,10 +149,10 @@ def read_indexed(files: store.Files, archive: str, index: str) -> Iterator[dict]
             yield parse(gzip.decompress(source.read(row["length"])))
 
 
-def with_revisits(pages: DataFrame, *, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """_id, _url and _payload columns' rows with _digest and _refers (null: a response)."""
+def with_revisits(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
+    """_id, _url, _payload, _digest and _refers (null: a response) of each page."""
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
-    rows = pages.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_payload": payload}).withColumn("_digest", F.sha2("_payload", 256))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("_url"), payload.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
     large = F.octet_length("_payload") >= min_bytes
     copies = rows.where(large).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null")
     copies = store.written(copies.select(F.col("_digest").alias("_copy"), "_first"), "warc-copies")
@@ -171,7 +171,7 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
     A task's files have names of its own; the manifest, which Spark commits, tells which attempts count.
     """
     files = store.Files(root)
-    rows = bounded(with_revisits(pages, id_col=id_col, html_col=html_col, min_bytes=min_bytes)).select("_id", F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("_url"), "_payload", "_digest", "_refers")
+    rows = bounded(with_revisits(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)).select("_id", "_url", "_payload", "_digest", "_refers")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files.make()
