@@ -63,16 +63,19 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def inflated(stream) -> Iterator[bytes]:
     """The content of a gzip file of one or more members, in blocks."""
-    inflater = zlib.decompressobj(31)
-    while block := stream.read(CHUNK):
-        while block:
-            yield inflater.decompress(block, CHUNK)
-            while inflater.unconsumed_tail:
-                yield inflater.decompress(inflater.unconsumed_tail, CHUNK)
-            block = b""
-            if inflater.eof:
-                block = inflater.unused_data.lstrip(b"\0")
-                inflater = zlib.decompressobj(31)
+    inflater, data = zlib.decompressobj(31), b""
+    while True:
+        data = data or stream.read(CHUNK)
+        if not data:
+            return
+        out = inflater.decompress(data, CHUNK)
+        yield out
+        while len(out) == CHUNK and not inflater.eof and not inflater.unconsumed_tail:
+            yield (out := inflater.decompress(b"", CHUNK))
+        if inflater.eof:
+            data, inflater = inflater.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+        else:
+            data = inflater.unconsumed_tail
 
 
 def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
