@@ -222,9 +222,9 @@ def path_inference(spark, sf_dir):
 # -- graph --------------------------------------------------------------------
 
 
-@query("SELECT path, qualified_name, line_start FROM symbols s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_key = 'symbol:' || s.qualified_name AND e.edge_type IN ('CALLS', 'REFERENCES')) AND NOT regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown')")
+@query("SELECT path, qualified_name, line_start FROM symbols s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_key = 'symbol:' || s.qualified_name AND e.edge_type IN ('CALLS', 'REFERENCES') AND e.weight >= 45) AND NOT regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown')")
 def dead_code(spark, sf_dir):
-    return graph.dead_code(ad.symbols(spark, sf_dir), ad.edges(spark, sf_dir)).select("path", "qualified_name", "line_start")
+    return graph.dead_code(ad.symbols(spark, sf_dir), ad.edges(spark, sf_dir).where("weight >= 45")).select("path", "qualified_name", "line_start")
 
 
 @query("SELECT source_key, target_key, weight FROM edges WHERE edge_type = 'CALLS' AND target_key IN (SELECT 'symbol:' || qualified_name FROM symbols WHERE name = 'red_widget')")
