@@ -11,6 +11,7 @@ from ..functions import infer
 from ..functions import text as tx
 from ..operators import compare, components, graph, memory, rank, rules, search
 from . import adapters as ad
+from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,3 +486,41 @@ def compare_impact(spark, sf_dir):
 def top_connections(spark, sf_dir):
     change = F.when(F.col("weight") % 3 == 0, "added").when(F.col("weight") % 3 == 1, "changed").otherwise("unchanged")
     return components.top_connections(_component_edges(spark, sf_dir).withColumn("change", change)).select("edge_id", "weight", "change_rank")
+
+
+# -- reports and streams ------------------------------------------------------
+
+
+@query("""+few AS (SELECT * FROM commits ORDER BY ts DESC, sha LIMIT 180), t AS (SELECT f.sha, f.component, row_number() OVER (PARTITION BY f.sha ORDER BY path) AS n FROM commit_files f WHERE f.sha IN (SELECT sha FROM few))
+SELECT 'developer:' || author AS source, 'commit:' || sha AS target, 'authored' AS type, 1::BIGINT AS weight FROM few UNION ALL SELECT 'commit:' || sha, 'component:' || component, 'touched', count(*)::BIGINT FROM t WHERE n <= 20 GROUP BY sha, component""")
+def commit_graph(spark, sf_dir):
+    return reports.commit_graph(ad.commits(spark, sf_dir), ad.commit_files(spark, sf_dir))
+
+
+@query("""+m AS (SELECT * FROM commit_files WHERE contains(path, 'widget')), p AS (SELECT string_agg(path, '|' ORDER BY path) AS paths FROM (SELECT DISTINCT path FROM m ORDER BY path LIMIT 10))
+SELECT count(DISTINCT sha)::BIGINT AS commits, count(DISTINCT author)::BIGINT AS authors, count(DISTINCT path)::BIGINT AS files, any_value(p.paths) AS paths, 'widget' AS topic FROM m, p""")
+def component_summary(spark, sf_dir):
+    return reports.component_summary(ad.commit_files(spark, sf_dir), "widget")
+
+
+@query("""+v AS (VALUES ('api'), ('auth'), ('cache'), ('database'), ('gateway'), ('queue'), ('redis'), ('retry'), ('service')), t AS (SELECT c.sha, v.col0 AS term FROM commits c, v WHERE contains(lower(c.subject), v.col0))
+SELECT term, count(*)::BIGINT AS mentions, count(DISTINCT sha)::BIGINT AS sources FROM t GROUP BY term ORDER BY mentions DESC, term LIMIT 20""")
+def architecture_terms(spark, sf_dir):
+    evidence = ad.commits(spark, sf_dir).select(F.col("sha").alias("source_id"), F.col("subject").alias("title"), F.lit("").alias("snippet"))
+    return reports.architecture(evidence)
+
+
+@query("""+s AS (SELECT sha, subject, lower(subject) AS x FROM commits WHERE regexp_matches(lower(subject), 'microservice|kafka|redis|database|terraform|kubernetes|migration|decision|adr')),
+r AS (SELECT sha::VARCHAR AS source_id, subject AS title, round(least(1.0::DOUBLE, 0.35::DOUBLE + (CASE WHEN contains(x, 'redis') THEN 1 ELSE 0 END + CASE WHEN contains(x, 'timeout') THEN 1 ELSE 0 END) / 2.0::DOUBLE * 0.45::DOUBLE + CASE WHEN contains(x, 'redis timeout') THEN 0.25::DOUBLE ELSE 0 END), 6) AS confidence FROM s)
+SELECT * FROM r WHERE confidence > 0.35 ORDER BY confidence DESC, source_id::BIGINT LIMIT 10""")
+def decisions(spark, sf_dir):
+    evidence = ad.commits(spark, sf_dir).select(F.col("sha").alias("source_id"), F.lit("").alias("path"), F.col("subject").alias("title"), F.lit("").alias("snippet"), "ts")
+    return reports.decisions(evidence, "redis timeout")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type", canonical=False)
+def watch_stream(spark, sf_dir):
+    """Events as a stream of files, each batch taken in by foreachBatch; the result is what all batches left."""
+    from . import streams
+
+    return streams.counted_events(spark, sf_dir)
