@@ -328,19 +328,26 @@ def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> D
             words.clear()
             return made
 
+        held: Counter = Counter()
+
+        def cut_held() -> None:
+            for block, n in held.items():
+                for word in cut(block):
+                    words[word] += n
+            held.clear()
+
         for batch in batches:
-            held: Counter = Counter()
             for text in batch.column("_text").to_pylist():
                 parts = blocks(text)
                 if parts is None:
                     words.update(cut(text))
                 else:
                     held.update(parts)
-            for block, n in held.items():
-                for word in cut(block):
-                    words[word] += n
+            if len(held) > HELD_WORDS:
+                cut_held()
             if len(words) > HELD_WORDS:
                 yield flushed()
+        cut_held()
         yield flushed()
 
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -373,6 +380,7 @@ class Encoder:
         self.vocab, self.lexicon = vocabulary(tokenizer), Transducer.load(store.Files(lexicon))
         self.ids, self.starts = memoryview(self.lexicon.ids.tobytes()), (4 * self.lexicon.starts).tolist()
         self.merged: dict[str, bytes] = {}
+        self.blocks: dict[str, bytes] = {}
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
         numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in words]).tolist()
@@ -390,11 +398,16 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         parts = [(blocks(t or ""), t or "") for t in texts]
-        whole = {b: self.vocab.words(b) for b in set(chain.from_iterable(p for p, _ in parts if p is not None))}
+        wanted = set(chain.from_iterable(p for p, _ in parts if p is not None))
+        new = wanted - self.blocks.keys()
+        if len(self.blocks) + len(new) > 2 * HELD_WORDS:
+            self.blocks.clear()
+            new = wanted
+        whole = {b: self.vocab.words(b) for b in new}
         uneven = [None if p is not None else self.vocab.words(t) for p, t in parts]
         words = self._of_words(list(set(chain(chain.from_iterable(whole.values()), chain.from_iterable(u for u in uneven if u)))))
-        of_block = {b: b"".join(map(words.__getitem__, ws)) for b, ws in whole.items()}
-        return [b"".join(map(of_block.__getitem__, p)) if u is None else b"".join(map(words.__getitem__, u)) for (p, _), u in zip(parts, uneven)]
+        self.blocks.update((b, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))) for b, ws in whole.items())
+        return [b"".join(map(self.blocks.__getitem__, p)) if u is None else b"".join(map(words.__getitem__, u)) for (p, _), u in zip(parts, uneven)]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
