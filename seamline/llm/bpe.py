@@ -72,7 +72,11 @@ class Vocabulary:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
-        """The text's words; special tokens stand as they are."""
+        """The text's words; special tokens stand as they are. Plain words, with a mark behind them or not, need no pattern."""
+        if text.isascii() and text:
+            body, mark = (text[:-1], text[-1]) if text[-1] in ",.;:!?" else (text, "")
+            if body.isalpha() or (body[:1] == " " and body[1:].isalpha()):
+                return [body, mark] if mark else [body]
         for token in self.special:
             if token in text:
                 break
@@ -401,8 +405,7 @@ class Encoder:
         wanted = set(chain.from_iterable(p for p, _ in parts if p is not None))
         new = wanted - self.blocks.keys()
         if len(self.blocks) + len(new) > 2 * HELD_WORDS:
-            self.blocks.clear()
-            new = wanted
+            self.blocks = {b: self.blocks[b] for b in wanted & self.blocks.keys()}
         whole = {b: self.vocab.words(b) for b in new}
         uneven = [None if p is not None else self.vocab.words(t) for p, t in parts]
         words = self._of_words(list(set(chain(chain.from_iterable(whole.values()), chain.from_iterable(u for u in uneven if u)))))

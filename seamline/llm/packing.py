@@ -46,6 +46,10 @@ class WordIds:
         vocabulary = self.vocabulary
         if "<|" in word and any(s in word for s in vocabulary.special):
             return [p for part in vocabulary.at_special.split(word) for p in ([part] if part in vocabulary.special else self._cut(part))]
+        if word.isascii() and word:
+            body, mark = (word[:-1], word[-1]) if word[-1] in ",.;:!?" else (word, "")
+            if body.isalpha():
+                return [body.lower(), mark] if mark else [body.lower()]
         return vocabulary.cut(word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -53,13 +57,13 @@ class WordIds:
         wanted = set(chain.from_iterable(split))
         new = wanted - self.words.keys()
         if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            self.pieces.clear()
-            new = wanted
+            self.words = {word: self.words[word] for word in wanted & self.words.keys()}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
         cut = {word: self._cut(word) for word in new}
         pieces = list(set(chain.from_iterable(cut.values())) - self.pieces.keys())
         self.pieces.update(zip(pieces, self.vocabulary.merge_many(pieces)))
-        self.words.update((word, b"".join(map(self.pieces.__getitem__, of))) for word, of in cut.items())
+        self.words.update((word, self.pieces[of[0]] if len(of) == 1 else b"".join(map(self.pieces.__getitem__, of))) for word, of in cut.items())
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
