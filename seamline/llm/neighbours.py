@@ -24,8 +24,8 @@ from .batches import bounded
 
 #: Vectors of a shard and queries of a block, about; vectors of a leaf, at most.
 SHARD, BLOCK, LEAF = 4_096, 2_048, 64
-#: Distances are lowered by this where branches are judged, so that rounding never loses a tie.
-SLACK = 1e-9
+#: Distances are lowered by this where branches are judged: a cosine off by 1e-16 puts a distance near 0 off by 1e-8.
+SLACK = 1e-7
 
 
 class VantageTree:
