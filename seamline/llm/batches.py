@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +23,26 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark reuses workers, and what one stage freed would else stay with the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # other C libraries have no such call
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make: Callable[[pa.Array], list[pa.Array]], *, keep_source: bool = True) -> DataFrame:
     """df with added columns, which make(a batch's values of source) gives; they replace columns of the same name."""
     names = [n for n, _ in added]
@@ -36,4 +58,4 @@ def mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *make(batch.column(at))], names=[*passed, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import bounded
+from .batches import bounded, trimmed
 
 WORDS, PERCENT = 5, 80
 #: Shingles and documents of a chunk, in which a task packs its rows.
-CHUNK_SHINGLES, CHUNK_DOCS = 2_000_000, 60_000
+CHUNK_SHINGLES, CHUNK_DOCS = 1_000_000, 60_000
 #: Different words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Words of a bucket of shingle hashes, about, and listed places of a shingle in a bucket, at most, before it counts as very frequent.
 BUCKET_WORDS, BUCKET_PLACES = 1_000_000, 4_000_000
 #: Ids are broadcast up to this many rows of 8 bytes; beyond it they are joined by a shuffle.
@@ -93,7 +93,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1]))], names=["_id", "_n", "_d1", "_d2"])
 
-    return store.written(rows.mapInArrow(run, "_id long, _n long, _d1 long, _d2 long"), "sets")
+    return store.written(rows.mapInArrow(trimmed(run), "_id long, _n long, _d1 long, _d2 long"), "sets")
 
 
 # -- frequencies and prefixes -------------------------------------------------
@@ -231,7 +231,7 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
         if held:
             yield from flushed()
 
-    packed = rows.mapInArrow(pack, PACKED)
+    packed = rows.mapInArrow(trimmed(pack), PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_count_bucket, PACKED)
     listed = shared.groupBy("chunk").applyInArrow(_list_chunk(percent), LISTED)
     return store.written(listed, "prefixes")
@@ -251,7 +251,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
             digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("_rep"), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_rep", "_d1", "_d2", "_set"])
 
-    made = bounded(rows).mapInArrow(run, "_rep long, _d1 long, _d2 long, _set binary")
+    made = bounded(rows).mapInArrow(trimmed(run), "_rep long, _d1 long, _d2 long, _set binary")
     return store.written(made.select("_d1", "_d2", "_set").dropDuplicates(["_d1", "_d2"]), "compared-sets")
 
 
@@ -275,7 +275,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _EDGE), pa.array(common, pa.int64())], names=[*_EDGE, "common"])
 
     joined = bounded(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select(*_EDGE, "_a", "_b"))
-    return store.written(joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, common long"), "overlaps")
+    return store.written(joined.mapInArrow(trimmed(run), "a1 long, a2 long, b1 long, b2 long, common long"), "overlaps")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .batches import bounded
+from .batches import bounded, trimmed
 from .bpe import Vocabulary
 
 WINDOW, END_ID = 2048, 1
 #: Words, and pieces of words, whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Fixed value: how this kind of tokenizer cuts folded text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _task int, _rank long"
@@ -106,7 +106,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col:
                 arrays["ids"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_pydict(arrays)
 
-    return store.written(rows.mapInArrow(cut, PIECE + ", ids array<int>" * with_ids), "pieces")
+    return store.written(rows.mapInArrow(trimmed(cut), PIECE + ", ids array<int>" * with_ids), "pieces")
 
 
 def combinations(counts: np.ndarray, window: int, popular: int = 48) -> list[tuple[int, ...]]:
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"]) + ", ids array<int>" * with_ids
-    return ranked.mapInArrow(place, schema)
+    return bounded(ranked).mapInArrow(trimmed(place), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import bounded, mapped
+from .batches import bounded, mapped, trimmed
 
 #: Labelled documents that the trees learn from, at most: those of the smallest hash of their id.
 MAX_LABELLED = 6_000
@@ -193,7 +193,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_c
                     y.append(label)
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.float64())})
 
-    got = bounded(rows.select("_text", "_y")).mapInArrow(run, "x array<double>, y double").toArrow()
+    got = bounded(rows.select("_text", "_y")).mapInArrow(trimmed(run), "x array<double>, y double").toArrow()
     y = got.column("y").to_numpy()
     x = np.array(got.column("x").to_pylist(), float).reshape(len(y), len(FEATURES))
     order = np.lexsort([*x.T, y])  # rows come in any order; sums of floats shall not depend on it
