@@ -31,8 +31,6 @@ LEXICON_WORDS, WORD_BYTES = 65_536, 32
 HELD_WORDS = 200_000
 #: Fixed value: how a byte-level tokenizer of this kind cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts without these fall apart at each space and line feed without a look around.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|[\x00\x1c-\x1f]")
 
 
 def _byte_chars() -> dict[str, int]:
@@ -199,8 +197,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def blocks(text: str) -> list[str] | None:
-    """The text cut before each space and around each line feed, or None where words may cross such cuts."""
-    if _UNEVEN.search(text):
+    """The text cut before each space and around each line feed, or None where words may cross such cuts: where other
+    white space, or two characters of it in a row, or any at an end, or the mark that cuts, stands in the text."""
+    flat = text.replace("\n", " ")
+    spaces, parts = flat.count(" "), flat.split()
+    if len(parts) != spaces + 1 or len("".join(parts)) != len(text) - spaces or "\0" in text:
         return None
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
