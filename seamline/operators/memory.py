@@ -88,16 +88,30 @@ def entities_of_commits(commits: DataFrame) -> DataFrame:
 def related_tests(changed: DataFrame, tests: DataFrame, k: int = 8) -> DataFrame:
     """path, test, score, rank of the k best tests of each changed path; a changed test is its own.
 
-    Tests meet changed paths by equal stem, component or directory name, never all by all; a stem within another is
-    found by its parts between underscores.
+    Tests meet changed paths by a key for each choice of what they share: equal stem or a run of whole parts of the
+    test's stem, component, folder. Of each key's tests only the first k by name can be among a path's k best, as all
+    before them share as much; so a path meets 11 * k tests at most, however many its component has.
     """
     stem = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]+$", ""), "^test_", ""), "_test$", "")
     folders = lambda p: F.split(p, "/")
     side = lambda df, name: df.select(F.col("path").alias(name), stem(F.col("path")).alias(f"{name}_stem"), infer.component(F.col("path")).alias(f"{name}_component"), F.coalesce(F.get(folders(F.col("path")), F.size(folders(F.col("path"))) - 2), F.lit("")).alias(f"{name}_folder"), folders(F.col("path")).alias(f"{name}_parts"))
     c, t = side(changed.distinct(), "path"), side(tests.distinct(), "test")
-    keys_c = c.select("*", F.explode(F.array_distinct(F.array(F.concat(F.lit("s:"), "path_stem"), F.concat(F.lit("c:"), "path_component"), F.concat(F.lit("f:"), "path_folder")))).alias("_key"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(F.split("test_stem", "_"))), lambda i: F.transform(F.sequence(i, F.size(F.split("test_stem", "_"))), lambda j: F.concat(F.lit("s:"), F.array_join(F.slice(F.split("test_stem", "_"), i, j - i + 1), "_")))))
-    keys_t = t.select("*", F.explode(F.array_distinct(F.concat(runs, F.array(F.concat(F.lit("c:"), "test_component")), F.transform("test_parts", lambda p: F.concat(F.lit("f:"), p))))).alias("_key"))
+    is_test = infer.is_test_for_verification(F.col("path"))
+    none = F.lit(None).cast("string")
+    shared = lambda df, stems, component, parts: (
+        df.withColumn("_s", F.explode(stems))
+        .withColumn("_c", F.explode(F.array(none, component)))
+        .withColumn("_f", F.explode(F.array_union(F.array(none), parts)))
+        .where("_s.how <> 'any' or _c is not null or _f is not null")
+        .withColumn("_key", F.struct(F.col("_s.how"), F.col("_s.stem"), F.col("_c").isNotNull(), F.coalesce("_c", F.lit("")), F.col("_f").isNotNull(), F.coalesce("_f", F.lit(""))))
+    )
+    by = lambda how, value: F.struct(F.lit(how).alias("how"), value.alias("stem"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(F.split("test_stem", "_"))), lambda i: F.transform(F.sequence(i, F.size(F.split("test_stem", "_"))), lambda j: F.array_join(F.slice(F.split("test_stem", "_"), i, j - i + 1), "_"))))
+    stems_t = F.concat(F.array(by("any", F.lit("")), by("is", F.col("test_stem"))), F.transform(F.array_distinct(runs), lambda s: by("in", s)))
+    first = Window.partitionBy("_key").orderBy("test")
+    keys_t = shared(t, stems_t, F.col("test_component"), F.col("test_parts")).select("_key", *t.columns).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    stems_c = F.array(by("any", F.lit("")), by("is", F.col("path_stem")), by("in", F.col("path_stem")))
+    keys_c = shared(c.where(~is_test), stems_c, F.col("path_component"), F.array("path_folder")).select("_key", *c.columns)
     met = keys_c.join(keys_t, "_key").drop("_key").dropDuplicates(["path", "test"])
     score = (
         F.when(F.col("test_stem") == F.col("path_stem"), 5).otherwise(0)
@@ -105,9 +119,8 @@ def related_tests(changed: DataFrame, tests: DataFrame, k: int = 8) -> DataFrame
         + F.when(F.col("test_component") == F.col("path_component"), 2).otherwise(0)
         + F.when((F.col("path_folder") != "") & F.array_contains("test_parts", F.col("path_folder")), 1).otherwise(0)
     )
-    is_test = infer.is_test_for_verification(F.col("path"))
     top = Window.partitionBy("path").orderBy(F.desc("score"), "test")
-    ranked = met.where(~is_test).withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    ranked = met.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     own = c.where(is_test).select("path", F.col("path").alias("test"), F.lit(0).alias("score"), F.lit(1).alias("rank"))
     return ranked.select("path", "test", "score", "rank").union(own)
 

@@ -82,7 +82,7 @@ SELECT * FROM r WHERE rank <= 8""")
 def related_tests(spark, sf_dir):
     files = ad.files(spark, sf_dir)
     is_test = infer.is_test_for_verification(F.col("path"))
-    return memory.related_tests(files.where(~is_test & (F.col("file_id") % 10 == 0)).select("path"), files.where(is_test).select("path"))
+    return memory.related_tests(files.where(~is_test).select("path"), files.where(is_test).select("path"))
 
 
 @query("""+e AS (SELECT 'commit' AS source_type, sha AS source_id, ts, subject AS title, row_number() OVER (ORDER BY sha) AS rank FROM commits WHERE contains(lower(subject), 'cache')), f AS (SELECT * FROM e ORDER BY rank LIMIT 40)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import infer, text as tx
 from seamline.operators import compare, components, graph, memory, rank, rules, search
-from seamline.plans import api, index as plan
+from seamline.plans import adapters, api, index as plan, queries
 from seamline.sources import artifacts, external, gitlog, parsers, scan
 from seamline.streaming import watch
 
@@ -193,6 +193,39 @@ def test_related_tests_and_entities(spark):
     assert names(found, "name") == ["redis"]
 
 
+def related_by_force(paths, tests, k=8):
+    def parts(p):
+        name = p.split("/")[-1]
+        root = p.split("/")[0]
+        return name.rsplit(".", 1)[0].removeprefix("test_").removesuffix("_test"), p.split("/")[1] if root in infer.SOURCE_ROOTS and "/" in p else root, p.split("/")[-2] if "/" in p else ""
+
+    for p in paths:
+        (stem, component, folder), found = parts(p), []
+        for t in tests:
+            s, c, _ = parts(t)
+            score = 5 * (s == stem) + 3 * (stem != "" and stem in s) + 2 * (c == component) + (folder != "" and folder in t.split("/"))
+            found += [(-score, t)] * (score > 0)
+        yield from ((p, t, -score, rank) for rank, (score, t) in enumerate(sorted(found)[:k], 1))
+
+
+def test_related_tests_of_a_hot_component(spark):
+    rng = random.Random(4)
+    paths = sorted({f"src/{rng.choice('xxxy')}/{rng.choice('pqr')}/{rng.choice('abc')}_{rng.choice('abc')}.py" for _ in range(40)} | {"src/x/p/a.py"})
+    tests = sorted({f"{rng.choice(['src/x', 'src/x', 'src/y', 'tests'])}/{rng.choice('pqr')}/{'_'.join(rng.choices('abcd', k=rng.randrange(1, 4)))}_{i}_test.py" for i in range(150)} | {f"src/{x}/p/{y}_test.py" for x in "xy" for y in ("a", "a_b", "c_a_b")})
+    one = lambda values: spark.createDataFrame([(v,) for v in values], "path string")
+    got = memory.related_tests(one(paths), one(tests)).select("path", "test", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(related_by_force(paths, tests))
+
+
+def test_related_tests_of_every_file(spark):
+    data = "/root/testdata/sf0.001"
+    files = [r.path for r in adapters.files(spark, data).collect()]
+    tests = [p for p in files if p.endswith("_test.py")]
+    want = list(related_by_force([p for p in files if p not in set(tests)], tests))
+    got = queries.QUERIES["related_tests"](spark, data).select("path", "test", "score", "rank").collect()
+    assert {r.path for r in got} == {w[0] for w in want}
+
+
 def test_artifacts(spark, tmp_path):
     artifacts.export_tables({"t": spark.range(3).toDF("x")}, str(tmp_path / "a"))
     assert artifacts.import_tables(spark, str(tmp_path / "a"), ["t"])["t"].count() == 3
