@@ -88,8 +88,8 @@ def entities_of_commits(commits: DataFrame) -> DataFrame:
 def related_tests(changed: DataFrame, tests: DataFrame, k: int = 8) -> DataFrame:
     """path, test, score, rank of the k best tests of each changed path; a changed test is its own.
 
-    Tests meet changed paths by a key for each choice of what they share: equal stem or a run of whole parts of the
-    test's stem, component, folder. Of each key's tests only the first k by name can be among a path's k best, as all
+    Tests meet changed paths by a key for each choice of what they share: equal stem or a stem anywhere in the
+    test's, component, folder; stems meet as substrings of the distinct test stems. Of each key's tests only the first k by name can be among a path's k best, as all
     before them share as much; so a path meets 11 * k tests at most, however many its component has.
     """
     stem = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]+$", ""), "^test_", ""), "_test$", "")
@@ -106,10 +106,16 @@ def related_tests(changed: DataFrame, tests: DataFrame, k: int = 8) -> DataFrame
         .withColumn("_key", F.struct(F.col("_s.how"), F.col("_s.stem"), F.col("_c").isNotNull(), F.coalesce("_c", F.lit("")), F.col("_f").isNotNull(), F.coalesce("_f", F.lit(""))))
     )
     by = lambda how, value: F.struct(F.lit(how).alias("how"), value.alias("stem"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(F.split("test_stem", "_"))), lambda i: F.transform(F.sequence(i, F.size(F.split("test_stem", "_"))), lambda j: F.array_join(F.slice(F.split("test_stem", "_"), i, j - i + 1), "_"))))
-    stems_t = F.concat(F.array(by("any", F.lit("")), by("is", F.col("test_stem"))), F.transform(F.array_distinct(runs), lambda s: by("in", s)))
+    n = F.length("test_stem")
+    within = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(F.col("test_stem"), i, size))))
+    wanted = c.where(~is_test & (F.col("path_stem") != "")).select(F.col("path_stem").alias("stem")).distinct()
+    held = t.select("test_stem").distinct().where(n > 0).select("test_stem", F.explode(F.array_distinct(within)).alias("stem")).join(wanted, "stem")
+    held = held.groupBy("test_stem").agg(F.collect_list("stem").alias("_within"))
+    t = t.join(held, "test_stem", "left")
+    inside = F.transform(F.coalesce("_within", F.array().cast("array<string>")), lambda s: by("in", s))
+    stems_t = F.concat(F.array(by("any", F.lit("")), by("is", F.col("test_stem"))), inside)
     first = Window.partitionBy("_key").orderBy("test")
-    keys_t = shared(t, stems_t, F.col("test_component"), F.col("test_parts")).select("_key", *t.columns).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    keys_t = shared(t, stems_t, F.col("test_component"), F.col("test_parts")).select("_key", "test", "test_stem", "test_component", "test_parts").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
     stems_c = F.array(by("any", F.lit("")), by("is", F.col("path_stem")), by("in", F.col("path_stem")))
     keys_c = shared(c.where(~is_test), stems_c, F.col("path_component"), F.array("path_folder")).select("_key", *c.columns)
     met = keys_c.join(keys_t, "_key").drop("_key").dropDuplicates(["path", "test"])

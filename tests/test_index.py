@@ -224,6 +224,15 @@ def test_related_tests_of_every_file(spark):
     want = list(related_by_force([p for p in files if p not in set(tests)], tests))
     got = queries.QUERIES["related_tests"](spark, data).select("path", "test", "score", "rank").collect()
     assert {r.path for r in got} == {w[0] for w in want}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_stems_inside_words(spark):
+    paths = ["src/user.py", "lib/api.py", "a/.x"]
+    tests = ["tests/test_users.py", "tests/test_apigateway.py", "tests/superuser_test.py", "tests/test_.py", "tests/other_test.py"]
+    one = lambda values: spark.createDataFrame([(v,) for v in values], "path string")
+    got = memory.related_tests(one(paths), one(tests)).select("path", "test", "score").collect()
+    assert sorted(map(tuple, got)) == [("a/.x", "tests/test_.py", 5), ("lib/api.py", "tests/test_apigateway.py", 3), ("src/user.py", "tests/superuser_test.py", 3), ("src/user.py", "tests/test_users.py", 3)]
 
 
 def test_artifacts(spark, tmp_path):
