@@ -7,6 +7,7 @@ gives an empty table. Output columns replace input columns of the same name; all
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -31,8 +32,12 @@ ENCODINGS = [
 ]
 #: Share of false discoveries among random tokens of a length band; the least p-value of the battery for a random token.
 FALSE_DISCOVERIES, LEAST_RANDOM_P = 0.01, 0.001
-#: Share of neighbours of different kinds (small, capital, digit, other) up to which a token may be words.
-WORDLIKE_SWITCHES = 0.25
+#: What tokens that are not random are like: kinds (small, capital, digit, other) at the start and after each kind, and
+#: letters by their share in English text, in thousandths, with a tenth of each kind's mass dealt evenly.
+KIND_FIRST = [0.5, 0.3, 0.15, 0.05]
+KIND_AFTER = [[0.82, 0.10, 0.05, 0.03], [0.55, 0.37, 0.05, 0.03], [0.12, 0.10, 0.70, 0.08], [0.50, 0.25, 0.20, 0.05]]
+LETTER_SHARE = dict(zip(UPPER, [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]))
+EVEN_SHARE = 0.1
 #: Lengths from which each band begins.
 BANDS = [20, 24, 32, 48, 96]
 SPAN = "array<struct<start:int,end:int,kind:int>>"
@@ -84,8 +89,30 @@ def _neighbours(items: Column, n: Column, f: Callable[[Column, Column], Column])
     return F.aggregate(F.zip_with(F.slice(items, 1, n - 1), F.slice(items, 2, n - 1), f), F.lit(0.0), lambda a, x: a + x)
 
 
-def randomness(token: Column, letters: Column) -> Column:
-    """struct(p_random, p_wordlike, n): how well the token fits uniform draws from letters, and words."""
+def _kind(c: str) -> int:
+    return 2 if c in DIGITS else 1 if c in UPPER else 0 if c.upper() in UPPER else 3
+
+
+def null_odds(letters: str) -> tuple[list[float], list[float], list[float]]:
+    """Log odds of uniform draws to the non-random null of an alphabet: by letter, first kind, and kind after kind (4 * before + kind)."""
+    kinds = [_kind(c) for c in letters]
+    present = sorted(set(kinds))
+    mass = {k: sum(LETTER_SHARE.get(c.upper(), 1) for c, of in zip(letters, kinds) if of == k) for k in present}
+    within = [EVEN_SHARE / kinds.count(k) + (1 - EVEN_SHARE) * LETTER_SHARE.get(c.upper(), 1) / mass[k] for c, k in zip(letters, kinds)]
+    odds = lambda row: [-math.log(row[k] / sum(row[j] for j in present)) if k in present else 0.0 for k in range(4)]
+    return [-math.log(len(letters) * w) for w in within], odds(KIND_FIRST), [x for row in KIND_AFTER for x in odds(row)]
+
+
+def randomness(token: Column, encoding: Column) -> Column:
+    """struct(p_random, p_null, n): how well the token fits uniform draws from its encoding's letters, and the non-random null.
+
+    p_null is the ratio of the token's chances under the null and under uniform draws, divided by p_random, the battery's
+    p-value; the null gives a ratio of x at most with a chance of x at most, and p_random is at most 1.
+    """
+    tables = [null_odds(letters) for _, _, letters in ENCODINGS]
+    of_encoding = lambda rows: F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in rows]), encoding)
+    letters = F.element_at(F.array(*[F.lit(letters) for _, _, letters in ENCODINGS]), encoding)
+    by_letter, by_first, by_after = (of_encoding([t[k] for t in tables]) for k in range(3))
 
     def of_indexes(index: Column) -> Column:
         n, size = F.size(index).cast("double"), F.length(letters).cast("double")
@@ -110,24 +137,24 @@ def randomness(token: Column, letters: Column) -> Column:
         return p_random
 
     core = F.rtrim(F.translate(token, "=", " "))
-    kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3)
+    kind = lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
 
     def of_chars(chars: Column) -> Column:
-        n = F.size(chars).cast("double")
-        switches = _neighbours(chars, F.size(chars), lambda a, b: F.when(kind(a) != kind(b), 1.0).otherwise(0.0))
-        expected = WORDLIKE_SWITCHES * (n - 1)
-        p_wordlike = _upper_tail((switches - 0.5 - expected) / F.sqrt(expected * (1 - WORDLIKE_SWITCHES)))
-        p_random = _let(F.transform(chars, lambda c: F.instr(letters, c) - 1), of_indexes)
-        return F.struct(p_random.alias("p_random"), p_wordlike.alias("p_wordlike"), F.size(chars).alias("n"))
+        index = F.transform(chars, lambda c: F.instr(letters, c) - 1)
+        kinds = _let(F.transform(chars, kind), lambda k: F.element_at(by_first, F.get(k, F.lit(0)) + 1) + _let(by_after, lambda t: _neighbours(k, F.size(k), lambda a, b: F.element_at(t, 4 * a + b + 1))))
+        alone = lambda i: _let(by_letter, lambda t: F.aggregate(i, F.lit(0.0), lambda a, x: a + F.element_at(t, x + 1)))
+        both = _let(index, lambda i: F.struct(of_indexes(i).alias("p"), (alone(i) + kinds).alias("odds")))
+        p_null = lambda x: F.exp(F.least(F.lit(0.0), -x["odds"] - F.log(F.greatest(x["p"], F.lit(1e-300)))))
+        return _let(both, lambda x: F.struct(x["p"].alias("p_random"), p_null(x).alias("p_null"), F.size(chars).alias("n")))
 
     return _let(F.regexp_extract_all(core, F.lit("(.)"), F.lit(1)), of_chars)
 
 
-def _letters(token: Column) -> Column:
-    """The alphabet of the token's inferred encoding; null if it fits none."""
-    found = F.lit(None).cast("string")
-    for _, form, letters in reversed(ENCODINGS):
-        found = F.when(token.rlike(form), F.lit(letters)).otherwise(found)
+def _encoding(token: Column) -> Column:
+    """The place, from 1, of the token's inferred encoding; null if it fits none."""
+    found = F.lit(None).cast("int")
+    for k, (_, form, _) in reversed(list(enumerate(ENCODINGS, 1))):
+        found = F.when(token.rlike(form), k).otherwise(found)
     return found
 
 
@@ -144,15 +171,16 @@ def _bucket(p: Column) -> Column:
 
 
 def tested_tokens(text: Column) -> Column:
-    """array<struct(start, end, band, bucket)> of tokens with an encoding that uniform draws explain well enough."""
+    """array<struct(start, end, band, bucket)> of tokens with an encoding; bucket 0 where uniform draws do not explain one."""
     token = _spans(text, TOKEN, 3)
 
     def test(s: Column) -> Column:
         word = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        return _let(word, lambda w: _let(_letters(w), lambda a: F.when(a.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end"), randomness(w, a).alias("r")))))
+        return _let(word, lambda w: _let(_encoding(w), lambda a: F.when(a.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end"), randomness(w, a).alias("r")))))
 
-    scored = F.filter(F.transform(token, test), lambda x: x.isNotNull() & (x["r"]["p_random"] >= LEAST_RANDOM_P))
-    return F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(x["r"]["n"]).alias("band"), _bucket(x["r"]["p_wordlike"]).alias("bucket")))
+    scored = F.filter(F.transform(token, test), lambda x: x.isNotNull())
+    bucket = lambda r: F.when(r["p_random"] >= LEAST_RANDOM_P, _bucket(r["p_null"])).otherwise(0)
+    return F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(x["r"]["n"]).alias("band"), bucket(x["r"]).alias("bucket")))
 
 
 def discovery_bounds(docs: DataFrame, text_col: str) -> dict[int, int]:

@@ -108,6 +108,36 @@ def test_battery_tells_random_from_words(spark):
     assert sum(n for i, n in got.items() if i >= 100) == 0
 
 
+def test_battery_finds_each_encoding(spark):
+    rng = random.Random(6)
+    words = "account payment service customer report project configuration request handler index number of the new value session update manager default".split()
+    rows, group = [], {}
+    for name, form, letters in secrets.ENCODINGS:
+        for n in (20, 32, 48, 64):
+            for _ in range(25):
+                token = ""
+                while not re.search(form, token):
+                    token = "".join(rng.choices(letters, k=n))
+                group[len(rows)] = (name, n)
+                rows.append((len(rows), f"see {token} there"))
+    for join in (str.capitalize, str.lower, str.upper):
+        for _ in range(400):
+            token = ""
+            while len(token) < rng.choice((20, 32, 48)):
+                token += join(rng.choice(words)) + rng.choice(["", "", str(rng.randrange(2, 40))])
+            group[len(rows)] = ("words", 0)
+            rows.append((len(rows), f"see {token} there"))
+    for i in range(300):
+        group[len(rows)] = ("words", 0)
+        rows.append((len(rows), f"see 2024{rng.randrange(10**16):016}{'aA'[i % 2]} there"))
+    got = {r.doc_id: len([s for s in r.secret_spans if s.kind == 3]) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = {g: sum(got[i] for i in group if group[i] == g) / list(group.values()).count(g) for g in set(group.values())}
+    print(sorted(share.items()))
+    assert all(x >= (0.4 if g[1] == 20 else 0.8) for g, x in share.items() if g[1]), share
+    false, found = sum(got[i] for i in group if group[i][0] == "words"), sum(got.values())
+    assert false <= 0.01 * found, (false, found)
+
+
 def test_redaction(spark):
     text = "é password=abcdefabcdefabcdef01 and token = 'ABCDEFGHIJKLMNOP' end"
     df = secrets.scan_secrets(spark.createDataFrame([(text,), ("clean",)], "text string"))
