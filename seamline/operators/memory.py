@@ -68,8 +68,11 @@ def collect_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("source_type", "source_id", "path").agg(F.min("seq").alias("seq"), F.max_by(F.struct(*rest), "seq").alias("_row")).select("source_type", "source_id", "path", "seq", "_row.*")
 
 
-def entities_of_commits(commits: DataFrame) -> DataFrame:
-    """key, kind, name, confidence entities that commits (sha, author, subject, files) speak of; each key once."""
+def entities_of_commits(commits: DataFrame, path_features: bool = False) -> DataFrame:
+    """key, kind, name, confidence entities that commits (sha, author, subject, files) speak of; each key once.
+
+    With path_features, feature terms come from the parts of changed paths too, not from subjects alone.
+    """
     row = lambda kind, name, confidence: F.struct(F.concat(F.lit(f"{kind}:"), name).alias("key"), F.lit(kind).alias("kind"), name.alias("name"), F.lit(confidence).alias("confidence"))
     one = lambda kind, column, confidence: commits.select(row(kind, F.col(column).cast("string"), confidence).alias("e"))
     many = lambda kind, items, confidence: commits.select(F.explode(items).alias("_x")).select(row(kind, F.col("_x"), confidence).alias("e"))
@@ -81,6 +84,9 @@ def entities_of_commits(commits: DataFrame) -> DataFrame:
         many("feature", infer.feature_terms(F.col("subject")), 0.62),
         many("pull_request", F.array_compact(F.array(infer.pull_request(F.col("subject")).cast("string"))), 0.78),
     ]
+    if path_features:
+        words = commits.select(F.explode("files").alias("_p")).distinct().select(F.explode(F.split("_p", "/")).alias("_p")).distinct()
+        parts.append(words.select(F.explode(infer.feature_terms(F.translate("_p", "_-", "  "))).alias("_x")).select(row("feature", F.col("_x"), 0.62).alias("e")))
     found = reduce(DataFrame.union, parts).select("e.*")
     return found.groupBy("key").agg(F.first("kind").alias("kind"), F.first("name").alias("name"), F.max("confidence").alias("confidence"))
 

@@ -106,7 +106,7 @@ def recent_commits(spark, sf_dir):
 def commit_entities(spark, sf_dir):
     files = ad.commit_files(spark, sf_dir).groupBy("sha").agg(F.collect_list("path").alias("files"))
     commits = ad.commits(spark, sf_dir).join(files, "sha", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
-    return memory.entities_of_commits(commits).where("kind <> 'feature'")
+    return memory.entities_of_commits(commits, path_features=True)
 
 
 RISK = """+f AS (SELECT sha, count(*) AS n, string_agg(path, ' ' ORDER BY path) AS paths FROM commit_files GROUP BY sha), t AS (

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import subprocess
 
 import pytest
@@ -235,6 +236,30 @@ def test_stems_inside_words(spark):
     assert sorted(map(tuple, got)) == [("a/.x", "tests/test_.py", 5), ("lib/api.py", "tests/test_apigateway.py", 3), ("src/user.py", "tests/superuser_test.py", 3), ("src/user.py", "tests/test_users.py", 3)]
 
 
+def terms_by_force(text):
+    words = set(re.findall(r"[a-z][a-z0-9_]{3,}", text.lower())) - set(infer.PLAIN_WORDS)
+    return {t for t in infer.ARCHITECTURE_TERMS if t in text.lower()} | {w.replace("_", " ") for w in words if w.endswith(("ing", "tion")) or w in infer.ARCHITECTURE_TERMS}
+
+
+def features_by_force(commits):
+    spaced = lambda p: re.sub("[-_]", " ", p)
+    return {t for subject, files in commits for text in [subject, *(spaced(part) for f in files for part in f.split("/"))] for t in terms_by_force(text)}
+
+
+def test_features_of_subjects_and_paths(spark):
+    rows = [("s1", "Bob", "Add cache", ["app/user_auth.py", "lib/rate-limiting/x.py"]), ("s2", "Al", "Tune caching", ["src/data_migration/kafka.ts"]), ("s3", "Al", "Drop", [])]
+    commits = spark.createDataFrame(rows, "sha string, author string, subject string, files array<string>")
+    got = names(memory.entities_of_commits(commits, path_features=True).where("kind = 'feature'"), "name")
+    assert got == sorted(features_by_force([r[2:] for r in rows])) == ["auth", "cache", "caching", "kafka", "limiting", "migration"]
+
+
+def test_commit_entities_of_every_kind(spark):
+    data = "/root/testdata/sf0.001"
+    subjects, paths = [r.subject for r in adapters.commits(spark, data).collect()], [r.path for r in adapters.commit_files(spark, data).select("path").distinct().collect()]
+    got = queries.QUERIES["commit_entities"](spark, data).where("kind = 'feature'")
+    assert names(got, "name") == sorted(features_by_force([*((s, []) for s in subjects), ("", paths)]))
+
+
 def test_artifacts(spark, tmp_path):
     artifacts.export_tables({"t": spark.range(3).toDF("x")}, str(tmp_path / "a"))
     assert artifacts.import_tables(spark, str(tmp_path / "a"), ["t"])["t"].count() == 3
