@@ -51,20 +51,24 @@ def budget_by_nodes(nodes: DataFrame, edges: DataFrame, budget: int) -> DataFram
 def budget_by_edges(nodes: DataFrame, edges: DataFrame, budget: int, seeds: list[str] = ()) -> DataFrame:
     """Ids that a budget of nodes keeps: seeds, then ends of the best edges while both fit, then the best nodes.
 
-    An edge adds a node at least, so only the 200 * budget best edges can matter to the greedy fold, which runs over one
-    row in the JVM; the remaining room is filled by score.
+    The greedy fold runs in rounds: each takes the best 200 * budget edges, of all, that add a node and fit. What does
+    neither at a round's start never will, and a round keeps an end at least, so there are budget rounds at most.
     """
     scored = node_scores(nodes, edges).select("id", "score")
     a, b = scored.select(F.col("id").alias("source"), F.col("score").alias("_a")), scored.select(F.col("id").alias("target"), F.col("score").alias("_b"))
     rank = F.round(F.coalesce("weight", F.lit(1)) * 100 + of_type(F.col("type"), BUDGET_BOOST, OTHER_BOOST) + (F.col("_a") + F.col("_b")) * 0.05, 6)
-    best = edges.join(a, "source").join(b, "target").select((-rank).alias("r"), "edge_id", "source", "target").orderBy("r", "edge_id").limit(200 * budget)
-    start = F.array(*map(F.lit, seeds)).cast("array<string>")
-
-    def step(acc: Column, e: Column) -> Column:
-        more = F.array_except(F.array(e["source"], e["target"]), acc)
-        return F.when((F.size(more) > 0) & (F.size(acc) + F.size(more) <= budget), F.array_union(acc, more)).otherwise(acc)
-
-    kept = best.agg(F.aggregate(F.sort_array(F.collect_list(F.struct("r", "edge_id", "source", "target"))), start, step).alias("_ids")).select(F.explode("_ids").alias("id"))
+    best = edges.join(a, "source").join(b, "target").select((-rank).alias("r"), "edge_id", "source", "target")
+    ids, most = list(seeds), 200 * budget
+    while len(ids) < budget:
+        more = F.size(F.array_except(F.array("source", "target"), F.array(*map(F.lit, ids)).cast("array<string>")))
+        found = best.where((more > 0) & (more <= budget - len(ids))).orderBy("r", "edge_id", "source", "target").limit(most).collect()
+        for e in found:
+            added = [i for i in dict.fromkeys((e["source"], e["target"])) if i not in ids]
+            if len(ids) + len(added) <= budget:
+                ids += added
+        if len(found) < most:
+            break
+    kept = nodes.sparkSession.createDataFrame([(i,) for i in ids], "id string")
     first = kept.withColumn("_tier", F.lit(0)).join(scored, "id", "left")
     rest = scored.join(kept, "id", "left_anti").withColumn("_tier", F.lit(1)).select("id", "_tier", "score")
     return first.unionByName(rest).orderBy("_tier", F.desc("score"), "id").limit(budget).select("id")

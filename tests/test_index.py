@@ -182,6 +182,13 @@ def test_budgets(spark):
     assert names(components.budget_by_nodes(nodes, edges, 2), "id") == ["a", "b"]
 
 
+def test_budget_behind_many_edges(spark):
+    nodes = spark.createDataFrame([(x, 0, 0, 0, 0, 0) for x in "abcdefz"], "id string, size int, functions int, methods int, classes int, files int")
+    rows = [(f"e{i:04}", "a", "b", "calls", 9) for i in range(700)] + [(f"f{i:04}", "d", "e", "calls", 8) for i in range(700)] + [("g", "a", "z", "calls", 1)]
+    edges = spark.createDataFrame(rows, "edge_id string, source string, target string, type string, weight int")
+    assert names(components.budget_by_edges(nodes, edges, 3), "id") == ["a", "b", "z"]
+
+
 def test_related_tests_and_entities(spark):
     changed = spark.createDataFrame([("app/auth.py",), ("tests/test_x.py",)], "path string")
     tests = spark.createDataFrame([("tests/test_auth.py",), ("tests/app/test_auth_flow.py",), ("other/test_z.py",)], "path string")
