@@ -267,6 +267,13 @@ def test_commit_entities_of_every_kind(spark):
     assert names(got, "name") == sorted(features_by_force([*((s, []) for s in subjects), ("", paths)]))
 
 
+def test_dead_code_minds_light_edges(spark):
+    data = "/root/testdata/sf0.001"
+    used = {r.target_key for r in adapters.edges(spark, data).where("edge_type in ('CALLS', 'REFERENCES')").collect()}
+    want = sorted(r.qualified_name for r in adapters.symbols(spark, data).where("kind <> 'CLASS'").where(~infer.is_entrypoint(F.col("name"), F.col("path"))).collect() if f"symbol:{r.qualified_name}" not in used)
+    assert names(queries.QUERIES["dead_code"](spark, data), "qualified_name") == want
+
+
 def test_artifacts(spark, tmp_path):
     artifacts.export_tables({"t": spark.range(3).toDF("x")}, str(tmp_path / "a"))
     assert artifacts.import_tables(spark, str(tmp_path / "a"), ["t"])["t"].count() == 3
