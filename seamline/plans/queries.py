@@ -197,8 +197,10 @@ def secret_redaction(spark, sf_dir):
 @query(r"""+l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_number FROM docs)
 SELECT path, line_number, 'possible-secret' AS rule, 'high' AS severity FROM l WHERE regexp_matches(line, '(?i)\b([A-Za-z0-9_]*(?:api[_-]?key|secret|token|password)[A-Za-z0-9_]*)\b\s*[:=]\s*[''"]([^''"]{8,})[''"]') ORDER BY path, line_number""")
 def rule_findings(spark, sf_dir):
-    files = ad.documents(spark, sf_dir).withColumn("language", F.lit("python"))
-    return rules.findings(files).where("rule = 'possible-secret'").select("path", "line_number", "rule", "severity")
+    # documents say no programming language: the rules of both are tried
+    languages = F.explode(F.array(F.lit("python"), F.lit("javascript")))
+    files = ad.documents(spark, sf_dir).withColumn("language", languages)
+    return rules.findings(files).select("path", "line_number", "rule", "severity").distinct().orderBy("path", "line_number", "rule")
 
 
 @query("""+l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS n FROM docs), h AS (

@@ -274,6 +274,13 @@ def test_dead_code_minds_light_edges(spark):
     assert names(queries.QUERIES["dead_code"](spark, data), "qualified_name") == want
 
 
+def test_rule_findings_of_every_rule(spark, tmp_path):
+    lines = ["api_key = 'abcd1234efgh'", "requests.get(url)", "subprocess.run(x, shell=True)", "eval(x)", "execute(f'select')", "fetch(url)", "fetch(url, {signal})"]
+    spark.createDataFrame([(1, "\n".join(lines), "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.line_number, r.rule) for r in queries.QUERIES["rule_findings"](spark, str(tmp_path)).orderBy("line_number").collect()]
+    assert got == [(1, "possible-secret"), (2, "python-requests-without-timeout"), (3, "shell-true"), (4, "dynamic-code-execution"), (5, "sql-string-interpolation"), (6, "fetch-without-abort")]
+
+
 def test_artifacts(spark, tmp_path):
     artifacts.export_tables({"t": spark.range(3).toDF("x")}, str(tmp_path / "a"))
     assert artifacts.import_tables(spark, str(tmp_path / "a"), ["t"])["t"].count() == 3
