@@ -9,15 +9,17 @@ all others pass through.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import io
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +29,10 @@ from .batches import bounded, mapped
 
 #: Words of the lexicon and bytes of each, at most; all others are merged exactly.
 LEXICON_WORDS, WORD_BYTES = 65_536, 32
-#: Counted or merged words that a worker holds at once.
-HELD_WORDS = 200_000
+#: Counted or merged words that a worker holds at once; longer ones than so many characters are not held beyond their batch.
+HELD_WORDS, HELD_CHARS = 200_000, 256
+#: Texts of a batch, at most; its bytes are bounded too.
+BATCH_ROWS = 6_000
 #: Fixed value: how a byte-level tokenizer of this kind cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -58,7 +62,7 @@ class Vocabulary:
             self.of_byte[b], self.of_last[b] = ids[token], ids[token + suffix]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self._sorted_pairs = None
+        self._sorted_pairs = self._bytes = None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*ids.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
@@ -67,6 +71,8 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.cut = regex.compile(pattern).findall
+        if any(re.fullmatch("[^\\W\\d_]*[^\\w\\s]*", token) for token in self.special):
+            raise ValueError("a special token that is letters with symbols behind them could stand within a plain word")
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -83,26 +89,33 @@ class Vocabulary:
         return list(chain.from_iterable([part] if part in self.special else self.cut(part) for part in self.at_special.split(text)))
 
     def merged(self, word: str) -> bytes:
-        """Ids of one word: the pair of least rank is merged until none is left."""
+        """Ids of one word: the leftmost pair of least rank is merged until none is left.
+
+        A heap holds the pairs' ranks and places and a linked list the symbols, so that a word of n bytes takes
+        O(n log n) steps; a heap entry whose pair is gone by now is passed over.
+        """
         if word in self.special:
             return np.array([self.special[word]], "<u4").tobytes()
         raw = word.encode("utf-8", "replace")
         ids = [self.of_byte[b] for b in raw[:-1]] + [self.of_last[b] for b in raw[-1:]]
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((merges[p] for p in zip(ids, ids[1:]) if p in merges), default=None)
-            if best is None:
-                break
-            out, at, last = [], 0, len(ids) - 1
-            while at <= last:
-                if at < last and merges.get((ids[at], ids[at + 1])) == best:
-                    out.append(best[1])
-                    at += 2
-                else:
-                    out.append(ids[at])
-                    at += 1
-            ids = out
-        return np.array(ids, "<u4").tobytes()
+        many, merges = len(ids), self.merges
+        after, before = list(range(1, many + 1)), list(range(-1, many - 1))
+        heap = [(found[0], at, found[1]) for at, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            rank, at, new = heapq.heappop(heap)
+            right = after[at]
+            if right >= many or ids[at] < 0 or (found := merges.get((ids[at], ids[right]))) is None or found[0] != rank:
+                continue
+            ids[at], ids[right] = new, -1
+            after[at] = beyond = after[right]
+            if beyond < many:
+                before[beyond] = at
+                if found := merges.get((new, ids[beyond])):
+                    heapq.heappush(heap, (found[0], at, found[1]))
+            if (left := before[at]) >= 0 and (found := merges.get((ids[left], new))):
+                heapq.heappush(heap, (found[0], left, found[1]))
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
 
     def merge_many(self, words: list[str]) -> list[bytes]:
         """merged() of each word; words of like length are merged together, each its leftmost pair of least rank at a time."""
@@ -182,9 +195,19 @@ class Vocabulary:
             ranks[rows] = np.where(spots >= 0, rank[spots], never)
             n[rows] -= 1
 
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of ids[bounds[k]:bounds[k + 1]] for each k."""
+        if self._bytes is None:
+            self._bytes = pa.array(self.bytes_of, pa.large_binary())
+        taken = self._bytes.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)[bounds].tolist() if len(ids) else [0] * len(bounds)
+        data = memoryview(taken.buffers()[2] or b"")
+        return [bytes(data[lo:hi]) for lo, hi in zip(ends, ends[1:])]
+
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        values = np.frombuffer(ids, "<u4")
+        return self.decoded(values, np.array([0, len(values)]))[0].decode("utf-8", "replace")
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -196,14 +219,50 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def blocks(text: str) -> list[str] | None:
-    """The text cut before each space and around each line feed, or None where words may cross such cuts: where other
-    white space, or two characters of it in a row, or any at an end, or the mark that cuts, stands in the text."""
-    flat = text.replace("\n", " ")
-    spaces, parts = flat.count(" "), flat.split()
-    if len(parts) != spaces + 1 or len("".join(parts)) != len(text) - spaces or "\0" in text:
-        return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+#: Texts whose words may cross cuts before spaces and around line feeds: those with other white space, two characters
+#: of it in a row, or any at an end, or the mark that cuts.
+UNEVEN = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def blocks(texts: pa.Array) -> pa.ListArray:
+    """Each of these even texts, cut before each space and around each line feed."""
+    return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+
+
+def laid_out(codes: np.ndarray, table: list[bytes], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (little-endian 32-bit integers) of table[code] for all codes in a row, and where those of codes[offset] begin."""
+    lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    starts = np.cumsum(lengths) - lengths
+    each = lengths[codes]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    at = np.repeat(starts[codes] - ends[:-1], each)
+    at += np.arange(len(at))
+    return np.frombuffer(b"".join(table), "<u4")[at], ends[offsets]
+
+
+#: Letters, and characters that are neither letters nor numbers nor white space, among the first 592; those that change
+#: their number when folded are left out.
+LETTERS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+SYMBOLS = r"!-/:-@\[-`{-~\x{a1}-\x{a9}\x{ab}\x{ac}\x{ae}-\x{b1}\x{b4}\x{b6}-\x{b8}\x{bb}\x{bf}\x{d7}\x{f7}"
+#: Such letters with symbols behind them are two words to the tokenizers' patterns, so no pattern needs to cut them.
+PLAIN, PLAIN_SPACED = (rf"\A(?P<a>{start})(?P<b>[{SYMBOLS}]*)\z" for start in (f"[{LETTERS}]*", f" ?[{LETTERS}]+"))
+
+
+def ids_by_parts(split: pa.ListArray, plain: str, cut: Callable[[str], list[str]], ids_of: Callable[[list[str]], dict[str, bytes]], *, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """laid_out() of lists of blocks: different blocks are cut once (plain ones in two, by columns), and their different parts looked up once."""
+    coded = split.values.dictionary_encode()
+    parts = pc.extract_regex(coded.dictionary, plain)
+    left, right = (pc.fill_null(parts.field(name), "") for name in "ab")
+    two = pa.concat_arrays([pc.utf8_lower(left) if fold else left, right]).dictionary_encode()
+    words = two.dictionary.to_pylist()
+    rest = list(map(cut, coded.dictionary.filter(parts.is_null()).to_pylist()))
+    ids = ids_of(list(dict.fromkeys(chain(words, chain.from_iterable(rest)))))
+    table = [ids[w] for w in words] + [b"".join([ids[w] for w in ws]) for ws in rest] + [b""]
+    pair = two.indices.to_numpy().reshape(2, -1).T.copy()
+    uncut = parts.is_null().to_numpy(zero_copy_only=False)
+    pair[uncut, 0] = len(words) + np.arange(len(rest))
+    pair[uncut, 1] = len(table) - 1
+    return laid_out(pair[coded.indices.to_numpy()].ravel(), table, 2 * split.offsets.to_numpy())
 
 
 # -- lexicon ------------------------------------------------------------------
@@ -322,10 +381,11 @@ def _npy(array: np.ndarray) -> bytes:
 
 def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
     """word, n over all texts; each task sends a word once for every HELD_WORDS different ones."""
-    rows = bounded(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")))
+    rows = bounded(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        held: Counter = Counter()
         cut = vocabulary(tokenizer).words
 
         def flushed() -> pa.RecordBatch:
@@ -333,8 +393,6 @@ def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> D
             words.clear()
             return made
 
-        held: Counter = Counter()
-
         def cut_held() -> None:
             for block, n in held.items():
                 for word in cut(block):
@@ -342,12 +400,13 @@ def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> D
             held.clear()
 
         for batch in batches:
-            for text in batch.column("_text").to_pylist():
-                parts = blocks(text)
-                if parts is None:
-                    words.update(cut(text))
-                else:
-                    held.update(parts)
+            texts = batch.column("_text")
+            uneven = pc.match_substring_regex(texts, UNEVEN)
+            for text in texts.filter(uneven).to_pylist():
+                words.update(cut(text))
+            found = blocks(texts.filter(pc.invert(uneven))).flatten().value_counts()
+            for block, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
+                held[block] += n
             if len(held) > HELD_WORDS:
                 cut_held()
             if len(words) > HELD_WORDS:
@@ -383,35 +442,47 @@ class Encoder:
 
     def __init__(self, tokenizer: str, lexicon: str):
         self.vocab, self.lexicon = vocabulary(tokenizer), Transducer.load(store.Files(lexicon))
-        self.ids, self.starts = memoryview(self.lexicon.ids.tobytes()), (4 * self.lexicon.starts).tolist()
+        # views of the mapped file, not copies of it
+        self.ids, self.starts = memoryview(np.asarray(self.lexicon.ids)).cast("B"), np.asarray(self.lexicon.starts)
         self.merged: dict[str, bytes] = {}
-        self.blocks: dict[str, bytes] = {}
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
-        numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in words]).tolist()
-        ids, starts = self.ids, self.starts
-        table = {w: ids[starts[k] : starts[k + 1]] for w, k in zip(words, numbers) if k >= 0}
-        unseen = [w for w, k in zip(words, numbers) if k < 0]
-        new = [w for w in unseen if w not in self.merged]
-        if len(self.merged) + len(new) > HELD_WORDS:
+        table = {w: self.merged[w] for w in words if w in self.merged}
+        new = [w for w in words if w not in table]
+        numbers = self.lexicon.numbers([w.encode("utf-8", "replace") for w in new])
+        unseen = [w for w, k in zip(new, numbers.tolist()) if k < 0]
+        if len(numbers) > len(unseen):
+            known = np.maximum(numbers, 0)
+            lows, highs, ids = (4 * self.starts[known]).tolist(), (4 * self.starts[known + 1]).tolist(), self.ids
+            table.update((w, ids[lo:hi]) for w, k, lo, hi in zip(new, numbers.tolist(), lows, highs) if k >= 0)
+        made = dict(zip(unseen, self.vocab.merge_many(unseen)))
+        table.update(made)
+        if len(self.merged) + len(made) > HELD_WORDS:
             self.merged.clear()
-            new = unseen
-        self.merged.update(zip(new, self.vocab.merge_many(new)))
-        table.update((w, self.merged[w]) for w in unseen)
+        self.merged.update((w, m) for w, m in made.items() if len(w) <= HELD_CHARS)
         return table
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [(blocks(t or ""), t or "") for t in texts]
-        wanted = set(chain.from_iterable(p for p, _ in parts if p is not None))
-        new = wanted - self.blocks.keys()
-        if len(self.blocks) + len(new) > 2 * HELD_WORDS:
-            self.blocks = {b: self.blocks[b] for b in wanted & self.blocks.keys()}
-        whole = {b: self.vocab.words(b) for b in new}
-        uneven = [None if p is not None else self.vocab.words(t) for p, t in parts]
-        words = self._of_words(list(set(chain(chain.from_iterable(whole.values()), chain.from_iterable(u for u in uneven if u)))))
-        self.blocks.update((b, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))) for b, ws in whole.items())
-        return [b"".join(map(self.blocks.__getitem__, p)) if u is None else b"".join(map(words.__getitem__, u)) for (p, _), u in zip(parts, uneven)]
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return ids_by_parts(blocks(texts), PLAIN_SPACED, self.vocab.words, self._of_words)
+
+    def _uneven(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = list(map(self.vocab.words, texts))
+        place = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        words = self._of_words(list(place))
+        codes = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+        return laid_out(codes, [words[w] for w in place], np.cumsum([0, *map(len, split)]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin, with the end."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        if not len(texts) or not pc.any(uneven).as_py():
+            return self._even(texts)
+        of = uneven.to_numpy(zero_copy_only=False)
+        parts = [self._even(texts.filter(pc.invert(uneven))), self._uneven(texts.filter(uneven).to_pylist())]
+        nth = np.where(of, np.cumsum(of), np.cumsum(~of)) - 1
+        slices = [parts[side][0][parts[side][1][k] : parts[side][1][k + 1]] for side, k in zip(of.astype(int).tolist(), nth.tolist())]
+        return np.concatenate(slices), np.cumsum([0, *map(len, slices)])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -428,19 +499,19 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, *, text_col: str = "te
     """docs with ids, an array of integers."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        made = encoder(tokenizer, lexicon).encode(texts.to_pylist())
-        values = pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))
-        return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(m) // 4 for m in made)]), pa.int32()), values)]
+        ids, bounds = encoder(tokenizer, lexicon).encode(texts)
+        return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))]
 
-    return mapped(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make)
+    return mapped(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make, batch_rows=BATCH_ROWS)
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
     """encoded with decoded_text; null ids are none."""
 
     def make(ids: pa.Array) -> list[pa.Array]:
-        vocab = vocabulary(tokenizer)
-        return [pa.array([vocab.decode(np.array(row or [], "<u4").tobytes()) for row in ids.to_pylist()], pa.string())]
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        raw = vocabulary(tokenizer).decoded(ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)]))
+        return [pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())]
 
     return mapped(encoded, ids_col, [("decoded_text", T.StringType())], make)
 
@@ -449,12 +520,14 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str, *, text_co
     """docs without the text, with n_tokens, ids_sha256 and decoded_sha256: encode, then decode, in one pass."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        made, vocab = encoder(tokenizer, lexicon).encode(texts.to_pylist()), vocabulary(tokenizer)
+        ids, bounds = encoder(tokenizer, lexicon).encode(texts)
+        raw, at = memoryview(np.ascontiguousarray(ids)).cast("B") if len(ids) else memoryview(b""), (4 * bounds).tolist()
         digest = lambda b: hashlib.sha256(b).hexdigest()
-        return [pa.array([len(m) // 4 for m in made], pa.int64()), pa.array(list(map(digest, made)), pa.string()), pa.array([digest(vocab.decode(m).encode("utf-8", "replace")) for m in made], pa.string())]
+        decoded = [digest(d.decode("utf-8", "replace").encode()) for d in vocabulary(tokenizer).decoded(ids, bounds)]
+        return [pa.array(np.diff(bounds)), pa.array([digest(raw[lo:hi]) for lo, hi in zip(at, at[1:])], pa.string()), pa.array(decoded, pa.string())]
 
     kinds = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return mapped(docs, text_col, kinds, make, keep_source=False)
+    return mapped(docs, text_col, kinds, make, keep_source=False, batch_rows=BATCH_ROWS)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,16 +14,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
 from .batches import bounded, trimmed
-from .bpe import Vocabulary
+from .bpe import BATCH_ROWS, HELD_CHARS, PLAIN, Vocabulary, ids_by_parts
 
 WINDOW, END_ID = 2048, 1
-#: Words, and pieces of words, whose ids a worker remembers; beyond it the memory starts anew.
+#: Pieces of words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 250_000
 #: Fixed value: how this kind of tokenizer cuts folded text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -39,32 +40,28 @@ class WordIds:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path, PIECES)
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _cut(self, word: str) -> list[str]:
         vocabulary = self.vocabulary
         if "<|" in word and any(s in word for s in vocabulary.special):
             return [p for part in vocabulary.at_special.split(word) for p in ([part] if part in vocabulary.special else self._cut(part))]
-        if word.isascii() and word:
-            body, mark = (word[:-1], word[-1]) if word[-1] in ",.;:!?" else (word, "")
-            if body.isalpha():
-                return [body.lower(), mark] if mark else [body.lower()]
         return vocabulary.cut(word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        wanted = set(chain.from_iterable(split))
-        new = wanted - self.words.keys()
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {word: self.words[word] for word in wanted & self.words.keys()}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        cut = {word: self._cut(word) for word in new}
-        pieces = list(set(chain.from_iterable(cut.values())) - self.pieces.keys())
-        self.pieces.update(zip(pieces, self.vocabulary.merge_many(pieces)))
-        self.words.update((word, self.pieces[of[0]] if len(of) == 1 else b"".join(map(self.pieces.__getitem__, of))) for word, of in cut.items())
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        table = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        new = [p for p in pieces if p not in table]
+        made = dict(zip(new, self.vocabulary.merge_many(new)))
+        table.update(made)
+        if len(self.pieces) + len(made) > REMEMBERED:
+            self.pieces.clear()
+        self.pieces.update((p, ids) for p, ids in made.items() if len(p) <= HELD_CHARS)
+        return table
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin, with the end."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return ids_by_parts(words, PLAIN, self._cut, self._ids, fold=True)
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -79,31 +76,34 @@ def word_ids(path: str) -> WordIds:
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
     """Each text's full windows and its rest. _rank counts a task's pieces of one length; written, so that it stays."""
-    rows = bounded(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")))
-    end = np.array([end_id], "<u4").tobytes()
+    rows = bounded(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = word_ids(tokenizer), TaskContext.get().partitionId()
         ranks = np.zeros(window + 1, np.int64)
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "_task": [], "_rank": []}
-            pieces: list[bytes] = []
-            for ident, ids in zip(batch.column("_id").to_pylist(), words.encode(batch.column("_text").to_pylist())):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    length = len(piece) // 4
-                    values = (ident, start, length, zlib.crc32(piece), total, task, int(ranks[length]))
-                    for name, value in zip(out, values):
-                        out[name].append(value)
-                    if with_ids:
-                        pieces.append(piece)
-                    ranks[length] += 1
-            arrays = {k: pa.array(v, pa.int32() if k == "_task" else pa.int64()) for k, v in out.items()}
+            if not batch.num_rows:
+                continue
+            ids, bounds = words.encode(batch.column("_text"))
+            ids = np.ascontiguousarray(np.insert(ids, bounds[1:], end_id))
+            bounds += np.arange(len(bounds))
+            total = np.diff(bounds)
+            pieces = -(-total // window)
+            of = np.repeat(np.arange(len(total)), pieces)
+            start = window * (np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of])
+            length = np.minimum(window, total[of] - start)
+            low = 4 * (bounds[of] + start)
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[lo:hi]) for lo, hi in zip(low.tolist(), (low + 4 * length).tolist())]
+            order = np.argsort(length, kind="stable")
+            many = np.bincount(length, minlength=window + 1)
+            rank = np.empty(len(of), np.int64)
+            rank[order] = np.arange(len(of)) - (np.cumsum(many) - many)[length[order]]
+            rank += ranks[length]
+            ranks += many
+            arrays = {"doc_id": batch.column("_id").take(pa.array(of)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": total[of], "_task": np.full(len(of), task, np.int32), "_rank": rank}
             if with_ids:
-                starts = np.cumsum([0, *out["length"]])
-                arrays["ids"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)))
+                arrays["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(arrays)
 
     return store.written(rows.mapInArrow(trimmed(cut), PIECE + ", ids array<int>" * with_ids), "pieces")
@@ -204,7 +204,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     for length, n in tally.groupBy("length").agg(F.sum("_n")).collect():
         counts[length] = n
     slots = Plan(counts, window).arrays()
-    before = tally.selectExpr("_task as _of", "length as _len", "sum(_n) over (partition by length order by _task) - _n as _before")
+    # the tally has tasks x lengths rows, so both sides are dealt by task and length, never broadcast
+    before = tally.selectExpr("_task as _of", "length as _len", "sum(_n) over (partition by length order by _task) - _n as _before").hint("shuffle_hash")
     ranked = pieces.join(before, (F.col("_task") == F.col("_of")) & (F.col("length") == F.col("_len"))).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_task", "_of", "_len", "_before")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
