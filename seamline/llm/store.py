@@ -59,11 +59,11 @@ class Files:
     def _at(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def make(self) -> None:
+    def make(self, folder: str = "") -> None:
         if self.local:
-            os.makedirs(self.root, exist_ok=True)
+            os.makedirs(self._at(folder), exist_ok=True)
         else:
-            self.fs.create_dir(self.root, recursive=True)
+            self.fs.create_dir(self._at(folder).rstrip("/"), recursive=True)
 
     def write(self, name: str):
         return open(self._at(name), "wb") if self.local else self.fs.open_output_stream(self._at(name), compression=None)
@@ -73,7 +73,12 @@ class Files:
 
     def move(self, old: str, new: str) -> None:
         """Replaces new at once, so that a repeated task leaves one whole file."""
-        os.replace(self._at(old), self._at(new)) if self.local else self.fs.move(self._at(old), self._at(new))
+        if self.local:
+            os.replace(self._at(old), self._at(new))
+        else:
+            if self.fs.get_file_info(self._at(new)).is_file:
+                self.fs.delete_file(self._at(new))
+            self.fs.move(self._at(old), self._at(new))
 
     def delete(self, name: str) -> None:
         os.remove(self._at(name)) if self.local else self.fs.delete_file(self._at(name))

@@ -62,18 +62,21 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in blocks."""
-    inflater, data = zlib.decompressobj(31), b""
+    """The content of a gzip file of one or more members, in blocks; an error where the file ends within a member or its trailer."""
+    inflater, data, within = zlib.decompressobj(31), b"", False
     while True:
         data = data or stream.read(CHUNK)
         if not data:
+            if within:
+                raise ValueError("the archive ends within a gzip member")
             return
+        within = True
         out = inflater.decompress(data, CHUNK)
         yield out
         while len(out) == CHUNK and not inflater.eof and not inflater.unconsumed_tail:
             yield (out := inflater.decompress(b"", CHUNK))
         if inflater.eof:
-            data, inflater = inflater.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+            data, inflater, within = inflater.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
         else:
             data = inflater.unconsumed_tail
 
@@ -114,10 +117,14 @@ def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def normalise(files: store.Files, archive: str, name: str) -> tuple[str, str, int, int]:
-    """Inflates the archive once and rewrites each record as a gzip member of its own; the index has a JSON row for each."""
+    """Inflates the archive once and rewrites each record as a gzip member of its own; the index has a JSON row for each.
+
+    Both files are written apart and moved to their names when whole: a repeated or lost attempt leaves no part of one.
+    """
     at = records = 0
     out, index = f"{name}.warc.gz", f"{name}.idx"
-    with files.read(archive) as source, files.write(out) as sink, files.write(index) as rows:
+    attempt = [f"attempts/{uuid.uuid4().hex}" for _ in (out, index)]
+    with files.read(archive) as source, files.write(attempt[0]) as sink, files.write(attempt[1]) as rows:
         for record in split_records(inflated(source)):
             member = gzip.compress(record, 6, mtime=0)
             sink.write(member)
@@ -125,6 +132,8 @@ def normalise(files: store.Files, archive: str, name: str) -> tuple[str, str, in
             rows.write(json.dumps({"offset": at, "length": len(member), "type": fields["warc-type"], "id": fields["warc-record-id"], "uri": fields["warc-target-uri"], "digest": fields.get("warc-payload-digest")}).encode() + b"\n")
             at += len(member)
             records += 1
+    files.move(attempt[0], out)
+    files.move(attempt[1], index)
     return out, index, records, at
 
 
@@ -177,7 +186,7 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
     rows = bounded(with_revisits(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_bytes=min_bytes)).select("_id", "_url", "_payload", "_digest", "_refers")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files.make()
+        files.make("raw")
         made, sink, raw, held = [], None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
@@ -185,7 +194,7 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
                     if sink:
                         sink.close()
                         raw.close()
-                    made.append([f"raw-{uuid.uuid4().hex}.warc.gz", 0, 0])
+                    made.append([f"raw/{uuid.uuid4().hex}.warc.gz", 0, 0])
                     raw, held = files.write(made[-1][0]), 0
                     sink = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1, mtime=0)
                 record = record_bytes(row["_id"], row["_url"], row["_payload"], row["_digest"], row["_refers"], row["_refers"] is not None)
@@ -203,20 +212,23 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
 
 
 def normalise_archives(manifest: DataFrame, root: str, *, keep: bool = False) -> DataFrame:
-    """The archives of a manifest, each rewritten; the old ones go once all new ones are committed, unless keep."""
+    """The archives of a manifest, each rewritten; once all are committed, the old ones go, unless keep, with what lost attempts left."""
     files = store.Files(root)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files.make("attempts")
         for batch in batches:
-            made = [normalise(files, archive, f"part-{uuid.uuid4().hex}") for archive in batch.column("archive").to_pylist()]
+            made = []
+            for archive, records in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist()):
+                made.append(normalise(files, archive, "part-" + archive.rpartition("/")[2].removesuffix(".warc.gz")))
+                if records is not None and made[-1][2] != records:
+                    raise ValueError(f"{archive}: {made[-1][2]} records, but {records} were written")
             yield pa.RecordBatch.from_pydict(dict(zip(("archive", "index", "records", "bytes"), map(list, zip(*made)))) if made else {"archive": [], "index": [], "records": [], "bytes": []})
 
     spread = manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4)
     done = store.written(spread.mapInArrow(rewrite, MANIFEST), "warc-normal")
-    if not keep:
-        fs, _ = store.hadoop_fs(manifest.sparkSession, root)
-        for status in fs.globStatus(manifest.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{root}/raw-*")):
-            fs.delete(status.getPath(), False)
+    for folder in ["attempts"] if keep else ["attempts", "raw"]:
+        store.remove(manifest.sparkSession, f"{root}/{folder}")
     return done
 
 
