@@ -37,6 +37,9 @@ BUCKET_WORDS, BUCKET_PLACES = 1_000_000, 4_000_000
 #: Ids are broadcast up to this many rows of 8 bytes; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 FREQUENT = (1 << 31) - 1
+SKETCH = ["_s0", "_s1", "_s2", "_s3"]
+#: Blocks of a list: sizes of sets grow by this factor from class to class, places in the order by that one.
+SIZE_STEP, PLACE_STEP = 1.25, 4
 
 
 class _WordHashes(dict):
@@ -74,6 +77,12 @@ def _digest(shingle_set: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def parity_sketch(shingle_set: np.ndarray) -> np.ndarray:
+    """256 bits, as 4 long integers: whether an odd number of hashes falls on each. Two sketches differ in at most as many bits as the sets in members."""
+    odd = np.bincount((shingle_set >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(percent: int, total: int | np.ndarray):
     """Least overlap of two sets with `total` members together: 100 c >= percent (total - c)."""
     return -(-percent * total // (100 + percent))
@@ -101,7 +110,6 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _PACKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 PACKED = "bucket long, chunk long, kind int, a binary, b binary, c binary"
 COLD, HOT_NAMES, HOT_PLACES, TABLE = range(4)
-PASSED = 4096  # so many groups take what only passes through to its chunk
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -121,7 +129,7 @@ def _pack_chunk(chunk: int, sets: list[np.ndarray], digests: list[tuple[int, int
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
     counts = np.diff(np.append(first, len(hashes)))
     hot = np.repeat(counts >= hot_from, counts)
-    passed = -1 - chunk % PASSED
+    passed = -1 - chunk  # a group of its own takes what only passes through to its chunk
     yield {"bucket": passed, "chunk": chunk, "kind": TABLE, "a": np.array(digests, np.int64).tobytes(), "b": np.array([len(s) for s in sets], np.int64).tobytes(), "c": b""}
     shift = np.uint64(64 - bits)
     names = hashes[first[counts >= hot_from]]
@@ -204,8 +212,10 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
     """LISTED rows of all sets; written. Hashes are shuffled once, in packed rows; places of shared ones once more."""
     size = docs.agg(F.sum(F.length(f"`{text_col}`"))).first()[0] or 0
     words = size / 6
-    bits = min(16, max(3, int(np.ceil(np.log2(max(1.0, words / BUCKET_WORDS))))))
-    hot_from = int(min(256, max(8, BUCKET_PLACES / max(1.0, words / CHUNK_SHINGLES))))
+    bits = max(3, int(np.ceil(np.log2(max(1.0, words / BUCKET_WORDS)))))
+    hot_from = int(min(256, max(2, BUCKET_PLACES / max(1.0, words / CHUNK_SHINGLES))))
+    # buckets and chunks have about equal sizes, whatever the corpus: one partition for each, or for a few small ones
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, 1 << bits)
     rows = bounded(docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("_text")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +242,8 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
             yield from flushed()
 
     packed = rows.mapInArrow(trimmed(pack), PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_count_bucket, PACKED)
-    listed = shared.groupBy("chunk").applyInArrow(_list_chunk(percent), LISTED)
+    shared = packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count_bucket, PACKED)
+    listed = shared.repartition(parts, "chunk").groupBy("chunk").applyInArrow(_list_chunk(percent), LISTED)
     return store.written(listed, "prefixes")
 
 
@@ -241,7 +251,7 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_rep, _set (packed hashes) of the documents with these ids (column _rep); written."""
+    """_d1, _d2, _set (packed hashes) and _s0 to _s3 (parity sketch) of the documents with these ids (column _rep); written."""
     small = ids.count() <= BROADCAST_ROWS
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_rep"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(ids) if small else ids, "_rep", "left_semi")
 
@@ -249,10 +259,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
         for batch in batches:
             sets = [shingles(t) for t in batch.column("_text").to_pylist()]
             digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("_rep"), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_rep", "_d1", "_d2", "_set"])
+            sketches = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, 4)
+            columns = [*digests.T, pa.array([s.tobytes() for s in sets], pa.binary()), *sketches.T]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=["_d1", "_d2", "_set", *SKETCH])
 
-    made = bounded(rows).mapInArrow(trimmed(run), "_rep long, _d1 long, _d2 long, _set binary")
-    return store.written(made.select("_d1", "_d2", "_set").dropDuplicates(["_d1", "_d2"]), "compared-sets")
+    made = bounded(rows).mapInArrow(trimmed(run), "_d1 long, _d2 long, _set binary, " + ", ".join(f"{c} long" for c in SKETCH))
+    return store.written(made.dropDuplicates(["_d1", "_d2"]), "compared-sets")
 
 
 _EDGE = ["a1", "a2", "b1", "b2"]
@@ -296,6 +308,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def block_pairs(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs across groups that share a list and that no bound rules out: _EDGE, n, m (sizes), x, y (groups).
+
+    A list is cut into blocks by classes of set sizes and of places in the order. If i and j are the places of the first
+    shingle that sets of n <= m members share, then needed(n + m) <= n - i and <= m - j: the first bounds m, and with m the
+    second bounds j. So a set, by its size and place, looks into few blocks of its list, those of sets as large or larger,
+    and passes the others by before any join. What it meets must also fit its hub's and the parity sketches' bounds: two
+    sets share at most half of what their sizes exceed their sketches' differing bits by.
+    """
+    size_class = lambda n: f"cast(floor(ln({n}) / ln({SIZE_STEP})) as int)"
+    place_class = lambda j: f"cast(floor(ln({j} + 1) / ln({PLACE_STEP})) as int)"
+    least = lambda total: f"(({percent} * ({total}) + {99 + percent}) div {100 + percent})"
+    most = f"((n - pos) * {100 + percent} div {percent} - n)"
+    top = f"least({most}, cast(ceil(pow({SIZE_STEP}, c + 1)) as long) + 1)"
+    place = f"({top} - {least(f'n + {top}')})"
+    seen = f"if({most} < n, array(), flatten(transform(sequence({size_class('n')}, {size_class(most)}), c -> transform(if({place} < 0, array(), sequence(0, {place_class(place)})), q -> named_struct('c', c, 'q', q)))))"
+    indexed = listed.selectExpr("*", f"{size_class('n')} as c", f"{place_class('pos')} as q").alias("b")
+    asking = listed.selectExpr("*", f"explode({seen}) as block").selectExpr("*", "block.c as c", "block.q as q").alias("a")
+    differ = " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in SKETCH)
+    of_both = least("a.n + b.n")
+    met = asking.join(indexed, F.expr(f"""
+        a.shingle = b.shingle and a.c = b.c and a.q = b.q and a.grp <> b.grp and (a.n < b.n or a.n = b.n and a.grp < b.grp)
+        and a.pos + {of_both} <= a.n and b.pos + {of_both} <= b.n
+        and least(a.with_hub, b.with_hub) + least(a.n - a.with_hub, b.n - b.with_hub) >= {of_both}
+        and (a.n + b.n - ({differ})) div 2 >= {of_both}"""))
+    return met.selectExpr("a.d1 as a1", "a.d2 as a2", "b.d1 as b1", "b.d2 as b2", "a.n as n", "b.n as m", "a.grp as x", "b.grp as y").distinct()
+
+
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each of docs: _id, n_shingles, component_id (the smallest id that links reach)."""
     sets = document_sets(docs, id_col, text_col)
@@ -328,11 +368,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     here = here.join(known.select(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.col("b1").alias("h1"), F.col("b2").alias("h2"), "common"), ["d1", "d2", "h1", "h2"], "left")
     here = store.written(here.select("shingle", "d1", "d2", "n", "pos", F.coalesce("label", "_rep").alias("grp"), F.coalesce("common", "n").alias("with_hub")), "grouped")
     mixed = here.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("shingle")
-    here = here.join(mixed, "shingle", "left_semi")
-    a, b = here.alias("a"), here.alias("b")
-    least = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
-    pairs = a.join(b, F.expr(f"a.shingle = b.shingle and a.grp < b.grp and a.pos + {least} <= a.n and b.pos + {least} <= b.n and least(a.with_hub, b.with_hub) + least(a.n - a.with_hub, b.n - b.with_hub) >= {least}"))
-    pairs = pairs.select(F.col("a.d1").alias("a1"), F.col("a.d2").alias("a2"), F.col("b.d1").alias("b1"), F.col("b.d2").alias("b2"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.grp").alias("x"), F.col("b.grp").alias("y")).distinct()
+    here = here.join(mixed, "shingle", "left_semi").join(shingle_sets.select(F.col("_d1").alias("d1"), F.col("_d2").alias("d2"), *SKETCH), ["d1", "d2"])
+    pairs = block_pairs(store.written(here, "lists"), percent)
     pairs = store.written(pairs, "pairs")
     across = overlaps(pairs.select(*_EDGE), shingle_sets).join(pairs, _EDGE).where(similar).select("x", "y")
     merged = components(across)
