@@ -1,13 +1,17 @@
 """Operators of the llm subpackage on small tables with odd rows, against brute force."""
 
+import base64
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -138,6 +142,84 @@ def test_battery_finds_each_encoding(spark):
     assert false <= 0.01 * found, (false, found)
 
 
+def battery_by_force(token):
+    """(band, bucket) of a token, None without an encoding."""
+    found = next((k for k, (_, form, _) in enumerate(secrets.ENCODINGS) if re.search(form, token)), None)
+    if found is None:
+        return None
+    letters, core = secrets.ENCODINGS[found][2], token.rstrip("=")
+    index = [letters.index(c) for c in core]
+    n, size = len(index), len(letters)
+
+    def log_p(z):
+        return math.log(math.erfc(abs(z) / math.sqrt(2))) if abs(z) < 30 else -z * z / 2 - math.log(abs(z) * math.sqrt(math.pi / 2))
+
+    chi = sum((c - n / size) ** 2 / (n / size) for c in Counter(index).values()) + (size - len(set(index))) * n / size
+    spread = 2 / (9 * (size - 1))
+    z_chi = ((max(chi, 0) / (size - 1)) ** (1 / 3) - 1 + spread) / math.sqrt(spread)
+    high = [i >= size / 2 for i in index]
+    up = sum(high)
+    runs, mean_runs = 1 + sum(a != b for a, b in zip(high, high[1:])), 1 + 2 * up * (n - up) / n
+    z_runs = (runs - mean_runs) / math.sqrt(max(1e-9, (mean_runs - 1) * (mean_runs - 2) / max(n - 1, 1)))
+    mean = sum(index) / n
+    z_serial = sum((a - mean) * (b - mean) for a, b in zip(index, index[1:])) / max(1e-9, sum((a - mean) ** 2 for a in index)) * math.sqrt(n)
+    half = -(log_p(z_chi) + log_p(z_runs) + log_p(z_serial))
+    log_random = math.log(1 + half + half * half / 2) - half
+    by_letter, by_first, by_after = secrets.null_odds(letters)
+    kinds = [secrets._kind(c) for c in core]
+    odds = sum(by_letter[i] for i in index) + by_first[kinds[0]] + sum(by_after[4 * a + b] for a, b in zip(kinds, kinds[1:]))
+    log_null = min(0.0, -odds - log_random)
+    band = sum(n >= least for least in secrets.BANDS[1:])
+    return band, min(300, math.floor(-10 * log_null / math.log(10))) if log_random >= math.log(secrets.LEAST_RANDOM_P) else 0
+
+
+def random_spans_by_force(texts):
+    tokens = [(i, m.start(), m.end(), battery_by_force(m[0])) for i, t in enumerate(texts) for m in re.finditer(secrets.TOKEN, t)]
+    tokens = [t for t in tokens if t[3]]
+    out = defaultdict(list)
+    for band in {t[3][0] for t in tokens}:
+        buckets = sorted((t[3][1] for t in tokens if t[3][0] == band), reverse=True)
+        reached = [b for b in buckets if len(buckets) * 10 ** (-b / 10) <= secrets.FALSE_DISCOVERIES * sum(x >= b for x in buckets)]
+        for i, start, end, (of, bucket) in tokens:
+            if reached and of == band and bucket >= min(reached):
+                out[i].append((start, end))
+    return out
+
+
+def test_random_spans_by_force(spark):
+    rng = random.Random(11)
+    words = "account payment Service customer report Project number of the new value 2024 session update7 _ - + x1".split()
+    texts = []
+    for _ in range(500):
+        parts = []
+        for _ in range(rng.randrange(6)):
+            letters = rng.choice([e[2] for e in secrets.ENCODINGS] + ["ab1", "aA1/"])
+            parts.append("".join(rng.choices(letters, k=rng.randrange(16, 120))) + rng.choice(["", "", "=", "=="]))
+            parts.append("".join(rng.choice(words) for _ in range(rng.randrange(1, 9))))
+        rng.shuffle(parts)
+        texts.append(rng.choice([" ", " é "]).join(parts))
+    want = random_spans_by_force(texts)
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: [(x.start, x.end) for x in r.secret_spans if x.kind == 3] for r in got.collect()} == {i: sorted(want[i]) for i in range(500)}
+    assert sum(map(len, want.values())) > 300
+
+
+def test_far_tails(spark):
+    zs = [0.0, 0.5, -1.0, 2.0, -4.0, 6.0, 8.0, 20.0, 30.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(secrets._log_two_sided(F.col("z"))).collect()
+    for z, (value,) in zip(zs, got):
+        assert value == pytest.approx(math.log(math.erfc(abs(z) / math.sqrt(2))), abs=1e-6)
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "é" + " ".join(f"token={i:012d}" for i in range(20_000)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.time()
+    found = secrets.scan_secrets(docs).select(F.size("secret_spans").alias("n"), secrets.redacted(F.col("text"), F.col("secret_spans")).alias("t")).first()
+    assert time.time() - begun < 60
+    assert (found.n, found.t) == (20_000, "é" + " ".join(["[REDACTED]"] * 20_000) + " end")
+
+
 def test_redaction(spark):
     text = "é password=abcdefabcdefabcdef01 and token = 'ABCDEFGHIJKLMNOP' end"
     df = secrets.scan_secrets(spark.createDataFrame([(text,), ("clean",)], "text string"))
@@ -201,6 +283,43 @@ def test_chunks_and_very_frequent_shingles(monkeypatch, spark):
     assert by_row(got, "_id", "n_shingles", "component_id") == groups_by_force(rows)
 
 
+def test_sets_of_few_common_passages(spark):
+    # every shingle is very frequent, so lists are long and hold many sets that are not similar
+    rng = random.Random(12)
+    passages = [[f"p{k}w{i}" for i in range(8)] for k in range(14)]
+    rows = []
+    for i in range(300):
+        words = [w for k in rng.sample(range(14), rng.randrange(2, 9)) for w in passages[k]]
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = f"new{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(got, "_id", "n_shingles", "component_id") == groups_by_force(rows)
+
+
+def test_blocks_lose_no_pair(spark):
+    rng = random.Random(13)
+    universe = [rng.getrandbits(64) for _ in range(60)]
+    sets = {}
+    for i in range(120):
+        sets[i] = np.array(sorted(rng.sample(universe, rng.randrange(1, 40))), np.uint64)
+        if i % 3 == 2:  # near another
+            kept = [x for x in sets[i - 1] if rng.random() > 0.05] or [universe[0]]
+            sets[i] = np.array(sorted(kept), np.uint64)
+    rows = []
+    for i, s in sets.items():
+        sketch = [int(x) for x in jaccard.parity_sketch(s)]
+        for pos, h in enumerate(s[: int(jaccard.prefix_length(80, np.array(len(s))))]):
+            rows.append((int(h >> np.uint64(1)), i, 0, len(s), pos, i, len(s), *sketch))
+    listed = spark.createDataFrame(rows, "shingle long, d1 long, d2 long, n long, pos long, grp long, with_hub long, _s0 long, _s1 long, _s2 long, _s3 long")
+    found = {frozenset((r.a1, r.b1)) for r in jaccard.block_pairs(listed, 80).collect()}
+    similar = {frozenset((i, j)) for i in sets for j in sets if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert similar and similar <= found
+    # a list of 100,000 sets that are not similar ends and yields nothing
+    many = spark.range(100_000).selectExpr("1L as shingle", "id as d1", "0L as d2", "40L as n", "id % 9 as pos", "id as grp", "40L as with_hub", *[f"xxhash64(id, {k}) as {c}" for k, c in enumerate(jaccard.SKETCH)])
+    assert jaccard.block_pairs(many, 80).count() == 0
+
+
 # -- chat ---------------------------------------------------------------------
 
 
@@ -289,15 +408,51 @@ def random_texts(n):
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(n)]
 
 
+def latin_words(n):
+    rng = random.Random(8)
+    letters = [chr(c) for c in [*range(33, 127), *range(161, 592)]]
+    plain = [c for c in letters if c.isalpha()]
+    return ["".join(rng.choices(plain, k=rng.randrange(1, 9))) + "".join(rng.choices(letters, k=rng.randrange(3))) for _ in range(n)]
+
+
+def ids_of(encoder, texts):
+    ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])]
+
+
+def test_plain_words_by_columns(spark, empty):
+    texts = [" ".join(latin_words(40)) for _ in range(400)] + [chr(c) + "x" for c in range(161, 592)]
+    for path, encoder in ((BYTE, bpe.Encoder(BYTE, bpe.build_lexicon(empty, BYTE))), (WORD, packing.WordIds(WORD))):
+        tokenizer = Tokenizer.from_file(path)
+        for text, ids in zip(texts, ids_of(encoder, texts)):
+            assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("kind", ["letters", "one letter", "base64", "ideographs"])
+def test_long_unbroken_texts(spark, empty, kind):
+    rng = random.Random(9)
+    text = {
+        "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)),
+        "one letter": lambda: "a" * 300_000,
+        "base64": lambda: base64.b64encode(rng.randbytes(750_000)).decode(),
+        "ideographs": lambda: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300_000)),
+    }[kind]()
+    for path, encoder in ((BYTE, bpe.Encoder(BYTE, bpe.build_lexicon(empty, BYTE))), (WORD, packing.WordIds(WORD))):
+        begun = time.process_time()
+        (ids,) = ids_of(encoder, [text])
+        assert time.process_time() - begun < 30
+        assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_byte_bpe(spark, odd, empty):
     tokenizer = Tokenizer.from_file(BYTE)
     lexicon = bpe.build_lexicon(odd, BYTE, max_words=50)
     encoder = bpe.Encoder(BYTE, lexicon)
     texts = random_texts(1500)
-    for text, ids in zip(texts, encoder.encode(texts)):
+    for text, ids in zip(texts, ids_of(encoder, texts)):
         want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want, text
-        assert encoder.vocab.decode(ids) == tokenizer.decode(want, skip_special_tokens=False)
+        assert ids == want, text
+        assert encoder.vocab.decode(np.array(ids, "<u4").tobytes()) == tokenizer.decode(want, skip_special_tokens=False)
     back = bpe.decode(bpe.encode(odd, BYTE, lexicon), BYTE)
     assert by_row(back, "doc_id", "decoded_text") == sorted(((r[0], r[1] or "") for r in ODD), key=repr)
     assert back.columns == [*odd.columns, "ids", "decoded_text"]
@@ -316,8 +471,8 @@ def test_packing(spark, odd, empty):
     tokenizer = Tokenizer.from_file(WORD)
     words = packing.WordIds(WORD)
     texts = random_texts(1500)
-    for text, ids in zip(texts, words.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    for text, ids in zip(texts, ids_of(words, texts)):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
     rows = [tuple(r) for r in packing.pack(odd, WORD, window=64).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids").collect()]
     whole = Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in (r[:2] for r in ODD))
     assert sum(r[2] for r in rows) == sum(len(ids) * n for (_, ids), n in whole.items())
@@ -443,3 +598,38 @@ def test_members_and_monoliths():
     members = b"".join(map(gzip.compress, records))
     for raw in (mono, members):
         assert list(warc.split_records(warc.inflated(io.BytesIO(raw)))) == records
+
+
+def test_truncated_archives_are_refused(spark):
+    import gzip
+    import io
+    import zlib
+
+    records = [warc.record_bytes(i, "u", b"p" * 1000, "0" * 64, None, False) for i in range(6)]
+    whole = gzip.compress(b"".join(records))
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    at_third = packer.compress(b"".join(records[:3])) + packer.flush(zlib.Z_FULL_FLUSH)
+    for cut in (whole[:-8], whole[:-1], whole[: len(whole) // 2], whole[:5], at_third):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.split_records(warc.inflated(io.BytesIO(cut))))
+    # whole members of which some are gone are told by the manifest's count
+    df = spark.createDataFrame([(i, "u", f"{i}" * 200) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    root = store.scratch(spark, "warc-test")
+    manifest = warc.write_archives(df, root)
+    (row,) = manifest.collect()
+    files = store.Files(root)
+    with files.write(row.archive) as f:
+        f.write(b"".join(map(gzip.compress, records[:3])))
+    with pytest.raises(Exception, match="3 records, but 6 were written"):
+        warc.normalise_archives(manifest, root)
+
+
+def test_archives_leave_no_orphans(spark):
+    import os
+    from urllib.parse import urlparse
+
+    df = spark.createDataFrame([(i, "u", f"{i}" * 200) for i in range(20)], "page_id long, url string, html string").repartition(3)
+    root = store.scratch(spark, "warc-test")
+    manifest = warc.normalise_archives(warc.write_archives(df, root), root)
+    named = {r[name] for r in manifest.collect() for name in ("archive", "index")}
+    assert set(os.listdir(urlparse(root).path)) == named
