@@ -9,6 +9,9 @@ replace input columns of the same name; all other columns pass through.
 from __future__ import annotations
 
 import string
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,59 +38,99 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(7), key).alias("_h2")]
 
 
+#: While runs are written, Spark trusts the order of buckets that are one file each, and does not move an anti-join below
+#: the count that comes before it: a line that many documents hold is added up before it is shuffled.
+WHILE_WRITTEN = {
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 class LineRuns:
     """Sorted runs (_h1, _h2, _n) in levels: `fanout` runs of a level are merged into one of the next.
 
     _n is the number of documents with the key in the run's batches. A key that one run already holds
-    `min_docs` times is settled, and later batches leave it out by a merge anti-join.
+    `min_docs` times is settled, and later batches leave it out by merge anti-joins. A run is a table bucketed and sorted
+    by its key, a file a bucket: a new batch is shuffled and sorted once, the runs that it meets are neither, and
+    two runs are merged bucket by bucket where they lie.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.root, self.levels, self.made = store.scratch(spark, "line-runs"), [[]], 0
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("_h1 long, _h2 long, _n long").parquet(*paths)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.root, self.levels = store.scratch(spark, "line-runs"), [[]]
 
     def _write(self, run: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.root}/run={self.made}"
-        run.sortWithinPartitions("_h1", "_h2").write.parquet(path)
-        return path
+        name = f"seamline_line_run_{uuid.uuid4().hex}"
+        writer = run.write.format("parquet").bucketBy(self.buckets, "_h1", "_h2").sortBy("_h1", "_h2")
+        writer.option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        store.remove(self.spark, f"{self.root}/{name}")
 
-    def paths(self) -> list[str]:
-        return [path for level in self.levels for path in level]
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def add(self, keys: DataFrame) -> None:
         """keys: _h1, _h2 once for each document of the batch that holds the key."""
-        run = keys.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-        if self.paths():
-            settled = self._read(self.paths()).where(F.col("_n") >= self.min_docs).select("_h1", "_h2")
-            run = run.join(settled.hint("merge"), ["_h1", "_h2"], "left_anti")
-        self.levels[0].append(self._write(run))
-        self._compact()
+        with _settings(self.spark, WHILE_WRITTEN):
+            run = keys.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+            for name in self.runs():
+                settled = self.spark.table(name).where(F.col("_n") >= self.min_docs).select("_h1", "_h2")
+                run = run.join(settled.hint("merge"), ["_h1", "_h2"], "left_anti")
+            self.levels[0].append(self._write(run))
+            self._compact()
 
     def _compact(self) -> None:
         for depth, level in enumerate(self.levels):
-            if len(level) < self.fanout:
-                continue
-            merged = self._write(self._merged(level))
-            for path in level:
-                store.remove(self.spark, path)
-            level.clear()
-            if depth + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[depth + 1].append(merged)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("_h1", "_h2").agg(F.sum("_n").alias("_n"))
+            while len(level) >= self.fanout:
+                merged = level[0]
+                for other in level[1:]:
+                    both = self._write(self._merged(merged, other))
+                    self._drop(merged)
+                    self._drop(other)
+                    merged = both
+                level.clear()
+                if depth + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[depth + 1].append(merged)
+
+    def _merged(self, left: str, right: str) -> DataFrame:
+        a, b = (self.spark.table(name).select(F.col("_h1").alias(f"{side}1"), F.col("_h2").alias(f"{side}2"), F.col("_n").alias(f"{side}n")) for side, name in (("a", left), ("b", right)))
+        both = a.join(b.hint("merge"), (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")), "full_outer")
+        return both.select(F.coalesce("a1", "b1").alias("_h1"), F.coalesce("a2", "b2").alias("_h2"), (F.coalesce("an", F.lit(0)) + F.coalesce("bn", F.lit(0))).alias("_n"))
 
     def frequent(self) -> DataFrame:
         """Keys of at least min_docs documents over all batches, written and read back."""
-        if not self.paths():
+        names = self.runs()
+        if not names:
             return self.spark.createDataFrame([], "_h1 long, _h2 long")
-        keys = self._merged(self.paths()).where(F.col("_n") >= self.min_docs).select("_h1", "_h2")
-        return store.written(keys, "frequent-lines")
+        every = self.spark.table(names[0])
+        if len(names) > 1:
+            for name in names[1:]:
+                every = every.unionByName(self.spark.table(name))
+            every = every.groupBy("_h1", "_h2").agg(F.sum("_n").alias("_n"))
+        return store.written(every.where(F.col("_n") >= self.min_docs).select("_h1", "_h2"), "frequent-lines")
+
+    def close(self) -> None:
+        for name in self.runs():
+            self._drop(name)
+        store.remove(self.spark, self.root)
+        self.levels = [[]]
 
 
 def dedup_lines(
@@ -110,6 +153,7 @@ def dedup_lines(
     for batch in range(batches):
         runs.add(keys.where(F.col("_batch") == batch).select("_h1", "_h2"))
     frequent = runs.frequent()
+    runs.close()
 
     mark = [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(7), text).alias("_t2")]
     lines = (
