@@ -21,8 +21,8 @@ from . import store
 from .batches import bounded, mapped
 
 UNKNOWN = "und"
-#: Rows that calibrate scores, at most: those of the smallest hash of their id.
-MAX_CALIBRATION = 2_000
+#: Rows that calibrate scores, at most: those of the smallest hash of id and text, and no more than this share of all.
+MAX_CALIBRATION, CALIBRATION_SHARE = 2_000, 0.1
 #: Confidence below which a language is rejected is the share REJECT of calibration rows' confidences.
 REJECT = 0.005
 BITS = 21  # of a code point, so that three of them fit in 63 bits: hashes of trigrams are exact
@@ -188,51 +188,61 @@ def confidence(entropy: np.ndarray, temperature: float) -> float:
 
 
 def fit_identifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Models from all rows of docs with a language; the temperature maximises the likelihood of at most MAX_CALIBRATION rows.
+    """Models from all rows of docs with a language.
 
     A task sums trigrams of a language in sorted arrays and sends each once; the driver gets the summed table, whose
     size follows the languages' different trigrams and not the rows, and writes models that workers map into memory.
+    The temperature maximises the likelihood of calibration rows (at most MAX_CALIBRATION) under models that were
+    counted without them; the models that judge then count these rows too.
     """
     spark = docs.sparkSession
     known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang")).where("_lang is not null and _text is not null")
+    known = known.select("_text", "_lang", F.xxhash64("_id", "_text").alias("_hash"))
+    drawn = [r[0] for r in known.select("_hash").orderBy("_hash").limit(MAX_CALIBRATION).collect()]
+    drawn = drawn[: int(min(MAX_CALIBRATION, CALIBRATION_SHARE * known.count()))]
+    last = drawn[-1] if drawn else None
+    apart = F.col("_hash") <= F.lit(last) if drawn else F.lit(False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        total: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            held: dict[str, list] = {}
-            for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()):
-                held.setdefault(lang, []).append(trigrams(text))
-            for lang, found in held.items():
-                found.append(total.get(lang, (np.empty(0, np.int64),) * 2))
-                total[lang] = added([c for c, _ in found], [n for _, n in found])
-        for lang, (codes, n) in total.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes), "n": pa.array(n)})
-
-    summed = bounded(known.select("_text", "_lang")).mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+            held: dict[tuple[str, bool], list] = {}
+            for text, lang, out in zip(*(batch.column(c).to_pylist() for c in ("_text", "_lang", "_apart"))):
+                held.setdefault((lang, out), []).append(trigrams(text))
+            for key, found in held.items():
+                found.append(total.get(key, (np.empty(0, np.int64),) * 2))
+                total[key] = added([c for c, _ in found], [n for _, n in found])
+        for (lang, out), (codes, n) in total.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "apart": pa.array([out] * len(codes), pa.bool_()), "code": pa.array(codes), "n": pa.array(n)})
+
+    summed = bounded(known.select("_text", "_lang", apart.alias("_apart"))).mapInArrow(run, "lang string, apart boolean, code long, n long").groupBy("lang", "apart", "code").agg(F.sum("n").alias("n"))
     table = summed.toArrow()
     langs, codes, n = table.column("lang").to_numpy(), table.column("code").to_numpy(), table.column("n").to_numpy()
-    counts = {}
-    for lang in sorted(set(langs)):
-        mine = langs == lang
-        order = np.argsort(codes[mine])
-        counts[lang] = codes[mine][order], n[mine][order]
-    if not counts:
+    out = table.column("apart").to_numpy()
+
+    def counts(rows: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        return {lang: added([codes[rows & (langs == lang)]], [n[rows & (langs == lang)]]) for lang in sorted(set(langs[rows]))}
+
+    if not len(langs):
         return Identifier([], None)
-    folder = store.scratch(spark, "language-models")
-    models = Models.fit(counts)
+    models, folder = Models.fit(counts(np.ones(len(langs), bool))), store.scratch(spark, "language-models")
     models.save(store.Files(folder))
-    plain = Identifier(models.languages, folder)
-    sample = known.join(F.broadcast(known.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(MAX_CALIBRATION).distinct()), "_id").select("_text", "_lang")
+    if not drawn or out.all():
+        return Identifier(models.languages, folder)
+    without, apart_folder = Models.fit(counts(~out)), store.scratch(spark, "language-models")
+    without.save(store.Files(apart_folder))
+    plain = Identifier(without.languages, apart_folder)
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(e.tolist(), plain.languages.index(lang)) for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()) if (e := plain.entropies(text)) is not None]
-            yield pa.RecordBatch.from_pydict({"e": pa.array([e for e, _ in rows], pa.list_(pa.float64())), "k": pa.array([k for _, k in rows], pa.int64())})
+            rows = [(e.tolist(), plain.languages.index(lang), h) for text, lang, h in zip(*(batch.column(c).to_pylist() for c in ("_text", "_lang", "_hash"))) if lang in plain.languages and (e := plain.entropies(text)) is not None]
+            yield pa.RecordBatch.from_pydict({"e": pa.array([r[0] for r in rows], pa.list_(pa.float64())), "k": pa.array([r[1] for r in rows], pa.int64()), "h": pa.array([r[2] for r in rows], pa.int64())})
 
-    got = bounded(sample).mapInArrow(entropies, "e array<double>, k long").toArrow()
+    # a row may stand in any number of copies; the bound holds for them too
+    got = bounded(known.where(apart)).mapInArrow(entropies, "e array<double>, k long, h long").orderBy("h", "k").limit(MAX_CALIBRATION).select("e", "k").toArrow()
     truth = got.column("k").to_numpy()
     if not len(truth):
-        return plain
+        return Identifier(models.languages, folder)
     e = np.array(got.column("e").to_pylist(), float)
     order = np.lexsort([*e.T, truth])
     e, truth = e[order], truth[order]
@@ -240,7 +250,7 @@ def fit_identifier(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     loss = lambda t: float((e[np.arange(len(e)), truth] * t + np.log(np.exp(-e * t).sum(1))).mean())
     temperature = min((float(t) for t in np.geomspace(0.5, 64, 43)), key=loss)
     scores = 1 / np.exp(-e * temperature).sum(1)
-    return Identifier(plain.languages, folder, temperature, float(np.quantile(scores, REJECT)))
+    return Identifier(models.languages, folder, temperature, float(np.quantile(scores, REJECT)))
 
 
 def identify(docs: DataFrame, model: Identifier, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
