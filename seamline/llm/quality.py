@@ -181,19 +181,22 @@ def labelled_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_c
     """FEATURES and labels of at most max_labelled labelled documents that pass the base rules."""
     ident = F.col(f"`{label_id_col}`").cast("long")
     sample = labels.select(ident.alias("_id"), F.col(f"`{label_col}`").cast("double").alias("_y")).where("_id is not null and _y is not null").orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_labelled)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(sample), "_id")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(sample), "_id").select(F.xxhash64("_id", "_text").alias("_hash"), "_text", "_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
-            for text, label in zip(batch.column("_text").to_pylist(), batch.column("_y").to_pylist()):
+            x, y, h = [], [], []
+            for text, label, ident in zip(*(batch.column(c).to_pylist() for c in ("_text", "_y", "_hash"))):
                 base, features = statistics(text)
                 if not base_failed(base):
                     x.append(features)
                     y.append(label)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.float64())})
+                    h.append(ident)
+            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.float64()), "h": pa.array(h, pa.int64())})
 
-    got = bounded(rows.select("_text", "_y")).mapInArrow(trimmed(run), "x array<double>, y double").toArrow()
+    # an id may stand in any number of documents; the bound holds for them too
+    found = bounded(rows).mapInArrow(trimmed(run), "x array<double>, y double, h long")
+    got = found.orderBy("h", "y").limit(max_labelled).select("x", "y").toArrow()
     y = got.column("y").to_numpy()
     x = np.array(got.column("x").to_pylist(), float).reshape(len(y), len(FEATURES))
     order = np.lexsort([*x.T, y])  # rows come in any order; sums of floats shall not depend on it
