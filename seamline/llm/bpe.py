@@ -31,6 +31,8 @@ from .batches import bounded, mapped
 LEXICON_WORDS, WORD_BYTES = 65_536, 32
 #: Counted or merged words that a worker holds at once; longer ones than so many characters are not held beyond their batch.
 HELD_WORDS, HELD_CHARS = 200_000, 256
+#: Counts of words that a worker holds at once, in columns.
+HELD_ROWS = 1_000_000
 #: Texts of a batch, at most; its bytes are bounded too.
 BATCH_ROWS = 6_000
 #: Fixed value: how a byte-level tokenizer of this kind cuts text into words.
@@ -380,39 +382,37 @@ def _npy(array: np.ndarray) -> bytes:
 
 
 def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """word, n over all texts; each task sends a word once for every HELD_WORDS different ones."""
+    """word, n over all texts; a task adds up about HELD_ROWS rows of (word, n) before it sends them on."""
     rows = bounded(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS)
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        held: Counter = Counter()
+    def counted(texts: pa.Array) -> pa.Table:
+        """Plain blocks are cut by columns, all others one by one."""
         cut = vocabulary(tokenizer).words
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        others: Counter = Counter(chain.from_iterable(map(cut, texts.filter(uneven).to_pylist())))
+        found = blocks(texts.filter(pc.invert(uneven))).flatten().value_counts()
+        block, n = found.field(0), found.field(1)
+        parts = pc.extract_regex(block, PLAIN_SPACED)
+        odd = parts.is_null()
+        for word, times in zip(block.filter(odd).to_pylist(), n.filter(odd).to_pylist()):
+            for w in cut(word):
+                others[w] += times
+        plain, times = parts.drop_null(), n.filter(parts.is_valid())
+        marked = pc.not_equal(plain.field("b"), "")
+        words = [plain.field("a"), plain.field("b").filter(marked), pa.array(list(others), pa.string())]
+        return pa.table([pa.chunked_array(words), pa.chunked_array([times, times.filter(marked), pa.array(list(others.values()), pa.int64())])], schema=schema)
 
-        def flushed() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
-            words.clear()
-            return made
-
-        def cut_held() -> None:
-            for block, n in held.items():
-                for word in cut(block):
-                    words[word] += n
-            held.clear()
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = schema.empty_table()
         for batch in batches:
-            texts = batch.column("_text")
-            uneven = pc.match_substring_regex(texts, UNEVEN)
-            for text in texts.filter(uneven).to_pylist():
-                words.update(cut(text))
-            found = blocks(texts.filter(pc.invert(uneven))).flatten().value_counts()
-            for block, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
-                held[block] += n
-            if len(held) > HELD_WORDS:
-                cut_held()
-            if len(words) > HELD_WORDS:
-                yield flushed()
-        cut_held()
-        yield flushed()
+            held = pa.concat_tables([held, counted(batch.column("_text"))])
+            if held.num_rows > HELD_ROWS:
+                held = held.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                if held.num_rows > HELD_ROWS // 2:
+                    yield from held.to_batches(max_chunksize=HELD_WORDS)
+                    held = schema.empty_table()
+        yield from held.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches(max_chunksize=HELD_WORDS)
 
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
