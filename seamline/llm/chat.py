@@ -124,7 +124,7 @@ class Generation:
     body: tuple
 
 
-_BLOCK = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_BLOCK = re.compile(r"\{\{(?P<v1>-?)(?P<value>.*?)(?P<v2>-?)\}\}|\{%(?P<t1>-?)(?P<tag>.*?)(?P<t2>-?)%\}|\{#(?P<c1>-?).*?(?P<c2>-?)#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|[+.|()]))")
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 
@@ -208,19 +208,24 @@ class _Expression:
 
 
 def parse(source: str) -> tuple:
-    """The template's syntax tree: a tuple of nodes."""
+    """The template's syntax tree: a tuple of nodes. A minus inside a mark drops the white space on its side."""
     parts: list[tuple[str, str]] = []
-    at = 0
+    at, trimmed = 0, False
     for m in _BLOCK.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at : m.start()]))
-        if m[1] is not None:
-            parts.append(("value", m[1]))
-        elif m[2] is not None:
-            parts.append(("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        parts.append(("text", source[at:]))
+        text = source[at : m.start()]
+        if trimmed:
+            text = text.lstrip()
+        if m["v1"] or m["t1"] or m["c1"]:
+            text = text.rstrip()
+        if text:
+            parts.append(("text", text))
+        if m["value"] is not None:
+            parts.append(("value", m["value"]))
+        elif m["tag"] is not None:
+            parts.append(("tag", m["tag"].strip()))
+        at, trimmed = m.end(), bool(m["v2"] or m["t2"] or m["c2"])
+    if rest := source[at:].lstrip() if trimmed else source[at:]:
+        parts.append(("text", rest))
     parts.reverse()
     body, end = _body(parts, ())
     assert end == ""
@@ -418,20 +423,25 @@ class Rendered:
         self.flush, self.piece_chars = flush, piece_chars
         self.parts: list[str] = []
         self.spans: list[tuple[int, int]] = []
-        self.at = self.begun = self.number = 0
+        self.at = self.begun = self.number = self.open = 0
 
     def say(self, text: str) -> None:
         self.parts.append(text)
         self.at += len(text)
 
     def begin(self) -> None:
-        self.begun = self.at
+        if not self.open:
+            self.begun = self.at
+        self.open += 1
 
     def end(self) -> None:
-        self.spans.append((self.begun, self.at))
+        self.open -= 1
+        if not self.open:
+            self.spans.append((self.begun, self.at))
 
     def turn_done(self) -> None:
-        if self.at >= self.piece_chars:
+        """A piece ends where it is long enough, never within a span."""
+        if self.at >= self.piece_chars and not self.open:
             self.close()
 
     def close(self) -> None:
