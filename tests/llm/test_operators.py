@@ -345,6 +345,18 @@ def test_chat_rows_and_pieces(spark):
     assert chat.chatml_digests(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_trim_marks_and_loops_within_spans():
+    out = []
+    render = chat.compile_template("a \n{%- for m in messages -%}\n {{- m.content -}} \n{% endfor %} \n{#- gone -#}\n b")
+    render(({"content": c} for c in "xy"), chat.Rendered(lambda n, text, spans: out.append((n, text, spans))))
+    assert out == [(0, "axyb", [])]
+    pieces = []
+    render = chat.compile_template("{% generation %}{% for m in messages %}{{ m.content }}{% generation %}!{% endgeneration %}{% endfor %}{% endgeneration %}{% for m in messages %}.{% endfor %}")
+    render([{"content": "long text"}] * 3, chat.Rendered(lambda n, text, spans: pieces.append((n, text, spans)), piece_chars=4))
+    assert "".join(p[1] for p in pieces) == "long text!" * 3 + "..."
+    assert [p[1][a:b] for p in pieces for a, b in p[2]] == ["long text!" * 3]
+
+
 def test_template_language():
     def render(source, turns=()):
         out = []
