@@ -27,13 +27,22 @@ def component_nodes(files: DataFrame, symbols: DataFrame, commit_files: DataFram
     return all_.withColumns({"size": size, "risk": infer.component_risk(F.col("commits"), F.col("authors"), F.col("files"), F.coalesce("is_service", F.lit(False)))})
 
 
-def component_edges(links: DataFrame, examples: int = 10) -> DataFrame:
-    """source, target, edge_type, weight and the first examples of links (source_component, target_component, edge_type, example)."""
-    across = links.where("source_component <> target_component")
-    first = Window.partitionBy("source_component", "target_component", "edge_type").orderBy("example")
+def component_edges(links: DataFrame, examples: int = 10, reasons: int = 5) -> DataFrame:
+    """source, target, edge_type, weight, and the first examples and reasons of links, joined by |.
+
+    links: source_component, target_component, edge_type, example and, if known, reason. Links are counted with map-side
+    sums; only the first of each group are ranked, which Spark cuts off before the shuffle.
+    """
     keys = ["source_component", "target_component", "edge_type"]
-    shown = across.withColumn("_n", F.row_number().over(first)).groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("_n") <= examples, F.col("example")))), "|").alias("examples"))
-    return shown.withColumnsRenamed({"source_component": "source", "target_component": "target"})
+    across = links.where("source_component <> target_component")
+    made = across.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"))
+    for column, many, name in (("example", examples, "examples"), ("reason", reasons, "reasons")):
+        if column in links.columns:
+            first = Window.partitionBy(*keys).orderBy(column)
+            shown = across.select(*keys, column).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= many)
+            shown = shown.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(column)), "|").alias(name))
+            made = made.join(shown, keys, "left")
+    return made.withColumnsRenamed({"source_component": "source", "target_component": "target"})
 
 
 def node_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import infer
+from .lineage import kept
 
 #: What an edge adds to the rank of its ends.
 EDGE_BONUS = {"CALLS": 28.0, "INHERITS": 24.0, "REFERENCES": 20.0, "CONTAINS": 10.0, "IMPORTS": 8.0, "DEFINES": 6.0}
@@ -72,22 +73,20 @@ def dependencies(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return into.union(out).groupBy("key").agg(pick("in", "CALLS", "callers"), pick("out", "CALLS", "callees"), pick("out", "INHERITS", "parents"), pick("in", "REFERENCES", "referrers"), pick("in", "IMPORTS", "importers"))
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    pair = edges.select(F.col("source_key").alias("a"), F.col("target_key").alias("b"))
-    return pair.union(pair.select("b", "a")).distinct()
-
-
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
-    """key, dist of what seeds (key) reach within depth hops: a join for each hop, against what is not yet reached."""
-    pair = edges.select(F.col("source_key").alias("a"), F.col("target_key").alias("b"))
-    steps = {"both": lambda: undirected(edges), "out": lambda: pair.distinct(), "in": lambda: pair.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()}[direction]()
+    """key, dist of what seeds (key) reach within depth hops, along edges (out), against them (in) or both.
+
+    The pairs are computed once. A hop joins the frontier, which is small and often broadcast, with the pairs on the
+    sides that the direction asks for, and only what it meets is made distinct and compared with what is reached.
+    """
+    pairs = kept(edges.select("source_key", "target_key"))
     reached = seeds.select("key").distinct().withColumn("dist", F.lit(0))
+    sides = {"both": [("source_key", "target_key"), ("target_key", "source_key")], "out": [("source_key", "target_key")], "in": [("target_key", "source_key")]}[direction]
     for hop in range(1, depth + 1):
-        edge_of = reached.where(F.col("dist") == hop - 1).select(F.col("key").alias("a"))
-        new = steps.join(edge_of, "a", "left_semi").select(F.col("b").alias("key")).distinct().join(reached, "key", "left_anti")
-        reached = reached.unionByName(new.withColumn("dist", F.lit(hop)))
-        if hop % 2 == 0 and hop < depth and edges.sparkSession.sparkContext.getCheckpointDir():
-            reached = reached.checkpoint()
+        frontier = reached.where(F.col("dist") == hop - 1).select(F.col("key").alias("_at"))
+        met = reduce(DataFrame.union, [pairs.join(frontier, F.col(here) == F.col("_at"), "left_semi").select(F.col(there).alias("key")) for here, there in sides])
+        new = met.distinct().join(reached, "key", "left_anti").withColumn("dist", F.lit(hop))
+        reached = kept(reached.unionByName(new))
     return reached
 
 

@@ -13,10 +13,25 @@ from ..functions import infer
 COCHANGE_FILES = 30
 
 
-def hotspots(commit_files: DataFrame, limit: int = 25) -> DataFrame:
-    """component, commits, authors, files, risk of (sha, author, path, component) rows, riskiest first."""
-    found = commit_files.groupBy("component").agg(F.count_distinct("sha").alias("commits"), F.count_distinct("author").alias("authors"), F.count_distinct("path").alias("files"))
-    found = found.withColumn("risk", F.round(F.col("commits") * F.lit(2.0) + F.col("authors") + F.col("files") * F.lit(0.4), 6))
+def hotspots(commit_files: DataFrame, limit: int = 25, *, newest: int | None = None, evidence: int = 0) -> DataFrame:
+    """component, commits, authors, files, risk of (sha, author, ts, path, component) rows, riskiest first.
+
+    newest: so many of the newest commits count, all without it; evidence: shas of a component's first rows by time,
+    newest first, one a file and so perhaps the same commit again. A commit has one author, so its rows become one a
+    component before anything is counted.
+    """
+    rows = commit_files
+    if newest:
+        rows = rows.join(rows.select("sha", "ts").distinct().orderBy(F.desc("ts"), "sha").limit(newest).select("sha"), "sha", "left_semi")
+    by_author = rows.select("component", "author", "sha").distinct().groupBy("component", "author").agg(F.count(F.lit(1)).alias("n"))
+    people = by_author.groupBy("component").agg(F.sum("n").alias("commits"), F.count(F.lit(1)).alias("authors"))
+    paths = rows.select("component", "path").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("files"))
+    found = people.join(paths, "component").withColumn("risk", F.round(F.col("commits") * F.lit(2.0) + F.col("authors") + F.col("files") * F.lit(0.4), 6))
+    if evidence:
+        first = Window.partitionBy("component").orderBy(F.desc("ts"), "sha", "path")
+        shown = rows.select("component", "ts", "sha", "path").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= evidence)
+        shown = shown.groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col("sha").cast("string").alias("sha")))), lambda x: x["sha"]).alias("evidence"))
+        found = found.join(shown, "component")
     return found.orderBy(F.desc("risk"), "component").limit(limit)
 
 

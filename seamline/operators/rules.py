@@ -64,7 +64,7 @@ def _severity(rule: Rule, path: Column, config: RuleConfig) -> Column:
 
 
 def findings(files: DataFrame, *, rules: list[Rule] = RULES, config: RuleConfig | None = None, limit: int | None = None) -> DataFrame:
-    """path, line_number, rule, severity, confidence, code of files (path, language, content), by path, line and rule.
+    """path, line_number, rule, severity, confidence, code of files (path, language, content); with a limit the first by path, line and rule.
 
     A file's lines are exploded once; all rules are tried on a line in one pass, without a join.
     """
@@ -84,8 +84,8 @@ def findings(files: DataFrame, *, rules: list[Rule] = RULES, config: RuleConfig
     anything = reduce(lambda a, r: a | F.col("content").rlike(r.pattern), rules, F.lit(False))
     lines = files.where(anything).select("path", "language", F.posexplode(tx.split_lines(F.col("content"))).alias("_at", "line"))
     found = lines.select("path", (F.col("_at") + 1).alias("line_number"), F.explode(F.array_compact(F.array(*tried))).alias("_f"), tx.redact(F.trim("line")).alias("code"))
-    found = found.select("path", "line_number", "_f.*", "code").orderBy("path", "line_number", "rule")
-    return found.limit(limit) if limit else found
+    found = found.select("path", "line_number", "_f.*", "code")
+    return found.orderBy("path", "line_number", "rule").limit(limit) if limit else found
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

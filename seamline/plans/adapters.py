@@ -60,8 +60,9 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Module (supplier) to symbol (part) edges, typed by return flag and weighted by quantity, and CONTAINS edges above modules."""
-    kind = F.when(F.col("l_returnflag") == "R", "CALLS").when(F.col("l_returnflag") == "N", "REFERENCES").otherwise("IMPORTS")
+    """Module (supplier) to symbol (part) edges, typed by return flag (calls and references by large quantities alone) and weighted by quantity, and CONTAINS edges above modules."""
+    large = F.col("l_quantity") >= 45
+    kind = F.when(large & (F.col("l_returnflag") == "R"), "CALLS").when(large & (F.col("l_returnflag") == "N"), "REFERENCES").otherwise("IMPORTS")
     uses = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", kind.alias("edge_type")).agg(F.sum("l_quantity").alias("weight"))
     target = symbols(spark, sf_dir).select(F.col("symbol_id"), F.concat(F.lit("symbol:"), "qualified_name").alias("target_key"))
     uses = uses.join(target, F.col("l_partkey") == F.col("symbol_id")).select(F.concat(F.lit("module:supplier_"), F.col("l_suppkey").cast("string")).alias("source_key"), "target_key", "edge_type", "weight")
@@ -114,7 +115,7 @@ files AS (
   SELECT c.sha, c.author, c.ts, f.path, f.component FROM commits c
   JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = c.sha JOIN files f ON f.file_id = l.l_partkey
 ), uses AS (
-  SELECT l_suppkey, l_partkey, CASE l_returnflag WHEN 'R' THEN 'CALLS' WHEN 'N' THEN 'REFERENCES' ELSE 'IMPORTS' END AS edge_type, sum(l_quantity) AS weight
+  SELECT l_suppkey, l_partkey, CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN 'CALLS' WHEN l_returnflag = 'N' AND l_quantity >= 45 THEN 'REFERENCES' ELSE 'IMPORTS' END AS edge_type, sum(l_quantity) AS weight
   FROM lineitem GROUP BY ALL
 ), edges AS (
   SELECT 'module:supplier_' || l_suppkey AS source_key, 'symbol:' || s.qualified_name AS target_key, edge_type, weight FROM uses JOIN symbols s ON s.symbol_id = l_partkey

@@ -20,23 +20,42 @@ def structural_query(index: Index, expression: str, limit: int = 50) -> DataFram
     command, value = command.strip().lower(), value.strip()
     if not colon:
         return search.find_symbols(index.symbols, expression, limit)
+    heaviest = [F.desc("weight"), F.col("source_key"), F.col("target_key"), F.col("metadata")]
     if command in ("callers", "called-by"):
-        return graph.edge_view(graph.callers(index.edges, _keys(index, value)), index.nodes).orderBy("source_key", "target_key").limit(limit)
+        return graph.edge_view(graph.callers(index.edges, _keys(index, value)), index.nodes).orderBy(*heaviest).limit(limit)
     if command in ("calls", "callees"):
-        return graph.edge_view(graph.callees(index.edges, _keys(index, value)), index.nodes).orderBy("source_key", "target_key").limit(limit)
+        return graph.edge_view(graph.callees(index.edges, _keys(index, value)), index.nodes).orderBy(*heaviest).limit(limit)
     if command == "imports":
         found = index.imports.where(search.like(F.col("module"), value) | search.like(F.coalesce("name", F.lit("")), value) | search.like(F.coalesce("alias", F.lit("")), value))
         return found.orderBy("path", "line_number").limit(limit)
     if command == "route":
-        return index.nodes.where((F.col("type") == "ROUTE") & search.like(F.col("label"), value)).orderBy("label").limit(limit)
+        return route_list(index, value, limit)
     if command == "dead":
         return graph.dead_code(index.symbols, index.edges, limit)
     if command in ("http", "api"):
-        edges = index.edges.where(F.col("edge_type") == "HTTP_CALLS")
-        return graph.edge_view(edges.where(search.like(F.col("target_key"), value)), index.nodes).orderBy("source_key", "target_key").limit(limit)
+        held = search.like(F.coalesce("source_label", F.lit("")), value) | search.like(F.coalesce("target_label", F.lit("")), value) | search.like(F.col("metadata"), value)
+        return _http_edges(index).where(held).orderBy(*heaviest).limit(limit)
     return search.find_symbols(index.symbols, value or expression, limit)
 
 
+def _http_edges(index: Index) -> DataFrame:
+    return graph.edge_view(index.edges.where(F.col("edge_type").isin("HTTP_CALLS", "HANDLES")), index.nodes)
+
+
+def http_confidence(index: Index, limit: int = 100) -> DataFrame:
+    """HTTP calls and handlers with their ends, heaviest first, and the confidence that each call's metadata tells."""
+    found = _http_edges(index).withColumn("confidence", F.get_json_object("metadata", "$.confidence").cast("double"))
+    return found.orderBy(F.desc("weight"), "source_label", "target_label", "source_key", "target_key", "metadata").limit(limit)
+
+
+def route_list(index: Index, value: str = "", limit: int = 100) -> DataFrame:
+    """key, label, file_path, metadata of routes whose label or file holds the value, by file and label."""
+    routes = index.nodes.where(F.col("type") == "ROUTE")
+    if value:
+        routes = routes.where(search.like(F.col("label"), value) | search.like(F.coalesce("file_path", F.lit("")), value))
+    return routes.select("key", "label", "file_path", "metadata").orderBy(F.asc_nulls_first("file_path"), "label", "key").limit(limit)
+
+
 def retrieve(index: Index, query: str, *, depth: int = 2, max_tokens: int = 8000) -> DataFrame:
     """Ranked snippets of code for a query under a token budget; those that don't fit are skipped, a first one is cut.
 
@@ -50,14 +69,9 @@ def retrieve(index: Index, query: str, *, depth: int = 2, max_tokens: int = 8000
     ranked = rank.rank_snippets(rows, query, graph.edge_bonus(around), matched)
     coded = ranked.join(index.files.select("path", "content"), "path").withColumn("code", tx.line_range(F.col("content"), F.col("line_start"), F.col("line_end"))).drop("content")
     coded = coded.withColumn("tokens", tx.estimate_tokens(F.col("code")))
-    items = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "path", "line_start", "qualified_name", "tokens")))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("names"))
-
-    def step(acc, x):
-        fits = (acc["used"] + x["tokens"] <= max_tokens) | (F.size(acc["names"]) == 0)
-        return F.struct(F.when(fits, acc["used"] + F.least(x["tokens"], F.lit(max_tokens))).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["names"], F.array(x["qualified_name"]))).otherwise(acc["names"]).alias("names"))
-
-    kept = coded.agg(F.aggregate(items, start, step).alias("r")).select(F.explode("r.names").alias("qualified_name"))
+    ordered = coded.select(F.lit(0).alias("_all"), (-F.col("score")).alias("order"), "path", "line_start", "qualified_name", "tokens")
+    chosen = rank.greedy_kept(ordered, "_all", ["order", "path", "line_start", "qualified_name"], "tokens", max_tokens, "qualified_name", cut_first=True)
+    kept = chosen.select(F.explode("names").alias("qualified_name"))
     out = coded.join(kept, "qualified_name").withColumn("code", tx.trim_to_tokens(F.col("code"), max_tokens))
     return out.select("path", "qualified_name", "kind", "line_start", "line_end", "score", "reason", "tokens", "code").orderBy(F.desc("score"), "path", "line_start")
 
@@ -70,10 +84,14 @@ def neighborhood(index: Index, name: str, depth: int = 1) -> DataFrame:
     return graph.traverse(index.edges, _keys(index, name), depth)
 
 
-def outline(index: Index, query: str, limit: int = 50) -> DataFrame:
-    """path and its symbols in order of lines, of files that a path, name or kind matches."""
+def outline(index: Index, query: str = "", limit: int = 80) -> DataFrame:
+    """path and its symbols in order of lines, of files that a path, name or kind matches.
+
+    As the first 8 * limit matching symbols count, by path and line, a file beyond them is not shown, or not whole.
+    """
     hit = search.like(F.col("path"), query) | search.like(F.col("name"), query) | search.like(F.col("qualified_name"), query) | search.like(F.col("kind"), query)
-    found = index.symbols.where(hit).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_start", "kind", "name"))).alias("symbols"))
+    rows = (index.symbols.where(hit) if query else index.symbols).orderBy("path", "line_start", "name").limit(8 * limit)
+    found = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_start", "name", "kind"))).alias("symbols"))
     return found.orderBy("path").limit(limit)
 
 

@@ -73,7 +73,7 @@ def related_files(spark, sf_dir):
 
 @query("""+t AS (SELECT DISTINCT path FROM files WHERE regexp_matches(path, '_test[.]py$')), c AS (
   SELECT path, regexp_replace(regexp_extract(path, '([^/]*)[.][^./]*$', 1), '_test$', '') AS stem, split_part(path, '/', 2) AS comp, split_part(path, '/', 3) AS folder FROM files
-  WHERE NOT regexp_matches(path, '_test[.]py$') AND file_id % 10 = 0
+  WHERE NOT regexp_matches(path, '_test[.]py$')
 ), u AS (SELECT path AS test, regexp_replace(regexp_extract(path, '([^/]*)[.][^./]*$', 1), '_test$', '') AS tstem, split_part(path, '/', 2) AS tcomp, string_split(path, '/') AS parts FROM t
 ), s AS (
   SELECT path, test, (CASE WHEN tstem = stem THEN 5 ELSE 0 END + CASE WHEN contains(tstem, stem) THEN 3 ELSE 0 END + CASE WHEN tcomp = comp THEN 2 ELSE 0 END + CASE WHEN list_contains(parts, folder) THEN 1 ELSE 0 END)::INTEGER AS score FROM c, u
@@ -98,10 +98,25 @@ def recent_commits(spark, sf_dir):
     return memory.commit_evidence(ad.commits(spark, sf_dir), 50)
 
 
-@query("""+e AS (
+def features_sql(sources: str) -> str:
+    """found (id, term): feature terms of texts (id, t), which `sources` defines."""
+    terms = ad._list(infer.ARCHITECTURE_TERMS)
+    return f"""+terms AS (SELECT unnest({terms}) AS term), {sources}, found AS (
+  SELECT id, term FROM texts, terms WHERE contains(lower(t), term)
+  UNION SELECT id, replace(w, '_', ' ') FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[a-z][a-z0-9_]{{3,}}')) AS w FROM texts)
+  WHERE w NOT IN ({ad._list(infer.PLAIN_WORDS)[1:-1]}) AND (ends_with(w, 'ing') OR ends_with(w, 'tion') OR list_contains({terms}, w))
+)"""
+
+
+PATH_WORDS = """changed AS (SELECT DISTINCT path FROM commit_files), pieces AS (
+  SELECT path, unnest(string_split(path, '/')) AS p FROM changed
+)"""
+
+
+@query(features_sql(PATH_WORDS + ", texts AS (SELECT 0 AS id, subject AS t FROM commits UNION SELECT 0, translate(p, '_-', '  ') FROM pieces)") + """, e AS (
   SELECT 'developer' AS kind, author AS name, 0.9::DOUBLE AS confidence FROM commits UNION SELECT 'commit', sha::VARCHAR, 0.95::DOUBLE FROM commits
   UNION SELECT 'module', component, 0.8::DOUBLE FROM commit_files UNION SELECT 'file', path, 0.86::DOUBLE FROM commit_files
-  UNION SELECT 'pull_request', sha::VARCHAR, 0.78::DOUBLE FROM commits
+  UNION SELECT 'pull_request', sha::VARCHAR, 0.78::DOUBLE FROM commits UNION SELECT 'feature', term, 0.62::DOUBLE FROM found
 ) SELECT kind || ':' || name AS key, kind, name, confidence FROM e""")
 def commit_entities(spark, sf_dir):
     files = ad.commit_files(spark, sf_dir).groupBy("sha").agg(F.collect_list("path").alias("files"))
@@ -149,6 +164,24 @@ def impact_risk(spark, sf_dir):
 
 # -- text ---------------------------------------------------------------------
 
+
+
+def rules_sql(rows: str) -> str:
+    """found (path, line_number, rule, severity) of `rows` (path, line, line_number, languages): the rules of operators/rules.py."""
+    secret = rules.RULES[0].pattern.replace("'", "''")
+    return rf"""+l AS ({rows}), hit AS (
+  SELECT *, lower(regexp_extract(line, '{secret}', 1)) AS name, trim(regexp_extract(line, '{secret}', 2)) AS value, regexp_extract(lower(path), '[^/]*$') AS base FROM l WHERE regexp_matches(line, '{secret}')
+), found AS (
+  SELECT path, line_number, 'possible-secret' AS rule, 'high' AS severity FROM hit WHERE NOT regexp_matches(value, '^[A-Z][A-Z0-9_]{{7,}}$') AND lower(value) NOT IN ({ad._list(rules.HARMLESS_VALUES)[1:-1]}) AND NOT (contains(name, lower(value)) AND NOT regexp_matches(name, 'api|secret|token'))
+    AND NOT ((regexp_matches(lower(path), '/tests?/') OR starts_with(base, 'test_') OR contains(base, '.test.')) AND regexp_matches(lower(value), '{"|".join(rules.TEST_VALUES)}'))
+  UNION ALL SELECT path, line_number, 'python-requests-without-timeout', 'medium' FROM l WHERE list_contains(languages, 'python') AND regexp_matches(line, '\brequests\.(get|post|put|patch|delete|request)\s*\(') AND NOT regexp_matches(line, 'timeout\s*=')
+  UNION ALL SELECT path, line_number, 'shell-true', 'high' FROM l WHERE list_contains(languages, 'python') AND regexp_matches(line, '\bsubprocess\.[A-Za-z_]+\([^#]*shell\s*=\s*True')
+  UNION ALL SELECT path, line_number, 'dynamic-code-execution', 'high' FROM l WHERE regexp_matches(line, '\b(eval|exec)\s*\(')
+  UNION ALL SELECT path, line_number, 'sql-string-interpolation', 'high' FROM l WHERE regexp_matches(line, '\bexecute(?:Query)?\s*\(\s*(?:f[''"]|`|\w+\s*\+)')
+  UNION ALL SELECT path, line_number, 'fetch-without-abort', 'low' FROM l WHERE list_contains(languages, 'javascript') AND regexp_matches(line, '\bfetch\s*\(') AND NOT regexp_matches(line, 'signal')
+)"""
+
+
 BM25 = """+w AS (SELECT doc_id, regexp_extract_all(lower(content), '([a-z0-9]+)') AS ws FROM docs), p AS (
   SELECT doc_id, len(ws) AS len, t.term, len(list_filter(ws, lambda x: {match})) AS tf FROM w, (SELECT unnest({terms}) AS term) t
 ), s AS (SELECT term, count(*) AS docs, count(*) FILTER (WHERE tf > 0) AS n, avg(len) AS mean FROM p GROUP BY term
@@ -194,13 +227,12 @@ def secret_redaction(spark, sf_dir):
     return ad.documents(spark, sf_dir).select("doc_id", F.sha2(tx.redact(F.col("content")).cast("binary"), 256).alias("redacted"))
 
 
-@query(r"""+l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_number FROM docs)
-SELECT path, line_number, 'possible-secret' AS rule, 'high' AS severity FROM l WHERE regexp_matches(line, '(?i)\b([A-Za-z0-9_]*(?:api[_-]?key|secret|token|password)[A-Za-z0-9_]*)\b\s*[:=]\s*[''"]([^''"]{8,})[''"]') ORDER BY path, line_number""")
+@query(rules_sql("SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS line_number, ['python', 'javascript'] AS languages FROM docs") + " SELECT DISTINCT path, line_number, rule, severity FROM found")
 def rule_findings(spark, sf_dir):
     # documents say no programming language: the rules of both are tried
     languages = F.explode(F.array(F.lit("python"), F.lit("javascript")))
     files = ad.documents(spark, sf_dir).withColumn("language", languages)
-    return rules.findings(files).select("path", "line_number", "rule", "severity").distinct().orderBy("path", "line_number", "rule")
+    return rules.findings(files).select("path", "line_number", "rule", "severity").distinct()
 
 
 @query("""+l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS n FROM docs), h AS (
@@ -225,7 +257,7 @@ def path_inference(spark, sf_dir):
 # -- graph --------------------------------------------------------------------
 
 
-@query("SELECT path, qualified_name, line_start FROM symbols s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_key = 'symbol:' || s.qualified_name AND e.edge_type IN ('CALLS', 'REFERENCES') AND e.weight >= 45) AND NOT regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown')")
+@query("SELECT path, qualified_name, line_start FROM symbols s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_key = 'symbol:' || s.qualified_name AND e.edge_type IN ('CALLS', 'REFERENCES')) AND NOT regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown')")
 def dead_code(spark, sf_dir):
     return graph.dead_code(ad.symbols(spark, sf_dir), ad.edges(spark, sf_dir)).select("path", "qualified_name", "line_start")
 
@@ -242,12 +274,15 @@ def callees(spark, sf_dir):
     return graph.callees(ad.edges(spark, sf_dir), keys).select("source_key", "target_key", "weight")
 
 
-@query("""+k AS (SELECT 'symbol:' || qualified_name AS key FROM symbols WHERE name = 'red_widget'), r AS (SELECT key, edge_type, source_key AS other FROM edges JOIN k ON target_key = key)
-SELECT key, coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE edge_type = 'CALLS'), '') AS callers, coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE edge_type = 'REFERENCES'), '') AS referrers FROM r GROUP BY key""")
+@query("""+k AS (SELECT 'symbol:' || qualified_name AS key FROM symbols WHERE name = 'red_widget' UNION SELECT 'module:supplier_1'), r AS (
+  SELECT key, edge_type, source_key AS other, 'in' AS way FROM edges JOIN k ON target_key = key UNION ALL SELECT key, edge_type, target_key, 'out' FROM edges JOIN k ON source_key = key)
+SELECT key, coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE way = 'in' AND edge_type = 'CALLS'), '') AS callers, coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE way = 'out' AND edge_type = 'CALLS'), '') AS callees,
+  coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE way = 'out' AND edge_type = 'INHERITS'), '') AS parents, coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE way = 'in' AND edge_type = 'REFERENCES'), '') AS referrers,
+  coalesce(string_agg(DISTINCT other, '|' ORDER BY other) FILTER (WHERE way = 'in' AND edge_type = 'IMPORTS'), '') AS importers FROM r GROUP BY key""")
 def dependency_explain(spark, sf_dir):
-    keys = ad.symbols(spark, sf_dir).where("name = 'red_widget'").select(F.concat(F.lit("symbol:"), "qualified_name").alias("key"))
-    found = graph.dependencies(ad.edges(spark, sf_dir), keys)
-    return found.select("key", F.array_join("callers", "|").alias("callers"), F.array_join("referrers", "|").alias("referrers"))
+    named = ad.symbols(spark, sf_dir).where("name = 'red_widget'").select(F.concat(F.lit("symbol:"), "qualified_name").alias("key"))
+    found = graph.dependencies(ad.edges(spark, sf_dir), named.union(spark.createDataFrame([("module:supplier_1",)], "key string")))
+    return found.select("key", *[F.array_join(c, "|").alias(c) for c in ("callers", "callees", "parents", "referrers", "importers")])
 
 
 BFS = """+u AS (SELECT source_key AS a, target_key AS b FROM edges {where} {back}), t AS (
@@ -389,9 +424,14 @@ def _component_edges(spark, sf_dir) -> DataFrame:
     return links.toDF("source", "target", "type", "weight").withColumn("edge_id", F.concat("source", F.lit(">"), "target"))
 
 
-@query(EDGES + " SELECT source, target, type AS edge_type, weight FROM ce")
+LISTED = """, cp AS (SELECT DISTINCT l_orderkey, component FROM cx), cl AS (SELECT a.component AS source, b.component AS target, a.l_orderkey::VARCHAR AS example, 'r' || a.l_orderkey % 7 AS reason FROM cp a JOIN cp b ON a.l_orderkey = b.l_orderkey AND a.component < b.component),
+ex AS (SELECT source, target, array_to_string(list_sort(list(example ORDER BY example)[1:10]), '|') AS examples, array_to_string(list_sort(list(reason ORDER BY reason)[1:5]), '|') AS reasons FROM cl GROUP BY ALL)"""
+
+
+@query(EDGES + LISTED + " SELECT source, target, type AS edge_type, weight, examples, reasons FROM ce JOIN ex USING (source, target)")
 def component_graph_edges(spark, sf_dir):
-    return components.component_edges(_component_links(spark, sf_dir)).drop("examples")
+    links = _component_links(spark, sf_dir).withColumn("reason", F.concat(F.lit("r"), (F.col("example").cast("long") % 7).cast("string")))
+    return components.component_edges(links)
 
 
 def _component_nodes(spark, sf_dir) -> DataFrame:
@@ -406,14 +446,20 @@ def node_budget(spark, sf_dir):
     return components.budget_by_nodes(_component_nodes(spark, sf_dir), _component_edges(spark, sf_dir), 10).select("id", "score")
 
 
-@query()
+@query(BUDGET + """, be AS (SELECT source, target, row_number() OVER (ORDER BY round(weight * 100 + 24 + (a.score + b.score) * 0.05::DOUBLE, 6) DESC, source || '>' || target) AS n FROM ce JOIN sc a ON a.id = source JOIN sc b ON b.id = target
+), fold AS (
+  SELECT 0::BIGINT AS n, ['brand3'] AS ids UNION ALL SELECT fold.n + 1, CASE WHEN len(list_distinct(list_concat(ids, [source, target]))) <= 10 THEN list_distinct(list_concat(ids, [source, target])) ELSE ids END FROM fold JOIN be ON be.n = fold.n + 1
+), k AS (SELECT unnest(arg_max(ids, n)) AS id FROM fold), o AS (SELECT sc.id, CASE WHEN k.id IS NULL THEN 1 ELSE 0 END AS tier, score FROM sc LEFT JOIN k ON k.id = sc.id)
+SELECT id FROM o ORDER BY tier, score DESC, id LIMIT 10""", recursive=True)
 def node_budget_by_edges(spark, sf_dir):
     return components.budget_by_edges(_component_nodes(spark, sf_dir), _component_edges(spark, sf_dir), 10, ["brand3"])
 
 
-@query(EDGES + ", v AS (SELECT *, round(10 + least(15, log2(greatest(weight, 1) + 1) * 5) + 5, 9) AS s FROM ce) SELECT source, target, floor(least(s, 30) + 0.5)::INTEGER AS confidence, CASE WHEN floor(least(s, 30) + 0.5) >= 35 THEN 'partial' ELSE 'sparse' END AS label FROM v")
+@query(EDGES + """, n AS (SELECT *, weight % 4 AS e, weight % 6 AS r FROM ce), v AS (SELECT *, 10 + CASE WHEN e > 0 THEN least(55, 25 + e * 6) ELSE 0 END + CASE WHEN r > 0 THEN least(20, r * 4) ELSE 0 END + least(15::DOUBLE, log2(greatest(weight, 1) + 1) * 5) + 5 AS s FROM n),
+c AS (SELECT *, floor(greatest(5, least(96, CASE WHEN e = 0 AND r = 0 THEN least(s, 30) ELSE s END)) + 0.5)::INTEGER AS confidence FROM v)
+SELECT source, target, confidence, CASE WHEN confidence >= 85 THEN 'strong' WHEN confidence >= 60 THEN 'good' WHEN confidence >= 35 THEN 'partial' ELSE 'sparse' END AS label FROM c""")
 def edge_confidence(spark, sf_dir):
-    score = infer.edge_confidence(F.col("type"), F.col("weight"), F.lit(0), F.lit(0))
+    score = infer.edge_confidence(F.col("type"), F.col("weight"), F.col("weight") % 4, F.col("weight") % 6)
     return _component_edges(spark, sf_dir).select("source", "target", score.alias("confidence"), infer.confidence_label(score).alias("label"))
 
 
@@ -475,13 +521,17 @@ def change_detection(spark, sf_dir):
     return compare.changed_files(hashed(F.lit("")).where(key != 0), hashed(F.when(key == 2, "x").otherwise("")).where(key != 1))
 
 
-@query(EDGES + """, ch AS (SELECT source || '>' || target AS edge_id, source, target, weight, CASE WHEN weight % 3 = 0 THEN 'added' WHEN weight % 3 = 1 THEN 'changed' ELSE 'unchanged' END AS change FROM ce)
-SELECT 'edge' AS kind, edge_id AS item, round((CASE change WHEN 'added' THEN 150 ELSE 120 END + 50 + 40 + weight * 12)::DOUBLE, 6) AS score FROM ch WHERE change <> 'unchanged' ORDER BY score DESC, item LIMIT 12""")
+@query(NODES + ", " + EDGES.removeprefix("+") + """, ch AS (SELECT source || '>' || target AS edge_id, source, target, weight, CASE WHEN weight % 3 = 0 THEN 'added' WHEN weight % 3 = 1 THEN 'changed' ELSE 'unchanged' END AS change FROM ce),
+nc AS (SELECT *, CASE WHEN commits >= 25 OR authors >= 8 THEN 'high' WHEN commits >= 8 OR files >= 8 THEN 'medium' ELSE 'low' END AS risk, CASE files % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'changed' ELSE 'unchanged' END AS change FROM comp), dl AS (SELECT id, count(*) AS links FROM (SELECT unnest([source, target]) AS id FROM ch) GROUP BY id),
+r AS (SELECT 'edge' AS kind, edge_id AS item, round((CASE change WHEN 'added' THEN 150 ELSE 120 END + 50 + 40 + weight * 12 + (weight % 5) * 18)::DOUBLE, 6) AS score FROM ch WHERE change <> 'unchanged'
+  UNION ALL SELECT 'node', component, round((CASE change WHEN 'added' THEN 160 WHEN 'removed' THEN 150 ELSE 120 END + CASE risk WHEN 'high' THEN 180 WHEN 'medium' THEN 80 ELSE 0 END + coalesce(links, 0) * 18 + files * 12 + size * 0.08::DOUBLE)::DOUBLE, 6) FROM nc LEFT JOIN dl ON dl.id = component WHERE change <> 'unchanged')
+SELECT kind, item, score FROM r ORDER BY score DESC, item LIMIT 60""")
 def compare_impact(spark, sf_dir):
     change = F.when(F.col("weight") % 3 == 0, "added").when(F.col("weight") % 3 == 1, "changed").otherwise("unchanged")
-    edges = _component_edges(spark, sf_dir).withColumns({"change": change, "examples": F.lit(0)})
-    nodes = _component_nodes(spark, sf_dir).withColumn("change", F.lit("unchanged"))
-    return compare.impact_queue(nodes, edges)
+    edges = _component_edges(spark, sf_dir).withColumns({"change": change, "examples": F.col("weight") % 5})
+    key = F.col("files") % 4
+    nodes = _component_nodes(spark, sf_dir).withColumn("change", F.when(key == 0, "added").when(key == 1, "removed").when(key == 2, "changed").otherwise("unchanged"))
+    return compare.impact_queue(nodes, edges, 60)
 
 
 @query(EDGES + """, ch AS (SELECT source || '>' || target AS edge_id, weight, CASE WHEN weight % 3 = 0 THEN 3 WHEN weight % 3 = 1 THEN 2 ELSE 0 END AS change_rank FROM ce) SELECT edge_id, weight, change_rank::INTEGER AS change_rank FROM ch ORDER BY change_rank DESC, weight DESC, edge_id LIMIT 10""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, Window
@@ -83,13 +84,16 @@ def verification_plan(changed: DataFrame, tests: DataFrame) -> DataFrame:
 
 def search_evidence(evidence: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """evidence with rank: Okapi order, then newest; rows that only hold a word within another where no whole word matches."""
-    terms = [t for t in (tx.evidence_terms(query)) if t.isalnum()]
+    terms = tx.evidence_terms(query)
     if not terms:
         return evidence.limit(0).withColumn("rank", F.lit(0.0))
-    ranked = search.bm25(evidence, "source_id", ["title", "snippet", "path"], terms)
+    columns = ["title", "snippet", "path"]
+    ranked = search.phrase_bm25(evidence, "source_id", columns, query) if search.phrases_of(query) else evidence.select(F.col("source_id").alias("id"), F.lit(0.0).alias("rank")).limit(0)
     hits = evidence.join(ranked, evidence.source_id == ranked.id).drop("id")
     none = ranked.agg((F.count(F.lit(1)) == 0).alias("_none"))
-    anywhere = evidence.where(F.lower(F.concat_ws(" ", "title", "snippet", "path")).rlike("|".join(terms))).join(F.broadcast(none)).where("_none").drop("_none").withColumn("rank", F.lit(0.0))
+    text = F.lower(F.concat_ws("\n", *columns))
+    held = reduce(lambda a, t: a | F.contains(text, F.lit(t)), terms, F.lit(False))
+    anywhere = evidence.where(held).join(F.broadcast(none)).where("_none").drop("_none").withColumn("rank", F.lit(0.0))
     return hits.unionByName(anywhere).orderBy(F.desc("rank"), F.desc("ts"), "source_id").limit(limit)
 
 

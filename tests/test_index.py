@@ -75,7 +75,8 @@ def test_queries_on_the_index(index):
     assert names(api.structural_query(index, "imports:payments"), "module") == ["app.payments"]
     assert names(api.structural_query(index, "route:orders"), "label") == ["GET /orders"]
     assert "app.api.unused_helper" in names(api.structural_query(index, "dead:"), "qualified_name")
-    assert api.structural_query(index, "http:").count() == 1
+    assert api.structural_query(index, "http:example").count() == 1
+    assert sorted(names(api.structural_query(index, "http:"), "edge_type")) == ["HANDLES", "HANDLES", "HTTP_CALLS"]
     assert names(api.structural_query(index, "create_order"), "name") == ["create_order"]
     snippets = api.retrieve(index, "create_order").collect()
     assert snippets[0].qualified_name == "app.orders.OrderService.create_order" and "processor.charge" in snippets[0].code
