@@ -35,6 +35,8 @@ SHARD, BLOCK, LEAF = 4_096, 2_048, 64
 MISSING = np.iinfo(np.int64).max
 #: Distances are lowered by this where branches are judged: a cosine off by 1e-16 puts a distance near 0 off by 1e-8.
 SLACK = 1e-7
+#: What a cosine of unit vectors may be off by, generously.
+NEAR = 1e-9
 
 
 class VantageTree:
@@ -74,7 +76,10 @@ class VantageTree:
         return {"order": order, "point": np.array(point), "bounds": np.array(bounds, float), "children": np.array(children), "span": np.array(span)}
 
     def search(self, queries: np.ndarray, own: np.ndarray, key: np.ndarray, score, best: tuple, factor: float) -> None:
-        """Improves best = (scores, keys), each (queries, k), best first; rows whose key is own[i] are no answer to query i."""
+        """Improves best = (scores, keys), each (queries, k), best first; rows whose key is own[i] are no answer to query i.
+
+        score(queries' places, rows) is the exact score of each pair.
+        """
         self._visit(0, np.arange(len(queries)), np.zeros(len(queries)), queries, own, key, score, best, factor)
 
     def _visit(self, node: int, active: np.ndarray, floor: np.ndarray, queries, own, key, score, best, factor) -> None:
@@ -85,7 +90,7 @@ class VantageTree:
             return
         if self.point[node] < 0:
             lo, hi = self.span[node]
-            self._leaf(self.order[lo:hi], active, own, key, score, best)
+            self._leaf(self.order[lo:hi], queries, active, own, key, score, best)
             return
         children = self.children[node]
         away = _distance(queries[active] @ self.unit[self.point[node]])
@@ -97,16 +102,25 @@ class VantageTree:
                 self._visit(children[first], active[mine], floors[first][mine], queries, own, key, score, best, factor)
                 self._visit(children[second], active[mine], floors[second][mine], queries, own, key, score, best, factor)
 
-    def _leaf(self, rows, active, own, key, score, best) -> None:
-        found = score(active, rows)
-        keys = np.broadcast_to(key[rows], found.shape)
-        found = np.where(own[active][:, None] == keys, -np.inf, found)
-        k = best[0].shape[1]
-        scores = np.concatenate([best[0][active], found], 1)
-        keys = np.concatenate([best[1][active], keys], 1)
-        order = np.lexsort((np.where(np.isneginf(scores), np.iinfo(np.int64).max, keys), -scores), axis=1)[:, :k]
-        best[0][active] = np.take_along_axis(scores, order, 1)
-        best[1][active] = np.take_along_axis(keys, order, 1)
+    def _leaf(self, rows, queries, active, own, key, score, best) -> None:
+        """Scores the pairs alone that a cosine of unit vectors, off by far less than NEAR, lets in among the best."""
+        near = queries[active] @ self.unit[rows].T >= best[0][active, -1][:, None] - NEAR
+        at, which = np.nonzero(near & (own[active][:, None] != key[rows]))
+        if not len(at):
+            return
+        asked, first = np.unique(at, return_index=True)
+        width = int(np.diff(np.append(first, len(at))).max())
+        found, keys = np.full((len(asked), width), -np.inf), np.full((len(asked), width), MISSING)
+        row = np.searchsorted(asked, at)
+        column = np.arange(len(at)) - first[row]
+        found[row, column] = score(active[at], rows[which])
+        keys[row, column] = key[rows[which]]
+        mine, k = active[asked], best[0].shape[1]
+        scores = np.concatenate([best[0][mine], found], 1)
+        keys = np.concatenate([best[1][mine], keys], 1)
+        order = np.lexsort((np.where(np.isneginf(scores), MISSING, keys), -scores), axis=1)[:, :k]
+        best[0][mine] = np.take_along_axis(scores, order, 1)
+        best[1][mine] = np.take_along_axis(keys, order, 1)
 
 
 def _distance(cosine: np.ndarray) -> np.ndarray:
@@ -114,11 +128,8 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
 
 
 def exact_cosine(a: np.ndarray, norm_a: np.ndarray, b: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, every dot product summed in the order of its components."""
-    dots = np.zeros((len(a), len(b)))
-    for x, y in zip(a.T, b.T):
-        dots += x[:, None] * y[None, :]
-    return dots / (norm_a[:, None] * norm_b[None, :])
+    """Cosines in double precision of pairs of rows, every dot product summed in the order of its components."""
+    return np.cumsum(a * b, axis=1)[:, -1] / (norm_a * norm_b)
 
 
 def _norm(vectors: np.ndarray) -> np.ndarray:

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a private one is set only where it is unset (tests, local runs)."""
+    """The session's spark.checkpoint.dir; where it is unset, a local run gets one of its own and a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seamline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
