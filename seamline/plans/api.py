@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ from ..operators import graph, rank, search
 from .index import Index
 
 
+#: What a figure above zero suggests.
+SUGGESTIONS = {
+    "files_without_symbols": lambda n: F.concat(n, F.lit(" files have no symbols: look at parsers or generated files.")),
+    "unresolved_calls": lambda n: F.concat(n, F.lit(" calls lead outside or to unknown names: check them before relying on them.")),
+    "parse_errors": lambda n: F.concat(n, F.lit(" files could not be parsed.")),
+    "files_skipped": lambda n: F.concat(n, F.lit(" files were skipped by the last incremental index.")),
+    "stale": lambda n: F.lit("The index is older than a day: refresh it before risky changes."),
+    "large_graph": lambda n: F.lit("The graph is large: look at it through a lens or a trace."),
+}
+
+
 def _keys(index: Index, name: str) -> DataFrame:
     return search.find_symbols(index.symbols, name).select(F.concat(F.lit("symbol:"), "qualified_name").alias("key"))
 
@@ -95,11 +108,60 @@ def outline(index: Index, query: str = "", limit: int = 80) -> DataFrame:
     return found.orderBy("path").limit(limit)
 
 
-def diagnostics(index: Index) -> DataFrame:
-    """metric, value: languages, files without symbols, unresolved calls, external modules, parse errors."""
-    bare = index.files.join(index.symbols, "path", "left_anti").agg(F.lit("files_without_symbols").alias("metric"), F.count(F.lit(1)).alias("value"))
-    lost = index.edges.where(F.col("target_key").startswith("symbol_ref:") & (F.col("edge_type") == "CALLS")).agg(F.lit("unresolved_calls").alias("metric"), F.count(F.lit(1)).alias("value"))
-    outside = index.nodes.where("type = 'MODULE' and file_path is null").agg(F.lit("external_modules").alias("metric"), F.count(F.lit(1)).alias("value"))
-    broken = index.errors.agg(F.lit("parse_errors").alias("metric"), F.count(F.lit(1)).alias("value"))
-    languages = index.files.groupBy(F.concat(F.lit("language:"), "language").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
-    return languages.union(bare).union(lost).union(outside).union(broken)
+def all_symbols(index: Index) -> DataFrame:
+    return index.symbols.orderBy("qualified_name")
+
+
+def nodes_by_keys(index: Index, keys: DataFrame) -> DataFrame:
+    """Nodes of the keys (key) that there are."""
+    return index.nodes.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def symbols_by_keys(index: Index, keys: DataFrame) -> DataFrame:
+    """Symbols of the keys (key) that name symbols."""
+    named = keys.where(F.col("key").startswith("symbol:")).select(F.regexp_replace("key", "^symbol:", "").alias("qualified_name")).distinct()
+    return index.symbols.join(named, "qualified_name", "left_semi")
+
+
+def imports_for_files(index: Index, paths: DataFrame) -> DataFrame:
+    """Imports of the files (path), by file and line."""
+    return index.imports.join(paths.select("path").distinct(), "path", "left_semi").orderBy("path", "line_number")
+
+
+def files_in_directories(files: DataFrame, directories: list[str]) -> DataFrame:
+    """Files below any of the folders, each once; "" and "." are the files at the top alone, and no folder means all files."""
+    if not directories:
+        return files
+    at_top = F.instr("path", "/") == 0
+    below = [at_top if d in ("", ".") else F.col("path").startswith(d.rstrip("/") + "/") for d in dict.fromkeys(directories)]
+    return files.where(reduce(lambda a, b: a | b, below))
+
+
+def wide_edges(index: Index) -> DataFrame:
+    """Edges with the nodes of both ends and, where an end is a symbol, what is known of it."""
+    fields = ["qualified_name", "name", "kind", "module", "signature", "line_start", "line_end"]
+
+    def symbol(side: str) -> DataFrame:
+        shown = {"qualified_name": "qualified_name", "name": "symbol_name", "kind": "symbol_kind"}
+        return index.symbols.select(F.concat(F.lit("symbol:"), "qualified_name").alias(f"{side}_key"), *[F.col(f).alias(f"{side}_{shown.get(f, f)}") for f in fields])
+
+    return graph.edge_view(index.edges, index.nodes).join(symbol("source"), "source_key", "left").join(symbol("target"), "target_key", "left")
+
+
+def diagnostics(index: Index, *, indexed_hours_ago: float | None = None, skipped: int = 0, component_edges: int = 0, components: int = 0) -> DataFrame:
+    """metric, value, suggestion: languages, files without symbols, unresolved calls, external dependencies, parse errors, symbols a file, density, staleness."""
+    count = lambda df, metric, what=None: df.agg(F.lit(metric).alias("metric"), (F.count_distinct(what) if what is not None else F.count(F.lit(1))).cast("double").alias("value"))
+    bare = count(index.files.join(index.symbols, "path", "left_anti"), "files_without_symbols")
+    seen = graph.edge_view(index.edges, index.nodes).where("target_path is null")
+    lost = count(seen.where("edge_type = 'CALLS'"), "unresolved_calls")
+    outside = count(seen, "external_dependencies", F.nullif(F.coalesce(F.nullif(F.col("target_label"), F.lit("")), F.col("target_key")), F.lit("")))
+    broken = count(index.errors, "parse_errors")
+    languages = index.files.groupBy(F.concat(F.lit("language:"), F.coalesce("language", F.lit("unknown"))).alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    files, symbols = index.files.agg(F.count(F.lit(1)).alias("_f")), index.symbols.agg(F.count(F.lit(1)).alias("_s"))
+    each = files.join(F.broadcast(symbols)).select(F.lit("symbols_per_file").alias("metric"), F.when(F.col("_f") > 0, F.round(F.col("_s") / F.col("_f"), 2)).otherwise(0.0).alias("value"))
+    stale = indexed_hours_ago is not None and indexed_hours_ago > 24
+    given = [("files_skipped", float(skipped)), ("graph_density", round(component_edges / max(components, 1), 2)), ("stale", float(stale)), ("large_graph", float(components > 180 or component_edges > 280))]
+    rows = reduce(DataFrame.union, [languages, bare, lost, outside, broken, each, index.files.sparkSession.createDataFrame(given, "metric string, value double")])
+    number = F.col("value").cast("long").cast("string")
+    advice = reduce(lambda a, kv: F.when((F.col("metric") == kv[0]) & (F.col("value") > 0), kv[1](number)).otherwise(a), SUGGESTIONS.items(), F.lit(None).cast("string"))
+    return rows.withColumn("suggestion", advice)

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import infer
 from ..operators import compare, graph, search
+from ..operators.lineage import kept
 from ..sources import artifacts, parsers
 
-#: Route decorators and HTTP client calls.
-ROUTE = r"""\.(get|post|put|patch|delete|route)\(\s*['"]([^'"]+)['"]"""
-CLIENTS = ["requests", "httpx", "client", "session", "axios"]
-METHODS = ["get", "post", "put", "patch", "delete", "request"]
+#: Verbs of HTTP calls, and what tells routes in decorators, names and signatures.
+HTTP_METHODS = ["get", "post", "put", "patch", "delete", "head", "options"]
+DECORATED = r"(?i)(?:route|api_route|get|post|put|patch|delete|head|options)\s*\(\s*['\"]([^'\"]+)['\"]"
+DECORATED_VERB = r"(?i)\.(get|post|put|patch|delete|head|options|route|api_route)\s*\("
+LISTED_VERBS = r"(?i)methods\s*=\s*\[[^\]'\"]*['\"]([A-Za-z]+)['\"]"
+NAMED_VERB = r"^route_(get|post|put|patch|delete|use|head|options)_.+"
+SIGNED_PATH = r"\.\w+\s*\(\s*['\"]([^'\"]+)['\"]"
 
 
 @dataclass
@@ -35,17 +39,20 @@ def _node(key: Column, kind: str | Column, label: Column, path: Column, seq: int
     return [key.alias("key"), kind.alias("type"), label.alias("label"), path.cast("string").alias("file_path"), F.lit(None).cast("long").alias("symbol_id"), F.lit("{}").alias("metadata"), F.struct(path.alias("p"), F.lit(seq).alias("s")).alias("write_seq")]
 
 
-def _edge(source: Column, target: Column, kind: str | Column, metadata: Column, seq: Column) -> list[Column]:
+def _edge(source: Column, target: Column, kind: str | Column, metadata: Column, seq: Column, weight: Column | None = None) -> list[Column]:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return [source.alias("source_key"), target.alias("target_key"), kind.alias("edge_type"), metadata.alias("metadata"), F.lit(1.0).alias("weight"), seq.alias("write_seq")]
+    return [source.alias("source_key"), target.alias("target_key"), kind.alias("edge_type"), metadata.alias("metadata"), (F.lit(1.0) if weight is None else weight).alias("weight"), seq.alias("write_seq")]
 
 
 def _meta(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in sorted(fields.items())]))
 
 
-def build(files: DataFrame, parsed: DataFrame) -> Index:
-    """The whole index of files and their parsed rows (give parsed written or cached: it is read several times)."""
+def build(files: DataFrame, parsed: DataFrame, others: DataFrame | None = None) -> Index:
+    """The whole index of files and their parsed rows (give parsed written or cached: it is read several times).
+
+    others: symbols of further files, which names resolve to as well.
+    """
     none = F.lit(None).cast("string")
     symbols, imports, calls, inherits, refs = (parsers.exploded(parsed, n) for n in ("symbols", "imports", "calls", "inherits", "refs"))
     symbols = graph.upsert_last(symbols.withColumn("write_seq", F.struct("path", "line_start")), ["qualified_name"])
@@ -67,28 +74,68 @@ def build(files: DataFrame, parsed: DataFrame) -> Index:
         imports.select(*_edge(schema.file_key(path), schema.module_key(F.col("module")), "IMPORTS", _meta(alias=F.col("alias"), line=F.col("line_number"), name=F.col("name")), at("line_number"))),
     ]
     # names, once for each module that uses one, so that a popular name is looked up as often as there are modules
-    uses = [calls.select("path", F.col("caller").alias("source"), F.col("target").alias("name"), "line_number", F.lit("CALLS").alias("edge_type"), "display"), inherits.select("path", F.col("child").alias("source"), F.col("parent").alias("name"), "line_number", F.lit("INHERITS").alias("edge_type"), F.col("parent").alias("display")), refs.select("path", "source", "name", "line_number", F.lit("REFERENCES").alias("edge_type"), F.col("name").alias("display"))]
+    line = F.col("line_number")
+    shown = F.concat(F.when(F.col("module") != "", F.concat("module", F.lit("."), "name")).otherwise(F.col("name")), F.when(F.col("alias").isNotNull(), F.concat(F.lit(" as "), "alias")).otherwise(""))
+    use = lambda df, kind, source, name, metadata: df.select("path", source.alias("source"), F.col(name).alias("name"), "line_number", F.lit(kind).alias("edge_type"), metadata.alias("metadata"))
+    uses = [
+        use(calls, "CALLS", schema.symbol_key(F.col("caller")), "target", _meta(arguments=F.col("arguments"), display=F.col("display"), line=line)),
+        use(inherits, "INHERITS", schema.symbol_key(F.col("child")), "parent", _meta(line=line)),
+        use(refs, "REFERENCES", schema.symbol_key(F.col("source")), "name", _meta(line=line)),
+        use(imports.where("name <> ''"), "REFERENCES", schema.file_key(path), "name", F.to_json(F.struct(shown.alias("import"), line.alias("line")))),
+    ]
     used = reduce(DataFrame.unionByName, uses).withColumn("source_module", infer.module_name(path))
     wanted = used.select("name", "source_module").distinct().withColumn("ref_id", F.struct("name", "source_module"))
-    known = search.resolve(wanted, symbols).select("name", "source_module", "qualified_name")
-    resolved = used.join(known, ["name", "source_module"], "left").where((F.col("edge_type") != "REFERENCES") | (q.isNotNull() & (q != F.col("source"))))
+    among = symbols.select("name", "qualified_name", "module")
+    if others is not None:
+        among = among.unionByName(others.select("name", "qualified_name", "module"))
+    known = search.resolve(wanted, among).select("name", "source_module", "qualified_name")
+    resolved = used.join(known, ["name", "source_module"], "left").where((F.col("edge_type") != "REFERENCES") | q.isNotNull())
     target = F.coalesce(schema.symbol_key(q), schema.unresolved_key(F.col("name")))
-    edges.append(resolved.select(*_edge(schema.symbol_key(F.col("source")), target, F.col("edge_type"), _meta(display=F.col("display"), line=F.col("line_number")), at("line_number"))))
+    edges.append(resolved.select(*_edge(F.col("source"), target, F.col("edge_type"), F.col("metadata"), at("line_number"))))
     nodes.append(resolved.where(q.isNull()).select(*_node(schema.unresolved_key(F.col("name")), "SYMBOL", F.col("name"), none, 4)))
-    # routes and HTTP calls
-    made = symbols.select("path", "qualified_name", "line_start", F.explode("decorators").alias("d")).select("path", "qualified_name", "line_start", F.upper(F.regexp_extract("d", ROUTE, 1)).alias("verb"), F.regexp_extract("d", ROUTE, 2).alias("url")).where("url <> ''")
-    made = made.withColumn("verb", F.when(F.col("verb") == "ROUTE", "GET").otherwise(F.col("verb")))
-    script = symbols.where(F.col("name").startswith("route_")).select("path", "qualified_name", "line_start", F.upper(F.get(F.split("name", "_"), F.lit(1))).alias("verb"), F.concat(F.lit("/"), F.regexp_replace("name", "^route_[a-z]+_", "")).alias("url"))
-    routes = made.unionByName(script)
-    route = F.concat(F.lit("route:"), F.col("verb"), F.lit(":"), F.col("url"))
-    nodes.append(routes.select(*_node(route, "ROUTE", F.concat_ws(" ", "verb", "url"), path, 5)))
-    edges.append(routes.select(*_edge(route, schema.symbol_key(q), "HANDLES", empty, at("line_start"))))
+    made = routes(symbols)
+    route = F.concat(F.lit("route:"), q)
+    about = _meta(confidence=F.lit(0.95), method=F.col("verb"), path=F.col("url"))
+    nodes.append(made.select(*_node(route, "ROUTE", F.concat_ws(" ", "verb", "url"), path, 5)))
+    edges.append(made.select(*_edge(route, schema.symbol_key(q), "HANDLES", about, at("line_start"), F.lit(0.95))))
     requests = http_calls(calls)
+    about = _meta(confidence=F.col("confidence"), display=F.col("display"), line=line, method=F.col("verb"), target=F.col("url"))
     nodes.append(requests.select(*_node(F.col("route_key"), "ROUTE", F.concat_ws(" ", "verb", "url"), none, 6)))
-    edges.append(requests.select(*_edge(schema.symbol_key(F.col("caller")), F.col("route_key"), "HTTP_CALLS", _meta(confidence=F.col("confidence"), line=F.col("line_number")), at("line_number"))))
+    edges.append(requests.select(*_edge(schema.symbol_key(F.col("caller")), F.col("route_key"), "HTTP_CALLS", about, at("line_number"), F.col("confidence"))))
     return Index(files, symbols, imports, calls, graph.upsert_nodes(reduce(DataFrame.unionByName, nodes)), graph.insert_edges(reduce(DataFrame.unionByName, edges)), parsed.where("error is not null").select("path", "error"))
 
 
+def update(index: Index, current: DataFrame) -> tuple[Index, DataFrame]:
+    """An index after its tree changed, and path, status (new, dirty, deleted, clean) of all files. current: the tree's files.
+
+    Only new and dirty files are parsed. Their nodes and edges replace the old ones, deleted files' go; edges into what
+    a file writes again stay, and what clean files could not resolve is not tried again.
+    """
+    state = kept(compare.changed_files(index.files, current))
+    touched = state.where("status in ('new', 'dirty')").select("path")
+    changed = current.join(touched, "path", "left_semi")
+    parsed = kept(parsers.parse_files(changed))
+    gone = state.where("status in ('deleted', 'dirty')").select("path")
+    old = lambda df: df.join(gone, "path", "left_anti")
+    new = build(changed, parsed, old(index.symbols))
+    again = new.nodes.where("file_path is not null").select("key")
+    nodes, edges = graph.delete_files(index.nodes, index.edges, gone, again)
+    first = F.lit(-1)
+    was_node = nodes.withColumn("write_seq", F.struct(F.lit(None).cast("string").alias("p"), first.alias("s")))
+    is_node = new.nodes.withColumn("write_seq", F.struct(F.lit("").alias("p"), F.lit(0).alias("s")))
+    was_edge = edges.withColumn("write_seq", F.struct(F.lit(None).cast("string").alias("p"), first.alias("s")))
+    both = Index(
+        old(index.files).unionByName(changed, allowMissingColumns=True),
+        old(index.symbols).unionByName(new.symbols, allowMissingColumns=True),
+        old(index.imports).unionByName(new.imports),
+        old(index.calls).unionByName(new.calls),
+        graph.upsert_nodes(was_node.unionByName(is_node)),
+        graph.insert_edges(was_edge.unionByName(new.edges)),
+        index.errors.join(state.where("status <> 'clean'"), "path", "left_anti").unionByName(new.errors),
+    )
+    return both, state
+
+
 def saved(index: Index, path: str) -> Index:
     """The index written as a folder of tables and read back, so that questions don't build it anew."""
     tables = dict(vars(index))
@@ -96,16 +143,34 @@ def saved(index: Index, path: str) -> Index:
     return Index(**artifacts.import_tables(index.files.sparkSession, path, list(tables)))
 
 
+def routes(symbols: DataFrame) -> DataFrame:
+    """symbols that handle a route, with its verb and url: by their name, else by their first decorator that tells one."""
+    name, signature = F.col("name"), F.coalesce("signature", F.lit(""))
+    signed = F.regexp_extract(signature, SIGNED_PATH, 1)
+    rest = F.regexp_replace("name", "^route_", "")
+    by_name = F.struct(
+        F.when(name.rlike(NAMED_VERB), F.upper(F.regexp_extract("name", NAMED_VERB, 1))).otherwise("ROUTE").alias("verb"),
+        F.when(signed != "", signed).otherwise(F.concat(F.lit("/"), F.regexp_replace(rest, "^[^_]*_", ""))).alias("url"),
+    )
+    verb = lambda d: F.upper(F.regexp_extract(d, DECORATED_VERB, 1))
+    listed = lambda d: F.upper(F.regexp_extract(d, LISTED_VERBS, 1))
+    any_verb = lambda d: F.when((verb(d) == "") | verb(d).isin("ROUTE", "API_ROUTE"), F.when(listed(d) != "", listed(d)).when(verb(d) == "", "ROUTE").otherwise(verb(d))).otherwise(verb(d))
+    told = F.filter(F.transform("decorators", lambda d: F.struct(any_verb(d).alias("verb"), F.regexp_extract(d, DECORATED, 1).alias("url"))), lambda r: r["url"] != "")
+    found = symbols.withColumn("_route", F.when(name.startswith("route_"), by_name).otherwise(F.get(told, F.lit(0))))
+    return found.where("_route is not null").select("*", "_route.verb", "_route.url").drop("_route")
+
+
 def http_calls(calls: DataFrame) -> DataFrame:
-    """Calls of HTTP clients with a literal first argument: verb, url, confidence, route_key."""
-    first = F.get("arguments", F.lit(0))
-    url = F.regexp_extract(first, r"""^[rbfu]?['"`]([^'"`]*)['"`]""", 1)
-    owner, verb = F.lower(F.get(F.split("display", r"\."), F.lit(0))), F.lower("target")
-    named = verb.isin(METHODS) & F.contains(F.col("display"), F.lit(".")) & owner.rlike("|".join(CLIENTS))
-    found = calls.where((named | (F.col("display") == "fetch")) & (url != ""))
-    verb = F.when(F.col("display") == "fetch", "GET").otherwise(F.upper("target"))
-    sure = url.rlike("^(https?://|/)")
-    return found.select("path", "caller", "line_number", verb.alias("verb"), url.alias("url"), F.when(sure, 0.78).otherwise(0.52).alias("confidence"), schema.external_route_key(verb, url).alias("route_key"))
+    """Calls named like an HTTP verb, fetch or request, with a literal first argument: verb, url, confidence, route_key."""
+    first = F.regexp_replace(F.trim(F.get("arguments", F.lit(0))), "^[rubfRUBF]+|[rubfRUBF]+$", "")
+    quoted = first.rlike(r"(?s)^'.*'$") & (F.length(first) > 1) | first.rlike(r'(?s)^".*"$') & (F.length(first) > 1)
+    addressed = first.startswith("http://") | first.startswith("https://") | first.startswith("/")
+    url = F.when(quoted, F.substr(first, F.lit(2), F.length(first) - 2)).when(addressed, first)
+    name, method = F.lower("target"), F.lower(F.element_at(F.split("display", r"\."), -1))
+    verb = F.upper(F.when(method.isin(HTTP_METHODS), method).when(name == "fetch", "get").otherwise(name))
+    found = calls.where(name.isin([*HTTP_METHODS, "fetch", "request"]) | method.isin(HTTP_METHODS)).withColumns({"url": url, "verb": verb}).where("url <> ''")
+    sure = F.col("url").startswith("http://") | F.col("url").startswith("https://") | F.col("url").startswith("/")
+    return found.select("path", "caller", "display", "line_number", "verb", "url", F.when(sure, 0.78).otherwise(0.52).alias("confidence"), schema.external_route_key(F.col("verb"), F.trim("url")).alias("route_key"))
 
 
 def status(previous: DataFrame, current: DataFrame) -> DataFrame:

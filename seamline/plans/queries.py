@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import infer
@@ -12,23 +10,7 @@ from ..functions import text as tx
 from ..operators import compare, components, graph, memory, rank, rules, search
 from . import adapters as ad
 from . import reports
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-WORDS = ["the", "and", "que"]
-
-
-def query(sql: str | None = None, *, recursive: bool = False, canonical: bool = True):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            head = f"WITH {'RECURSIVE ' * recursive}{ad.SQL}" if canonical else ""
-            SQL[f.__name__] = f"{head}{', ' if canonical and sql.lstrip().startswith('+') else ''}{sql.lstrip().removeprefix('+')}"
-        return f
-
-    return register
-
+from .registry import query
 
 # -- memory -------------------------------------------------------------------
 

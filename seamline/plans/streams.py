@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import watch
-
-
-def _folder(spark: SparkSession) -> str:
-    """A folder of its own that all executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seamline-stream-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from . import scratch
 
 
 def counted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_type, n, value: partial counts of each batch are appended under the batch's number, so that a repeated batch replaces its own."""
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "streams")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*")
 

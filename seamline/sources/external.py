@@ -33,8 +33,9 @@ def lines_of_range(span: Column) -> tuple[Column, Column]:
     return first, F.coalesce(F.get(span, F.lit(2)) + 1, first)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").json(path)
+def read(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """An index in one JSON object a file or, with lines, in one a line, which large files are split at."""
+    return spark.read.option("multiLine", str(not lines).lower()).json(path)
 
 
 def detected_format(raw: DataFrame) -> str:

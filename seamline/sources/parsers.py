@@ -90,100 +90,109 @@ def parse_python(path: str, content: str) -> dict:
     return _Python(path, content).out
 
 
-_IMPORT = re.compile(r"^\s*import\s+(.+?)\s+from\s+['\"]([^'\"]+)['\"]")
-_BARE_IMPORT = re.compile(r"^\s*import\s+['\"]([^'\"]+)['\"]")
-_REQUIRE = re.compile(r"^\s*(?:const|let|var)\s+(.+?)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)")
-_CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([A-Za-z_$][\w$.]*))?")
-_FUNCTION = re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(")
-_ARROW = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=>")
-_ROUTE = re.compile(r"\b(?:app|router|server)\.(get|post|put|patch|delete)\(\s*['\"`]([^'\"`]+)['\"`]")
-_TEST = re.compile(r"\b(describe|it|test)\(\s*['\"`]([^'\"`]+)['\"`]")
-_METHOD = re.compile(r"^\s*(?:public\s+|private\s+|protected\s+|static\s+|async\s+)*([A-Za-z_$][\w$]*)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{", re.M)
-_CALLED = re.compile(r"(?<![\w$])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(")
-#: Words before a parenthesis that are no calls.
-_KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "class", "new", "typeof", "constructor", "super"}
-
-
-def _names(text: str) -> list[tuple[str | None, str | None]]:
-    """(name, alias) of an import clause."""
-    found = []
-    braces = re.search(r"\{([^}]*)\}", text)
-    for part in (braces[1].split(",") if braces else []):
-        bits = re.split(r"\s+as\s+|\s*:\s*", part.strip())
-        if bits[0]:
-            found.append((bits[0].removeprefix("type "), bits[1] if len(bits) > 1 else None))
-    rest = re.sub(r"\{[^}]*\}", "", text).strip(" ,")
-    for part in filter(None, map(str.strip, rest.split(","))):
-        star = re.match(r"\*\s+as\s+(\S+)", part)
-        found.append(("*", star[1]) if star else (part, None))
-    return found
+#: Patterns of JavaScript and TypeScript, and words before a parenthesis that are no calls.
+_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]")
+_BARE_IMPORT = re.compile(r"\bimport\s+['\"]([^'\"]+)['\"]")
+_REQUIRE = re.compile(r"\bconst\s+(\w+)\s*=\s*require\(['\"]([^'\"]+)['\"]\)")
+_CLASS = re.compile(r"^\s*(?:export\s+default\s+|export\s+)?class\s+(\w+)(?:\s+extends\s+([\w.]+))?", re.M)
+_FUNCTION = re.compile(r"^\s*(?:export\s+default\s+|export\s+)?(?:async\s+)?function\s+(\w+)\s*\(", re.M)
+_ARROW = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", re.M)
+_ROUTE = re.compile(r"\b(?:app|router)\.(get|post|put|patch|delete|use)\s*\(\s*['\"]([^'\"]+)['\"]", re.I)
+_TEST = re.compile(r"\b(describe|it|test)\s*\(\s*['\"]([^'\"]+)['\"]")
+_METHOD = re.compile(r"^\s{2,}(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{", re.M)
+_CALLED = re.compile(r"(?<!function\s)\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
+_KEYWORDS = {"if", "for", "while", "switch", "catch", "return"}
+_ROUTERS, _ROUTE_METHODS = {"app", "router"}, {"get", "post", "put", "patch", "delete", "use"}
+
+
+def _imported(clause: str) -> list[tuple[str | None, str | None]]:
+    """(name, alias) of what an import clause brings: a default, names in braces, a namespace (an alias without a name)."""
+    head, braces, space = clause.split(",")[0].strip(), re.search(r"\{([^}]+)\}", clause), re.search(r"\*\s+as\s+(\w+)", clause)
+    found: list[tuple[str | None, str | None]] = [] if not head or head[0] in "{*" else [(head, None)]
+    for item in map(str.strip, braces[1].split(",") if braces else ()):
+        name, _, alias = item.partition(" as ")
+        if item:
+            found.append((name.strip(), alias.strip() or None))
+    if space:
+        found.append((None, space[1]))
+    return found or [(None, None)]
 
 
 def _slug(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_")[:48] or "unnamed"
+    return re.sub(r"[\W_]+", "_", text.lower()).strip("_")[:48] or "unnamed"
 
 
-def parse_javascript(path: str, content: str) -> dict:
-    out, module = _empty(), module_of(path)
-    starts = [0, *(m.end() for m in re.finditer("\n", content))]
-    line_of = lambda at: bisect.bisect_right(starts, at)
+class _JavaScript:
+    """Symbols by patterns, a symbol's lines up to the brace that closes its first one, calls by a pattern over those lines."""
 
-    def block_end(at: int) -> int:
-        depth, opened = 0, False
-        for i in range(at, len(content)):
-            if content[i] == "{":
-                depth, opened = depth + 1, True
-            elif content[i] == "}":
-                depth -= 1
-                if opened and depth <= 0:
-                    return i
-            elif content[i] == ";" and not opened:
-                return i
-        return len(content)
-
-    for number, line in enumerate(content.splitlines(), 1):
-        if m := _IMPORT.match(line) or _REQUIRE.match(line):
-            out["imports"] += [{"module": m[2], "name": n, "alias": a, "line_number": number, "is_from": True} for n, a in _names(m[1])]
-        elif m := _BARE_IMPORT.match(line):
-            out["imports"].append({"module": m[1], "name": None, "alias": None, "line_number": number, "is_from": False})
-    spans: list[tuple[int, int, str]] = []
-    seen: set[str] = set()
-
-    def add(name: str, kind: str, at: int, parent: str | None = None) -> str | None:
-        qualified = f"{parent or module}.{name}"
-        if qualified in seen:
-            return None
-        seen.add(qualified)
-        end = block_end(at)
-        out["symbols"].append({"qualified_name": qualified, "name": name, "kind": kind, "module": module, "line_start": line_of(at), "line_end": line_of(min(end, max(len(content) - 1, 0))), "docstring": None, "decorators": [], "signature": content[at : content.find("\n", at) if "\n" in content[at:] else len(content)].strip().rstrip("{").strip(), "parent": parent})
-        spans.append((at, end, qualified))
-        return qualified
-
-    classes = []
-    for m in _CLASS.finditer(content):
-        qualified = add(m[1], "CLASS", m.start())
-        if qualified:
-            classes.append((m.start(), spans[-1][1], qualified))
+    def __init__(self, path: str, content: str):
+        self.content, self.module, self.out = content, module_of(path), _empty()
+        self.lines = content.splitlines()
+        self.starts = [0, *(m.end() for m in re.finditer("\n", content))]
+        for number, line in enumerate(self.lines, 1):
+            record = lambda module, name, alias, is_from: self.out["imports"].append({"module": module, "name": name, "alias": alias, "line_number": number, "is_from": is_from})  # noqa: E731, B023
+            for m in _IMPORT.finditer(line):
+                for name, alias in _imported(m[1]):
+                    record(m[2], name, alias, True)
+            for m in _BARE_IMPORT.finditer(line):
+                record(m[1], None, None, False)
+            for m in _REQUIRE.finditer(line):
+                record(m[2], None, m[1], False)
+        self.taken: set[str] = set()
+        classes = []
+        for m in _CLASS.finditer(content):
+            span = self._symbol(m, m[1], "CLASS")
+            classes.append((span, f"{self.module}.{m[1]}"))
             if m[2]:
-                out["refs"].append({"source": qualified, "name": m[2].split(".")[-1], "line_number": line_of(m.start())})
-    for pattern in (_FUNCTION, _ARROW):
-        for m in pattern.finditer(content):
-            add(m[1], "FUNCTION", m.start())
-    for m in _ROUTE.finditer(content):
-        add(f"route_{m[1]}_{_slug(m[2])}", "FUNCTION", m.start())
-    for m in _TEST.finditer(content):
-        add(f"{m[1]}_{_slug(m[2])}", "FUNCTION", m.start())
-    for m in _METHOD.finditer(content):
-        inner = max((c for c in classes if c[0] < m.start(1) <= c[1]), default=None)
-        if inner and m[1] not in _KEYWORDS:
-            add(m[1], "METHOD", m.start(1), inner[2])
-    for at, end, qualified in spans:
-        for m in _CALLED.finditer(content, at, end):
-            target = m[1].split(".")[-1]
-            before = content[max(0, m.start() - 9) : m.start()]
-            if target not in _KEYWORDS and not before.endswith("function ") and line_of(m.start()) >= line_of(at) and m.start(1) != at:
-                out["calls"].append({"caller": qualified, "target": target, "display": m[1], "arguments": [], "line_number": line_of(m.start())})
-    return out
+                self.out["refs"].append({"source": f"{self.module}.{m[1]}", "name": m[2].rpartition(".")[2], "line_number": span[0]})
+        for pattern in (_FUNCTION, _ARROW):
+            for m in pattern.finditer(content):
+                self._symbol(m, m[1], "FUNCTION")
+        for m in _ROUTE.finditer(content):
+            self._symbol(m, f"route_{m[1].lower()}_{_slug(m[2])}", "FUNCTION")
+        for m in _TEST.finditer(content):
+            self._symbol(m, f"{m[1]}_{_slug(m[2])}", "FUNCTION")
+        for m in _METHOD.finditer(content):
+            inside = [(span[0], name) for span, name in classes if span[0] < self._line(m.start()) <= span[1]]
+            if inside:
+                self._symbol(m, m[1], "METHOD", max(inside, key=lambda x: x[0])[1])
+        for symbol in sorted(self.out["symbols"], key=lambda x: x["line_start"]):
+            self._calls(symbol)
+
+    def _line(self, at: int) -> int:
+        return bisect.bisect_right(self.starts, at)
+
+    def _end(self, at: int) -> int:
+        """The line of the brace that closes the first one behind `at`, or the line of `at` where none does."""
+        depth, opened = 0, False
+        for m in re.compile("[{}]").finditer(self.content, at):
+            opened |= m[0] == "{"
+            depth += 1 if m[0] == "{" else -1
+            if opened and depth <= 0 and m[0] == "}":
+                return self._line(m.start())
+        return self._line(at)
+
+    def _symbol(self, m: re.Match, name: str, kind: str, parent: str | None = None) -> tuple[int, int]:
+        first = self._line(m.start())
+        last, qualified = max(first, self._end(m.end())), f"{parent or self.module}.{name}"
+        if qualified not in self.taken:
+            self.taken.add(qualified)
+            head = self.lines[first - 1].strip() if first <= len(self.lines) else ""
+            self.out["symbols"].append({"qualified_name": qualified, "name": name, "kind": kind, "module": self.module, "line_start": first, "line_end": last, "docstring": None, "decorators": [], "signature": head or None, "parent": parent})
+        return first, last
+
+    def _calls(self, symbol: dict) -> None:
+        body = "\n".join(self.lines[symbol["line_start"] - 1 : symbol["line_end"]])
+        for m in _CALLED.finditer(body):
+            owner, _, target = m[1].rpartition(".")
+            if owner in _ROUTERS and target.lower() in _ROUTE_METHODS:
+                target = f"route_{target.lower()}"
+            if target not in _KEYWORDS:
+                self.out["calls"].append({"caller": symbol["qualified_name"], "target": target, "display": m[1], "arguments": [], "line_number": symbol["line_start"] + body.count("\n", 0, m.start())})
+
+
+def parse_javascript(path: str, content: str) -> dict:
+    return _JavaScript(path, content).out
 
 
 PARSERS: dict[str, Callable[[str, str], dict]] = {"python": parse_python, "javascript": parse_javascript}

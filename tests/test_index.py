@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import infer, text as tx
 from seamline.operators import compare, components, graph, memory, rank, rules, search
-from seamline.plans import adapters, api, index as plan, queries
+from seamline.plans import adapters, api, catalog as queries, index as plan
 from seamline.sources import artifacts, external, gitlog, parsers, scan
 from seamline.streaming import watch
 
@@ -64,7 +64,7 @@ def test_symbols_calls_and_edges(index):
     edges = {(r.source_key, r.edge_type, r.target_key) for r in index.edges.collect()}
     assert ("symbol:app.orders.OrderService.create_order", "CALLS", "symbol:app.payments.PaymentService") in edges
     assert ("symbol:app.orders.OrderService.create_order", "CALLS", "symbol:app.payments.PaymentService.charge") in edges
-    assert ("route:GET:/orders", "HANDLES", "symbol:app.api.list_orders") in edges
+    assert ("route:app.api.list_orders", "HANDLES", "symbol:app.api.list_orders") in edges
     assert any(s == "symbol:app.api.list_orders" and t == "HTTP_CALLS" for s, t, _ in edges)
     assert names(index.errors, "path") == ["app/broken.py"]
 
@@ -83,7 +83,7 @@ def test_queries_on_the_index(index):
     assert any(s.qualified_name == "app.payments.PaymentService" for s in snippets)
     assert api.retrieve(index, "create_order", max_tokens=3).count() == 1
     assert api.outline(index, "orders").count() >= 1 and api.neighborhood(index, "charge").count() > 1
-    assert dict(api.diagnostics(index).collect())["parse_errors"] == 1
+    assert {r.metric: r.value for r in api.diagnostics(index).collect()}["parse_errors"] == 1
     assert api.explain(index, "charge").first().callers == ["symbol:app.orders.OrderService.create_order"]
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from seamline.plans.queries import QUERIES, SQL
+from seamline.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 
