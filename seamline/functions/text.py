@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words that queries leave out.
 STOP_WORDS = ["a", "an", "and", "are", "for", "from", "how", "in", "is", "of", "or", "the", "this", "to", "what", "where", "why", "with"]
+CHAT_STOP_WORDS = ["the", "and", "for", "with", "from", "about", "code", "commit", "commits"]
 SECRET_ASSIGNMENT = r"(?i)([A-Za-z0-9_]*(?:api[_-]?key|secret|token|password)[A-Za-z0-9_]*)(\b\s*[:=]\s*['\"])[^'\"]+(['\"])"
 BEARER = r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{12,}"
 
@@ -91,10 +92,10 @@ def evidence_terms(query: str) -> list[str]:
 
 
 def chat_terms(query: str, limit: int = 8) -> list[str]:
-    """Words of a question, those with capitals first, longer before shorter."""
-    words = list(dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", query)))
-    kept = [w for w in words if w.lower() not in STOP_WORDS]
-    return sorted(kept, key=lambda w: (w == w.lower(), -len(w), w.lower()))[:limit]
+    """Words of a question, cut at spaces, / and _: those with capitals first, longer before shorter."""
+    words = [w.strip(".,:;!?()[]{}'\"`") for w in re.split(r"[\s/_]+", query)]
+    kept = [w for w in words if len(w) >= 3 and w.lower() not in CHAT_STOP_WORDS]
+    return list(dict.fromkeys(sorted(kept, key=lambda w: (not any(c.isupper() for c in w), -len(w), w.lower()))[:limit]))
 
 
 def score_match(query: str, heading: Column, snippet: Column) -> Column:

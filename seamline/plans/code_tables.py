@@ -26,7 +26,7 @@ class Part{k}(B, metaclass=Meta):
     def total(self, price):
         if price > 1:
             return self.list(price)
-        return eval('price')
+        return js.dumps(eval('price'))
 
     @property
     def label(self):
@@ -130,6 +130,7 @@ SQL = f"""{ad.SQL}, srcs AS (
   SELECT path, m, m || '.list_' || n AS caller, 'Part' || j AS target, 'Part' || j AS display, 'limit|size=3' AS arguments, 7 AS line_number FROM py
   UNION ALL SELECT path, m, m || '.list_' || n, 'get', 'client.get', '''https://example.com/' || n || '''|rows', 8 FROM py
   UNION ALL SELECT path, m, m || '.Part' || k || '.total', 'list', 'self.list', 'price', 13 FROM py UNION ALL SELECT path, m, m || '.Part' || k || '.total', 'eval', 'eval', '''price''', 14 FROM py
+  UNION ALL SELECT path, m, m || '.Part' || k || '.total', 'dumps', 'js.dumps', 'eval(''price'')', 14 FROM py
   UNION ALL SELECT path, m, m || '.unused_' || k, 'get', 'requests.get', 'url|list_' || n || '(1)', 22 FROM py UNION ALL SELECT path, m, m || '.unused_' || k, 'list_' || n, 'list_' || n, '1', 22 FROM py
   UNION ALL SELECT path, m, m || '.Part' || k, unnest(['load', 'fetchOrders']), unnest(['load', 'fetchOrders']), '', unnest([6, 7]) FROM js
   UNION ALL SELECT path, m, m || '.Part' || k || '.load', unnest(['load', 'fetchOrders', 'async', 'helper_' || h]), unnest(['load', 'fetchOrders', 'async', 'helper_' || h]), '', unnest([6, 7, 11, 12]) FROM js
@@ -141,7 +142,7 @@ SQL = f"""{ad.SQL}, srcs AS (
   SELECT path, m, m || '.Part' || k AS child, 'B' AS parent, 10 AS line_number FROM py UNION ALL SELECT path, m, m || '.Part' || k, 'metaclass=Meta', 10 FROM py
 ), refd AS (
   SELECT path, m, m || '.list_' || n AS source, unnest(['rows', 'Part' || j, 'limit', 'get', 'client', 'rows']) AS name, unnest([7, 7, 7, 8, 8, 8]) AS line_number FROM py
-  UNION ALL SELECT path, m, m || '.Part' || k || '.total', unnest(['price', 'list', 'price', 'eval']), unnest([12, 13, 13, 14]) FROM py
+  UNION ALL SELECT path, m, m || '.Part' || k || '.total', unnest(['price', 'list', 'price', 'dumps', 'js', 'eval']), unnest([12, 13, 13, 14, 14, 14]) FROM py
   UNION ALL SELECT path, m, m || '.unused_' || k, unnest(['token', 'get', 'requests', 'url', 'list_' || n]), unnest([21, 22, 22, 22, 22]) FROM py
   UNION ALL SELECT path, m, m || '.Part' || k, 'Base', 4 FROM js
 )
