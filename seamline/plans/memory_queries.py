@@ -1,0 +1,290 @@
+"""Queries over the memory of commits and documents, and the same results as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import infer
+from ..operators import memory, rank
+from ..streaming import watch
+from . import adapters as ad
+from . import memory_index as mi
+from . import reports, scratch
+from .registry import query
+
+_MEMORIES: dict[tuple[str, str], mi.Memory] = {}
+PATHS = "CASE doc_id % 9 WHEN 0 THEN 'docs/adr/' WHEN 1 THEN 'docs/release-' WHEN 2 THEN 'docs/incident-' ELSE 'docs/' END || lang || '-' || doc_id || '.md'"
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = ad.commit_files(spark, sf_dir).groupBy("sha").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    rows = ad.commits(spark, sf_dir).join(files, "sha", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    return rows.withColumn("email", F.when(F.col("sha") % 3 == 0, F.concat(F.lower(F.replace("author", F.lit("#"), F.lit("."))), F.lit("@example.com"))))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.documents(spark, sf_dir).withColumn("lang", F.col("language")).select(F.expr(PATHS).alias("path"), "content")
+
+
+def memory_of(spark: SparkSession, sf_dir: str) -> mi.Memory:
+    """The memory of the driver's orders and documents, built and written once a session for each folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _MEMORIES:
+        made, folder = mi.build(_commits(spark, sf_dir), _documents(spark, sf_dir)), scratch.folder(spark, "memory")
+        for name, df in vars(made).items():
+            df.write.parquet(f"{folder}/{name}")
+        _MEMORIES[key] = mi.Memory(**{name: spark.read.parquet(f"{folder}/{name}") for name in vars(made)})
+    return _MEMORIES[key]
+
+
+def _in(words: list[str]) -> str:
+    return "|".join(words)
+
+
+_CASES = lambda table, what: " ".join(f"WHEN {what(k)} THEN '{v}'" for k, v in table.items())
+_TERMS, _PLAIN = ad._list(infer.ARCHITECTURE_TERMS), ad._list(infer.PLAIN_WORDS)
+
+
+def _terms(text: str) -> str:
+    """Sorted feature terms of a text, as SQL."""
+    return f"list_sort(list_distinct(list_concat(list_filter({_TERMS}, lambda t: contains(lower({text}), t)), list_transform(list_filter(regexp_extract_all(lower({text}), '[a-z][a-z0-9_]{{3,}}'), lambda w: NOT list_contains({_PLAIN}, w) AND (ends_with(w, 'ing') OR ends_with(w, 'tion') OR list_contains({_TERMS}, w))), lambda w: replace(w, '_', ' ')))))"
+
+
+def _slug(text: str) -> str:
+    return f"coalesce(nullif(regexp_replace(regexp_replace(lower({text}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown')"
+
+
+CM = f"""+cf AS (SELECT sha, list_sort(list(path)) AS files, list_sort(list_distinct(list(component))) AS comps FROM commit_files GROUP BY sha), cw AS (
+  SELECT c.sha::VARCHAR AS sha, author, CASE WHEN c.sha % 3 = 0 THEN lower(replace(author, '#', '.')) || '@example.com' END AS email, ts, subject, coalesce(files, []) AS files, coalesce(comps, []) AS comps, lower(subject || ' ' || array_to_string(coalesce(files, []), ' ')) AS x, split_part(subject, ' ', 1) AS verb, substr(subject, strpos(subject, ' ') + 1) AS rest FROM commits c LEFT JOIN cf ON cf.sha = c.sha
+), cm AS (
+  SELECT *, 'developer:' || {_slug("coalesce(email, author)")} AS author_key, CASE lower(verb) {" ".join(f"WHEN '{k}' THEN '{v} ' || rest" for k, v in infer.PURPOSES.items())} ELSE subject END AS purpose,
+    CASE {_CASES(infer.MOTIVATIONS, lambda k: f"contains(lower(subject), '{k}')")} ELSE '{infer.NO_MOTIVATION}' END AS motivation,
+    CASE WHEN regexp_matches(x, '{_in(infer.HIGH_RISK)}') OR len(files) >= 12 THEN 'high' WHEN len(files) >= 5 OR regexp_matches(x, '{_in(infer.MEDIUM_RISK)}') THEN 'medium' ELSE 'low' END AS risk,
+    CASE WHEN regexp_matches(x, '{_in(infer.HIGH_IMPACT)}') THEN 'high' WHEN regexp_matches(x, '{_in(infer.MEDIUM_IMPACT)}') THEN 'medium' ELSE 'low' END AS impact,
+    list_sort(list_distinct(list_concat({_terms("subject")}, {_terms("translate(array_to_string(files, chr(10)), '_-', '  ')")}))) AS features, regexp_extract(subject, '[(]#([0-9]+)[)]', 1) AS pull, regexp_matches(lower(subject), '^(add|added|introduce|introduced) ') AS introductory FROM cw
+), dl AS (SELECT {PATHS} AS path, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM (SELECT doc_id, language AS lang, content FROM docs)
+), dw AS (
+  SELECT path, content, CASE WHEN ls[1] IS NULL THEN path WHEN starts_with(ls[1], '#') THEN CASE WHEN trim(regexp_replace(ls[1], '^#+', '')) <> '' THEN trim(regexp_replace(ls[1], '^#+', '')) ELSE path END ELSE substr(ls[1], 1, 120) END AS title,
+    CASE WHEN length(array_to_string(ls, ' ')) <= 700 THEN array_to_string(ls, ' ') ELSE rtrim(substr(array_to_string(ls, ' '), 1, 700)) || '...' END AS snippet, substr(sha256(path), 1, 16) AS source_id,
+    CASE WHEN contains(lower(path), 'adr') OR contains(lower(content), 'architecture decision') THEN 'ArchitectureDecision' WHEN contains(lower(path), 'release') OR contains(lower(path), 'changelog') THEN 'Release' WHEN contains(lower(path), 'incident') OR contains(lower(content), 'postmortem') THEN 'Incident' ELSE 'RepositoryEvent' END AS kind FROM dl
+), dm AS (SELECT *, lower(kind) || ':' || source_id AS entity_key, {_terms("concat_ws(chr(10), path, title, content)")} AS features FROM dw
+), ev AS (
+  SELECT 'commit' AS source_type, sha AS source_id, '' AS path, subject AS title, 'Purpose: ' || purpose || '. Motivation: ' || motivation || ' Impacted components: ' || CASE WHEN len(comps) > 0 THEN array_to_string(comps, ', ') ELSE 'unknown components' END || '. Risk: ' || risk || '. Changed files: ' || array_to_string(files[1:6], ', ') || CASE WHEN len(files) > 6 THEN ', and ' || (len(files) - 6) || ' more' ELSE '' END || '.' AS snippet, author, email, ts, files, 'Commit' AS kind, risk, impact FROM cm
+  UNION ALL SELECT 'document', source_id, path, title, snippet, NULL, NULL, NULL, [], kind, NULL, NULL FROM dm)"""
+
+ENT = CM + f""", ew AS (
+  SELECT author_key AS key, 'Developer' AS kind, author AS name, author || ' contributed repository changes.' AS summary, 0.95::DOUBLE AS confidence, ts, sha AS id, 0 AS n FROM cm
+  UNION ALL SELECT 'commit:' || sha, 'Commit', substr(sha, 1, 7), purpose, 0.86, ts, sha, 0 FROM cm
+  UNION ALL SELECT 'module:' || {_slug("c")}, 'Module', c, 'Repository area inferred from paths touched by commits: ' || c || '.', 0.72, ts, sha, 1 FROM (SELECT *, unnest(comps) AS c FROM cm)
+  UNION ALL SELECT 'file:' || f, 'File', f, 'File touched by repository history: ' || f || '.', 0.9, ts, sha, 1 FROM (SELECT *, unnest(files) AS f FROM cm)
+  UNION ALL SELECT 'feature:' || {_slug("f")}, 'Feature', f, 'Feature/topic inferred from commit text or changed paths: ' || f || '.', 0.68, ts, sha, 1 FROM (SELECT *, unnest(features) AS f FROM cm)
+  UNION ALL SELECT 'pull_request:' || pull, 'PullRequest', 'PR #' || pull, 'Pull request inferred from commit message: ' || subject, 0.62, ts, sha, 1 FROM cm WHERE pull <> ''
+  UNION ALL SELECT 'decision:' || substr(sha, 1, 12), 'ArchitectureDecision', subject, 'Architectural signal from commit: ' || purpose || '. Impact assessed as ' || impact || '.', CASE impact WHEN 'medium' THEN 0.58 ELSE 0.72 END, ts, sha, 1 FROM cm WHERE impact <> 'low'
+  UNION ALL SELECT entity_key, kind, title, snippet, 0.82, '~', path, 0 FROM dm
+  UNION ALL SELECT 'feature:' || {_slug("f")}, 'Feature', f, 'Repository topic mentioned in evidence: ' || f || '.', 0.62, '~', path, 1 FROM (SELECT *, unnest(features) AS f FROM dm)
+  UNION ALL SELECT 'repository:local', 'Repository', 'repository', 'Local repository repository', 1.0, '', '', 0
+), ent AS (SELECT key, arg_max(kind, (ts, id, n)) AS kind, arg_max(name, (ts, id, n)) AS name, arg_max(summary, (ts, id, n)) AS summary, max(confidence) AS confidence FROM ew GROUP BY key)"""
+
+REL = CM + f""", rw AS (
+  SELECT author_key AS source_key, 'commit:' || sha AS target_key, 'contributes_to' AS relationship, 0.95::DOUBLE AS confidence, 'commit' AS evidence_type, sha AS evidence_id, false AS cochange FROM cm
+  UNION ALL SELECT 'commit:' || sha, 'repository:local', 'modified_by', 0.88, 'commit', sha, false FROM cm
+  UNION ALL SELECT 'module:' || {_slug("c")}, author_key, 'modified_by', 0.74, 'commit', sha, false FROM (SELECT *, unnest(comps) AS c FROM cm) UNION ALL SELECT 'commit:' || sha, 'module:' || {_slug("c")}, 'related_to', 0.76, 'commit', sha, false FROM (SELECT *, unnest(comps) AS c FROM cm)
+  UNION ALL SELECT 'commit:' || sha, 'file:' || f, 'related_to', 0.86, 'commit', sha, false FROM (SELECT *, unnest(files) AS f FROM cm) UNION ALL SELECT 'file:' || f, author_key, 'modified_by', 0.84, 'commit', sha, false FROM (SELECT *, unnest(files) AS f FROM cm)
+  UNION ALL SELECT 'file:' || a, 'file:' || b, 'related_to', 0.66, 'commit', sha, true FROM (SELECT sha, a, unnest(fs) AS b FROM (SELECT sha, files[1:30] AS fs, unnest(files[1:30]) AS a FROM cm)) WHERE a <> b
+  UNION ALL SELECT 'feature:' || {_slug("f")}, 'commit:' || sha, CASE WHEN introductory THEN 'introduced_by' ELSE 'modified_by' END, 0.7, 'commit', sha, false FROM (SELECT *, unnest(features) AS f FROM cm)
+  UNION ALL SELECT 'pull_request:' || pull, 'commit:' || sha, 'related_to', 0.62, 'commit', sha, false FROM cm WHERE pull <> '' UNION ALL SELECT 'decision:' || substr(sha, 1, 12), 'commit:' || sha, 'introduced_by', 0.7, 'commit', sha, false FROM cm WHERE impact <> 'low'
+  UNION ALL SELECT entity_key, 'repository:local', 'related_to', 0.8, 'document', source_id, false FROM dm UNION ALL SELECT entity_key, 'feature:' || {_slug("f")}, 'related_to', 0.64, 'document', source_id, false FROM (SELECT *, unnest(features) AS f FROM dm)
+), rel AS (SELECT source_key, target_key, relationship, evidence_type, evidence_id, max(confidence) AS confidence, bool_or(cochange) AS cochange FROM rw GROUP BY ALL)"""
+
+
+@query(CM + " SELECT source_type, source_id, path, title, snippet, author, email, ts, array_to_string(files, '|') AS files, kind, risk, impact FROM ev")
+def memory_evidence(spark, sf_dir):
+    return memory_of(spark, sf_dir).evidence.withColumn("files", F.array_join("files", "|"))
+
+
+@query(ENT + " SELECT key, kind, name, summary, confidence FROM ent")
+def memory_entities(spark, sf_dir):
+    return memory_of(spark, sf_dir).entities.select("key", "kind", "name", "summary", "confidence")
+
+
+@query(REL + " SELECT source_key, target_key, relationship, confidence, evidence_type, evidence_id, cochange FROM rel")
+def memory_relationships(spark, sf_dir):
+    return memory_of(spark, sf_dir).relationships.select("source_key", "target_key", "relationship", "confidence", "evidence_type", "evidence_id", "cochange")
+
+
+@query(ENT + REL.removeprefix(CM) + " SELECT 'entities' AS metric, count(*)::BIGINT AS value FROM ent UNION ALL SELECT 'relationships', count(*) FROM rel UNION ALL SELECT 'evidence', count(*) FROM ev")
+def memory_counts(spark, sf_dir):
+    return mi.counts(memory_of(spark, sf_dir))
+
+
+@query(CM + " SELECT source_id, title, snippet FROM ev WHERE source_type = 'commit' AND source_id = '7'")
+def evidence_for_source(spark, sf_dir):
+    return mi.evidence_for_source(memory_of(spark, sf_dir), "commit", "7").select("source_id", "title", "snippet")
+
+
+@query(REL + " SELECT source_key, target_key, relationship, confidence FROM rel WHERE source_key = 'module:brand3' OR target_key = 'module:brand3'")
+def relationships_for_key(spark, sf_dir):
+    return mi.relationships_for_key(memory_of(spark, sf_dir), "module:brand3").select("source_key", "target_key", "relationship", "confidence")
+
+
+@query(REL + " SELECT source_key, target_key, relationship, title, author, ts FROM rel LEFT JOIN ev ON source_type = evidence_type AND source_id = evidence_id WHERE relationship = 'introduced_by'")
+def relationship_evidence(spark, sf_dir):
+    return mi.relationship_evidence(memory_of(spark, sf_dir)).where("relationship = 'introduced_by'").select("source_key", "target_key", "relationship", "title", "author", "ts")
+
+
+@query(ENT + " SELECT key, kind, name, confidence FROM ent WHERE (contains(lower(name), 'cache') OR contains(lower(summary), 'cache') OR contains(lower(key), 'cache')) AND kind IN ('ArchitectureDecision', 'Feature') ORDER BY confidence DESC, key LIMIT 40")
+def entity_search(spark, sf_dir):
+    from ..operators import search
+
+    entities = memory_of(spark, sf_dir).entities.withColumn("updated_at", F.lit(""))
+    return search.search_entities(entities, "cache", [mi.DECISION, mi.FEATURE], 40).select("key", "kind", "name", "confidence")
+
+
+# -- evidence search and what is built on it --------------------------------------------
+
+
+def _hits(phrases: list[str], limit: int) -> str:
+    """hits: the first `limit` pieces of evidence for phrases, with their place."""
+    listed = "[" + ", ".join(f"'{p}'" for p in phrases) + "]"
+    return f""", w AS (SELECT source_id, regexp_extract_all(lower(concat_ws(' ', title, snippet, path)), '([a-z0-9]+)') AS ws FROM ev), p AS (
+  SELECT source_id, len(ws) AS len, t.term, len(list_filter(range(1, len(ws) + 1), lambda i: array_to_string(ws[i:i + len(string_split(t.term, ' ')) - 1], ' ') = t.term)) AS tf FROM w, (SELECT unnest({listed}) AS term) t
+), st AS (SELECT term, count(*) AS docs, count(*) FILTER (WHERE tf > 0) AS n, avg(len) AS mean FROM p GROUP BY term
+), sc AS (SELECT source_id, sum(greatest(ln((st.docs - st.n + 0.5::DOUBLE) / (st.n + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS rank FROM p JOIN st ON p.term = st.term WHERE tf > 0 GROUP BY ALL
+), hits AS (SELECT *, row_number() OVER (ORDER BY rank DESC, coalesce(ts, '') DESC, source_id) AS place FROM (SELECT ev.*, sc.rank FROM ev JOIN sc USING (source_id) ORDER BY rank DESC, ts DESC NULLS LAST, source_id LIMIT {limit}))"""
+
+
+@query(CM + _hits(["redis timeout", "migrate"], 60) + " SELECT source_type, source_id, title, round(rank, 6) AS rank FROM hits")
+def evidence_search(spark, sf_dir):
+    found = reports.search_evidence(memory_of(spark, sf_dir).evidence, "redis-timeout Migrate", 60)
+    return found.select("source_type", "source_id", "title", F.round("rank", 6).alias("rank"))
+
+
+@query(CM + " SELECT source_id, title FROM ev WHERE contains(lower(concat_ws(chr(10), title, snippet, path)), 'uthcac') OR contains(lower(concat_ws(chr(10), title, snippet, path)), 'edis tim') OR contains(lower(concat_ws(chr(10), title, snippet, path)), 'edi') ORDER BY ts DESC NULLS LAST, source_id LIMIT 30")
+def evidence_fallback(spark, sf_dir):
+    return reports.search_evidence(memory_of(spark, sf_dir).evidence, "uthcac edi", 30).select("source_id", "title")
+
+
+@query(CM + _hits(["redis timeout"], 10) + " SELECT source_type, source_id, title, nullif(path, '') AS path, 0.75::DOUBLE AS confidence FROM hits")
+def evidence_refs(spark, sf_dir):
+    return mi.shown(reports.search_evidence(memory_of(spark, sf_dir).evidence, "redis-timeout", 10)).select("source_type", "source_id", "title", "path", "confidence")
+
+
+@query(CM + _hits(["migrate"], 40) + """, e AS (SELECT *, lower(title || chr(10) || snippet) AS t FROM hits) SELECT ts AS date, title, source_type || ':' || source_id AS entity_key, kind AS entity_kind, round(least(1.0::DOUBLE, 0.35::DOUBLE + CASE WHEN contains(t, 'migrate') THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN contains(t, 'migrate') THEN 0.25::DOUBLE ELSE 0 END), 6) AS confidence FROM e ORDER BY coalesce(ts, ''), source_id LIMIT 20""")
+def memory_history(spark, sf_dir):
+    return mi.history(memory_of(spark, sf_dir), "migrate").select("date", "title", "entity_key", "entity_kind", "confidence")
+
+
+@query(CM + _hits(["redis"], 200) + """, h AS (SELECT * FROM hits WHERE source_type = 'commit'), g AS (SELECT author, count(DISTINCT source_id)::BIGINT AS commits, len(list_distinct(flatten(list(files))))::INTEGER AS files, max(ts) AS last_active, arg_max(email, place) FILTER (WHERE email IS NOT NULL) AS email, array_to_string(list(source_id ORDER BY place)[1:3], '|') AS evidence FROM h GROUP BY author)
+SELECT author AS developer, email, round(2.0::DOUBLE * commits + 0.5::DOUBLE * files, 6) AS score, commits, files, last_active, evidence FROM g ORDER BY score DESC, developer LIMIT 10""")
+def memory_ownership(spark, sf_dir):
+    return mi.ownership(memory_of(spark, sf_dir), "redis").withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query(ENT + _hits(["cache"], 10) + """, rl AS (SELECT place, source_id FROM hits WHERE source_type = 'document' OR impact <> 'low'), f AS (SELECT array_to_string(list(source_id ORDER BY place)[1:3], '|') AS evidence FROM rl)
+SELECT summary AS answer, confidence, evidence FROM (SELECT * FROM ent WHERE (contains(lower(name), 'cache') OR contains(lower(summary), 'cache') OR contains(lower(key), 'cache')) AND kind = 'ArchitectureDecision' ORDER BY confidence DESC, key LIMIT 5), f""")
+def memory_decisions(spark, sf_dir):
+    return mi.decisions(memory_of(spark, sf_dir), "cache").withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query("SELECT 'No evidence-backed decision was found in indexed memory.' AS answer, 0.0::DOUBLE AS confidence, '' AS evidence", canonical=False)
+def memory_no_decision(spark, sf_dir):
+    return mi.decisions(memory_of(spark, sf_dir), "qqqq-nothing-zzzz").withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query(CM + _hits(["timeout"], 32) + f" SELECT snippet AS summary, 0.75::DOUBLE AS confidence, source_id AS evidence FROM hits WHERE coalesce(impact, 'low') <> 'low' OR regexp_matches(lower(snippet), '{_in(infer.ARCHITECTURE_TERMS)}') ORDER BY place LIMIT 8")
+def memory_architecture(spark, sf_dir):
+    return mi.architecture(memory_of(spark, sf_dir), "timeout")
+
+
+@query(CM + _hits(["gateway", *mi.API_WORDS.split()], 10) + f" SELECT '{mi.API_FLOW}' AS answer, 0.45::DOUBLE AS confidence, count(*)::INTEGER AS evidence FROM hits")
+def api_flow(spark, sf_dir):
+    return mi.api_flow(memory_of(spark, sf_dir), "gateway").withColumn("evidence", F.size("evidence").cast("int"))
+
+
+@query(REL + """, busy AS (SELECT path FROM commit_files GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), mine AS (SELECT rel.*, 'file:' || path AS key FROM rel, busy WHERE relationship = 'related_to' AND (source_key = 'file:' || path OR target_key = 'file:' || path) ORDER BY confidence DESC, evidence_id DESC, source_key DESC, target_key DESC LIMIT 1200), g AS (SELECT replace(CASE WHEN source_key = key THEN target_key ELSE source_key END, 'file:', '') AS related, count(*)::BIGINT AS commits FROM mine WHERE cochange GROUP BY ALL)
+SELECT related, commits, round(least(0.95::DOUBLE, 0.45::DOUBLE + 0.12::DOUBLE * commits), 6) AS confidence FROM g ORDER BY commits DESC, related LIMIT 300""")
+def memory_related_files(spark, sf_dir):
+    busy = ad.commit_files(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").first()["path"]
+    return mi.related_files(memory_of(spark, sf_dir), busy, 300)
+
+
+@query(CM + _hits(["layout"], 100) + """, c AS (SELECT * FROM hits WHERE source_type = 'commit'), fl AS (SELECT path, min((place, spot)) AS first FROM (SELECT place, unnest(files) AS path, generate_subscripts(files, 1) AS spot FROM c) GROUP BY path), fs AS (SELECT list(path ORDER BY first)[1:8] AS files FROM fl), au AS (SELECT list(author ORDER BY p) AS authors FROM (SELECT author, min(place) AS p FROM c GROUP BY author))
+SELECT 'layout' AS component, 'layout appears in ' || (SELECT count(*) FROM c) || ' indexed commits across ' || len(files) || ' files with ' || len(authors) || ' contributors.' AS summary, (SELECT count(DISTINCT source_id) FROM c)::BIGINT AS commits, array_to_string(authors, '|') AS authors, array_to_string(files, '|') AS files FROM fs, au""")
+def memory_component_summary(spark, sf_dir):
+    found = mi.component_summary(memory_of(spark, sf_dir), "layout")
+    return found.select("component", "summary", "commits", F.array_join("authors", "|").alias("authors"), F.array_join("files", "|").alias("files"))
+
+
+@query("SELECT o_orderkey % 50 AS source_id, max(o_orderkey) AS value, min(o_orderkey) AS place FROM orders GROUP BY ALL", canonical=False)
+def collected_evidence(spark, sf_dir):
+    """Evidence met several times: the last value at the first place."""
+    rows = ad.table(spark, sf_dir, "orders").select(F.lit("commit").alias("source_type"), (F.col("o_orderkey") % 50).alias("source_id"), F.lit("").alias("path"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("value"))
+    return memory.collect_evidence(rows).select("source_id", "value", F.col("seq").alias("place"))
+
+
+@query("+r AS (SELECT component, CASE file_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk FROM files WHERE file_id % 4 > 0) SELECT component, CASE WHEN bool_or(risk = 'high') THEN 'high' WHEN bool_or(risk = 'medium') THEN 'medium' ELSE 'low' END AS risk FROM r GROUP BY component")
+def aggregate_risk(spark, sf_dir):
+    key = F.col("file_id") % 5
+    rows = ad.files(spark, sf_dir).where("file_id % 4 > 0").withColumn("risk", F.when(key == 0, "high").when(key == 1, "medium").otherwise("low"))
+    return rows.groupBy("component").agg(memory.aggregate_risk(F.col("risk")).alias("risk"))
+
+
+@query("""+recent AS (SELECT sha FROM commits ORDER BY ts DESC, sha LIMIT 2000), r AS (SELECT * FROM commit_files WHERE sha IN (SELECT sha FROM recent)), g AS (SELECT component, count(DISTINCT sha)::BIGINT AS commits, count(DISTINCT author)::BIGINT AS authors, count(DISTINCT path)::BIGINT AS files, array_to_string(list(sha::VARCHAR ORDER BY ts DESC, sha, path)[1:3], '|') AS evidence FROM r GROUP BY component)
+SELECT component, commits, authors, files, round(2.0::DOUBLE * commits + authors + 0.4::DOUBLE * files, 6) AS risk, evidence FROM g ORDER BY risk DESC, component LIMIT 10""")
+def hotspots_recent(spark, sf_dir):
+    commits = ad.commits(spark, sf_dir).orderBy(F.desc("ts"), "sha").limit(2000).select("sha")
+    rows = ad.commit_files(spark, sf_dir).join(commits, "sha", "left_semi")
+    return memory.hotspots(rows, 10, evidence=3).withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query(CM + " SELECT sha, array_to_string(features, '|') AS features, CASE WHEN len(files) > 0 THEN true ELSE false END AS touched FROM cm")
+def commit_features(spark, sf_dir):
+    rows = _commits(spark, sf_dir)
+    return rows.select(F.col("sha").cast("string").alias("sha"), F.array_join(mi.commit_features(F.col("subject"), F.col("files")), "|").alias("features"), (F.size("files") > 0).alias("touched"))
+
+
+@query("+c AS (SELECT path, CASE file_id % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'R100' WHEN 2 THEN 'A' ELSE 'M' END AS status, regexp_matches(path, '_test[.]py$') AS is_test FROM files WHERE component = 'brand3') SELECT path, status, CASE WHEN status = 'D' THEN 'Deleted file; run related and broader regression tests.' WHEN is_test THEN 'Changed test file; verify the test still exercises the intended behavior.' ELSE 'Related tests matched by component and filename.' END AS reason FROM c")
+def verification_plan(spark, sf_dir):
+    files = ad.files(spark, sf_dir)
+    key = F.col("file_id") % 4
+    changed = files.where("component = 'brand3'").select("path", F.when(key == 0, "D").when(key == 1, "R100").when(key == 2, "A").otherwise("M").alias("status"))
+    # a test of the same component in any folder relates to every file of it
+    tests = files.where(infer.is_test_for_verification(F.col("path"))).select("path").union(spark.createDataFrame([("src/brand3/zz_test.py",)], "path string"))
+    return reports.verification_plan(changed, tests).select("path", "status", "reason")
+
+
+@query("""+t AS (SELECT path FROM files WHERE component = 'brand3' AND regexp_matches(path, '_test[.]py$')), s AS (SELECT path FROM files WHERE component = 'brand3') SELECT * FROM (
+SELECT 'python -m pytest ' || (SELECT string_agg(path, ' ' ORDER BY path) FROM t) AS command, 'Targeted Python tests related to changed files.' AS reason WHERE (SELECT count(*) FROM t) > 0
+UNION ALL SELECT 'python -m unittest discover', 'Broad Python test fallback because no exact test file matched.' WHERE (SELECT count(*) FROM t) = 0
+UNION ALL SELECT 'npm test', 'JavaScript/TypeScript project test fallback.' WHERE (SELECT count(*) FROM s WHERE ends_with(path, '.ts')) > 0 UNION ALL SELECT 'python -m ruff check .', 'Configured Python lint check.' UNION ALL SELECT 'npm run lint', 'Common JavaScript/TypeScript lint check.')""")
+def verification_commands(spark, sf_dir):
+    rows = ad.files(spark, sf_dir).where("component = 'brand3'").select("path")
+    tests = rows.where(F.col("path").rlike(r"_test\.py$"))
+    return reports.verification_commands(rows, tests, {"tests", "package.json"}, "[tool.ruff]")
+
+
+@query("SELECT event_type AS tree, count(*)::BIGINT AS n FROM events WHERE event_type <> 'error' GROUP BY event_type", canonical=False)
+def watch_events(spark, sf_dir):
+    """Events of watched files outside ignored folders: errors stand for edits of other files."""
+    path = F.concat("event_type", F.lit("/"), F.col("event_id").cast("string"), F.when(F.col("event_type") == "error", ".txt").otherwise(".py"))
+    rows = ad.table(spark, sf_dir, "events").withColumn("path", path)
+    return watch.relevant(rows).groupBy(F.col("event_type").alias("tree")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""+e AS (SELECT user_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), r AS (
+  SELECT user_id, n, sec AS last, 1 AS taken FROM e WHERE n = 1 UNION ALL SELECT r.user_id, e.n, CASE WHEN e.sec - r.last >= 86400 THEN e.sec ELSE r.last END, r.taken + CASE WHEN e.sec - r.last >= 86400 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1
+) SELECT user_id, max(taken)::BIGINT AS taken FROM r GROUP BY user_id""", recursive=True)
+def debounced_events(spark, sf_dir):
+    """Of each user's events those that come a day or more after the last that was taken, as the debounce of a stream takes them."""
+    events = ad.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tree"), F.lit("").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros"))
+    rows = events.select("tree", "path", (F.col("micros") / 1e6).alias("seconds"))
+    return watch.debounced_table(rows, 86400.0).groupBy(F.col("tree").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("taken"))
+
+
+@query("""+l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INTEGER AS n FROM docs), h AS (
+  SELECT path, n, CASE WHEN contains(lower(line), 'password') THEN 1 ELSE 0 END + CASE WHEN contains(lower(line), 'licen') THEN 1 ELSE 0 END + CASE WHEN contains(lower(line), 'token') THEN 1 ELSE 0 END AS hits FROM l
+) SELECT path, max(hits)::INTEGER AS hits, arg_min(n, (-hits, n)) AS best_line FROM h WHERE hits > 0 GROUP BY path""")
+def best_lines(spark, sf_dir):
+    found = rank.best_lines(ad.documents(spark, sf_dir), "path", "content", ["password", "licen", "token"])
+    return found.select(F.col("id").alias("path"), F.col("hits").cast("int").alias("hits"), F.col("best_line").cast("int").alias("best_line"))

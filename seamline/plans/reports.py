@@ -82,6 +82,31 @@ def verification_plan(changed: DataFrame, tests: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
+def verification_commands(sources: DataFrame, tests: DataFrame, present: set[str], project: str = "") -> DataFrame:
+    """command, reason to check changed sources (path) and the tests (path) chosen for them; `present` are names at the
+    repository's top, `project` is the text of its pyproject.toml. Chosen tests are few, so they come to the driver."""
+    ending = lambda *ends: reduce(lambda a, e: a | F.col("path").endswith(e), ends, F.lit(False))
+    script = (".js", ".jsx", ".ts", ".tsx")
+    chosen = [r["path"] for r in tests.select("path").distinct().orderBy("path").collect()]
+    python, scripts = [p for p in chosen if p.endswith(".py")], [p for p in chosen if p.endswith(script)]
+    held = sources.agg(F.max(ending(".py")).alias("python"), F.max(ending(*script)).alias("script")).first()
+    told = []
+    if python:
+        told.append(("python -m pytest " + " ".join(python), "Targeted Python tests related to changed files."))
+    elif held["python"] and "tests" in present:
+        told.append(("python -m unittest discover", "Broad Python test fallback because no exact test file matched."))
+    if scripts:
+        told.append(("npm test -- " + " ".join(scripts), "Targeted JavaScript/TypeScript tests related to changed files."))
+    elif held["script"] and "package.json" in present:
+        told.append(("npm test", "JavaScript/TypeScript project test fallback."))
+    if "ruff" in project:
+        told.append(("python -m ruff check .", "Configured Python lint check."))
+    if "package.json" in present:
+        told.append(("npm run lint", "Common JavaScript/TypeScript lint check."))
+    told = told or [("update the index", "Refresh the index and inspect diagnostics.")]
+    return sources.sparkSession.createDataFrame(told, "command string, reason string")
+
+
 def search_evidence(evidence: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """evidence with rank: Okapi order, then newest; rows that only hold a word within another where no whole word matches."""
     terms = tx.evidence_terms(query)

@@ -28,15 +28,21 @@ def relevant(events: DataFrame, endings: list[str] = (".py",)) -> DataFrame:
     return events.where(wanted & ~scan.path_ignored(F.col("path"), scan.IGNORED, []))
 
 
+def _taken(rows: pd.DataFrame, last: float | None, wait: float) -> tuple[pd.DataFrame, float | None]:
+    """Rows that come `wait` seconds or more after the last taken one, and when the last of them came."""
+    keep = []
+    for at in rows.sort_values("seconds").itertuples():
+        if last is None or at.seconds - last >= wait:
+            keep.append(at.Index)
+            last = at.seconds
+    return rows.loc[keep, ["tree", "path", "seconds"]], last
+
+
 def _leading_edge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
     for rows in batches:
-        keep = []
-        for at in rows.sort_values("seconds").itertuples():
-            if last is None or at.seconds - last >= DEBOUNCE:
-                keep.append(at.Index)
-                last = at.seconds
-        yield rows.loc[keep, ["tree", "path", "seconds"]]
+        taken, last = _taken(rows, last, DEBOUNCE)
+        yield taken
     if last is not None:
         state.update((float(last),))
 
@@ -46,6 +52,22 @@ def debounced(events: DataFrame) -> DataFrame:
     return events.groupBy("tree").applyInPandasWithState(_leading_edge, "tree string, path string, seconds double", "last double", "append", "NoTimeout")
 
 
+def debounced_table(events: DataFrame, wait: float = DEBOUNCE) -> DataFrame:
+    """The same of a table: events (tree, path, seconds) that come `wait` seconds or more after the last taken of their tree.
+
+    Times stream through a task in order, with the last taken one of a tree as all that it holds.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+        for rows in batches:
+            for tree, mine in rows.groupby("tree", sort=False):
+                taken, last[tree] = _taken(mine, last.get(tree), wait)
+                yield taken
+
+    return events.repartition("tree").sortWithinPartitions("tree", "seconds").mapInPandas(run, "tree string, path string, seconds double")
+
+
 def watch(events: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False, every: str = "1 second") -> StreamingQuery:
     """Gives each batch of events to take(batch, number), one after the other; a batch that failed comes again."""
     writer = events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
