@@ -81,7 +81,7 @@ def retrieve(index: Index, query: str, *, depth: int = 2, max_tokens: int = 8000
     rows = index.symbols.join(reached, F.concat(F.lit("symbol:"), "qualified_name") == F.col("key"), "left_semi")
     ranked = rank.rank_snippets(rows, query, graph.edge_bonus(around), matched)
     coded = ranked.join(index.files.select("path", "content"), "path").withColumn("code", tx.line_range(F.col("content"), F.col("line_start"), F.col("line_end"))).drop("content")
-    coded = coded.withColumn("tokens", tx.estimate_tokens(F.col("code")))
+    coded = coded.where("code <> ''").withColumn("tokens", tx.estimate_tokens(F.col("code")))
     ordered = coded.select(F.lit(0).alias("_all"), (-F.col("score")).alias("order"), "path", "line_start", "qualified_name", "tokens")
     chosen = rank.greedy_kept(ordered, "_all", ["order", "path", "line_start", "qualified_name"], "tokens", max_tokens, "qualified_name", cut_first=True)
     kept = chosen.select(F.explode("names").alias("qualified_name"))
