@@ -73,16 +73,67 @@ def parse(raw: dict | None) -> ProjectConfig:
     )
 
 
+def read(root: str) -> tuple[str, dict]:
+    """The path of a folder's configuration file (the first name where there is none) and what it holds."""
+    path = next((p for name in NAMES if os.path.exists(p := os.path.join(root, name))), os.path.join(root, NAMES[0]))
+    if not os.path.exists(path):
+        return path, {}
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        found = json.loads(text or "{}")
+    else:
+        import yaml
+
+        found = yaml.safe_load(text)
+    return path, found if isinstance(found, dict) else {}
+
+
+def write(path: str, raw: dict) -> None:
+    """Writes a configuration file as a whole; keys keep their order."""
+    if path.endswith(".json"):
+        text = json.dumps(raw, indent=2) + "\n"
+    else:
+        import yaml
+
+        text = yaml.safe_dump(raw, sort_keys=False, allow_unicode=True)
+    attempt = f"{path}.attempt"
+    with open(attempt, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(attempt, path)
+
+
+#: The list that each category's packages go to.
+CATEGORY_LISTS = {"owned": "owned_prefixes", "team": "show_packages", "third_party": "third_party_packages", "hide": "hide_packages", "docs_config": "hide_packages"}
+
+
+def classified(raw: dict, package: str, category: str) -> dict:
+    """A configuration in which the package is in the category's list and, whatever its case, in no other."""
+    name, kind = package.strip(), category.strip().lower().replace("-", "_")
+    if not name:
+        raise ValueError("a package name is required")
+    if kind not in CATEGORY_LISTS:
+        raise ValueError(f"no such category: {category}")
+    old = raw.get("classification") if isinstance(raw.get("classification"), dict) else {}
+    lists = {k: [x for x in unique(old.get(k)) if x.lower() != name.lower()] for k in asdict(Classification())}
+    lists[CATEGORY_LISTS[kind]].append(name)
+    return raw | {"classification": lists}
+
+
+def classify(root: str, package: str, category: str) -> ProjectConfig:
+    """Puts a package into a category, in the folder's configuration file."""
+    path, raw = read(root)
+    write(path, classified(raw, package, category))
+    return load(root)
+
+
+def restore_classification(root: str, lists: dict) -> ProjectConfig:
+    """Replaces all lists of the classification."""
+    path, raw = read(root)
+    write(path, raw | {"classification": {k: list(unique(lists.get(k))) for k in asdict(Classification())}})
+    return load(root)
+
+
 def load(root: str) -> ProjectConfig:
     """The first configuration file of a folder, or the defaults."""
-    for name in NAMES:
-        path = os.path.join(root, name)
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                text = f.read()
-            if name.endswith(".json"):
-                return parse(json.loads(text or "{}"))
-            import yaml
-
-            return parse(yaml.safe_load(text))
-    return ProjectConfig()
+    return parse(read(root)[1])

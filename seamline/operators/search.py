@@ -109,3 +109,14 @@ def search_entities(entities: DataFrame, query: str, kinds: list[str] | None = N
     found = entities.where(match if tx.evidence_terms(query) else F.lit(True))
     found = found.where(F.col("kind").isin(kinds)) if kinds else found
     return found.orderBy(F.desc("confidence"), F.desc("updated_at"), "key").limit(limit)
+
+
+def innermost(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """points (keys, line) with the name of the range (keys, name, line_start, line_end) they lie in, the latest start of several.
+
+    A point lies behind a range's first line and up to its last. Both sides meet by their keys, a file's say.
+    """
+    r = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], "name", F.col("line_start").alias("_from"), F.col("line_end").alias("_to"))
+    on = reduce(lambda a, k: a & (F.col(k) == F.col(f"_{k}")), keys, (F.col("_from") < F.col("line")) & (F.col("line") <= F.col("_to")))
+    met = points.join(r, on, "left")
+    return met.groupBy(*points.columns).agg(F.max_by("name", "_from").alias("name"))

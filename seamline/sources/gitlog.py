@@ -13,6 +13,10 @@ from .. import schema
 _FIELDS = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%s"
 
 
+#: Where an index keeps its files within a repository.
+OWN_FOLDER = ".seamline/"
+
+
 def run_git(root: str, *args: str) -> str:
     done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, errors="replace")
     if done.returncode:
@@ -50,16 +54,20 @@ def parse_log_files(lines: DataFrame) -> DataFrame:
     return lines.where(F.length("value") > 0).select(*[F.get(head, F.lit(i)).alias(n) for i, n in enumerate(names)], files.alias("files"))
 
 
+def changes(status: DataFrame, untracked: DataFrame) -> DataFrame:
+    """path, status of name-status lines and untracked paths (value, seq): the last field of a line is its path, untracked
+    files count as added, each path's first line counts, and the index's own folder is left out."""
+    fields = F.split("value", "\t")
+    tracked = status.where(F.size(fields) > 1).select(F.element_at(fields, -1).alias("path"), F.get(fields, F.lit(0)).alias("status"), F.struct(F.lit(0).alias("part"), "seq").alias("at"))
+    others = untracked.where(F.trim("value") != "").select(F.col("value").alias("path"), F.lit("A").alias("status"), F.struct(F.lit(1).alias("part"), "seq").alias("at"))
+    rows = tracked.unionByName(others).where(~F.contains(F.col("path"), F.lit(OWN_FOLDER)))
+    return rows.groupBy("path").agg(F.min_by("status", "at").alias("status"))
+
+
 def changed_files(spark: SparkSession, root: str, base_ref: str = "HEAD") -> DataFrame:
     """path, status against a ref; untracked files count as added, each path once."""
-    rows: dict[str, str] = {}
-    for line in run_git(root, "diff", "--name-status", base_ref).splitlines():
-        parts = line.split("\t")
-        if len(parts) > 1:
-            rows.setdefault(parts[-1], parts[0])
-    for path in run_git(root, "ls-files", "--others", "--exclude-standard").splitlines():
-        rows.setdefault(path, "A")
-    return spark.createDataFrame(list(rows.items()), "path string, status string")
+    lines = lambda *args: spark.createDataFrame([(v, i) for i, v in enumerate(run_git(root, *args).splitlines())], "value string, seq long")
+    return changes(lines("diff", "--name-status", base_ref), lines("ls-files", "--others", "--exclude-standard"))
 
 
 def snapshot(root: str, ref: str, into: str) -> str:

@@ -93,9 +93,19 @@ def source_files(spark: SparkSession, root: str, *, ignore_folders: list[str] =
     return rows.select("path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), tx.line_count(content).alias("line_count"), content.alias("content"))
 
 
+def is_document(path: Column, ignore_folders: list[str] = IGNORED) -> Column:
+    """Whether a path is one of the documents that tell about a repository."""
+    named = reduce(lambda a, g: a | path.rlike(glob_regex(g)), DOCUMENTS, F.lit(False))
+    return named & ~path_ignored(path, list(ignore_folders), [])
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """path, content, title, snippet of documents (path, content as text)."""
+    content = F.col("content")
+    return rows.select("path", "content", tx.title(content, F.col("path")).alias("title"), tx.compact_snippet(content).alias("snippet"))
+
+
 def document_files(spark: SparkSession, root: str, *, ignore_folders: list[str] = IGNORED) -> DataFrame:
     """path, content, title, snippet of READMEs, change logs and the texts below docs and the like."""
-    wanted = lambda path: reduce(lambda a, g: a | path.rlike(glob_regex(g)), DOCUMENTS, F.lit(False)) & ~path_ignored(path, list(ignore_folders), [])
-    rows = _binary(spark, root, wanted)
-    content = F.decode("content", "UTF-8")
-    return rows.select("path", content.alias("content"), tx.title(content, F.col("path")).alias("title"), tx.compact_snippet(content).alias("snippet"))
+    rows = _binary(spark, root, lambda path: is_document(path, ignore_folders))
+    return described(rows.withColumn("content", F.decode("content", "UTF-8")))
