@@ -15,11 +15,11 @@ from pyspark.sql import types as T
 ROWS, BYTES = 2_000, 16 << 20
 
 
-def bounded(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """df, whose session hands its rows to Python in batches of at most so many rows and about BYTES bytes from now on."""
+def bounded(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
+    """df, whose session hands its rows to Python in batches of at most so many rows and about so many bytes from now on."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
@@ -43,7 +43,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
-def mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make: Callable[[pa.Array], list[pa.Array]], *, keep_source: bool = True, batch_rows: int = ROWS) -> DataFrame:
+def mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make: Callable[[pa.Array], list[pa.Array]], *, keep_source: bool = True, batch_rows: int = ROWS, batch_bytes: int = BYTES) -> DataFrame:
     """df with added columns, which make(a batch's values of source) gives; they replace columns of the same name."""
     names = [n for n, _ in added]
     passed = [c for c in df.columns if c not in names and (keep_source or c != source)]
@@ -52,7 +52,7 @@ def mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], make
         schema = schema.add(name, kind)
     extra = [] if source in passed else [F.col(f"`{source}`").alias("_source")]
     at = passed.index(source) if source in passed else len(passed)
-    rows = bounded(df.select(*[F.col(f"`{c}`") for c in passed], *extra), batch_rows)
+    rows = bounded(df.select(*[F.col(f"`{c}`") for c in passed], *extra), batch_rows, batch_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,8 +33,8 @@ LEXICON_WORDS, WORD_BYTES = 65_536, 32
 HELD_WORDS, HELD_CHARS = 200_000, 256
 #: Counts of words that a worker holds at once, in columns.
 HELD_ROWS = 1_000_000
-#: Texts of a batch, at most; its bytes are bounded too.
-BATCH_ROWS = 6_000
+#: Texts of a batch and about their bytes, at most: columns of words and ids take some ten times as much.
+BATCH_ROWS, BATCH_BYTES = 6_000, 4 << 20
 #: Fixed value: how a byte-level tokenizer of this kind cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -383,7 +383,7 @@ def _npy(array: np.ndarray) -> bytes:
 
 def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
     """word, n over all texts; a task adds up about HELD_ROWS rows of (word, n) before it sends them on."""
-    rows = bounded(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS)
+    rows = bounded(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS, BATCH_BYTES)
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def counted(texts: pa.Array) -> pa.Table:
@@ -502,7 +502,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, *, text_col: str = "te
         ids, bounds = encoder(tokenizer, lexicon).encode(texts)
         return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))]
 
-    return mapped(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make, batch_rows=BATCH_ROWS)
+    return mapped(docs, text_col, [("ids", T.ArrayType(T.IntegerType()))], make, batch_rows=BATCH_ROWS, batch_bytes=BATCH_BYTES)
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
@@ -527,7 +527,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon: str, *, text_co
         return [pa.array(np.diff(bounds)), pa.array([digest(raw[lo:hi]) for lo, hi in zip(at, at[1:])], pa.string()), pa.array(decoded, pa.string())]
 
     kinds = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return mapped(docs, text_col, kinds, make, keep_source=False, batch_rows=BATCH_ROWS)
+    return mapped(docs, text_col, kinds, make, keep_source=False, batch_rows=BATCH_ROWS, batch_bytes=BATCH_BYTES)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .batches import bounded, trimmed
-from .bpe import BATCH_ROWS, HELD_CHARS, PLAIN, Vocabulary, ids_by_parts
+from .bpe import BATCH_BYTES, BATCH_ROWS, HELD_CHARS, PLAIN, Vocabulary, ids_by_parts
 
 WINDOW, END_ID = 2048, 1
 #: Pieces of words whose ids a worker remembers; beyond it the memory starts anew.
@@ -76,7 +76,7 @@ def word_ids(path: str) -> WordIds:
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
     """Each text's full windows and its rest. _rank counts a task's pieces of one length; written, so that it stays."""
-    rows = bounded(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS)
+    rows = bounded(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), BATCH_ROWS, BATCH_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = word_ids(tokenizer), TaskContext.get().partitionId()
@@ -204,9 +204,11 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     for length, n in tally.groupBy("length").agg(F.sum("_n")).collect():
         counts[length] = n
     slots = Plan(counts, window).arrays()
-    # the tally has tasks x lengths rows, so both sides are dealt by task and length, never broadcast
-    before = tally.selectExpr("_task as _of", "length as _len", "sum(_n) over (partition by length order by _task) - _n as _before").hint("shuffle_hash")
-    ranked = pieces.join(before, (F.col("_task") == F.col("_of")) & (F.col("length") == F.col("_len"))).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_task", "_of", "_len", "_before")
+    # the tally has tasks x lengths rows, so both sides are dealt by task and length, never broadcast, into as many parts as tasks
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, 1 + (tally.agg(F.max("_task")).first()[0] or 0))
+    before = tally.selectExpr("_task as _of", "length as _len", "sum(_n) over (partition by length order by _task) - _n as _before")
+    before = before.repartition(parts, "_of", "_len").hint("shuffle_hash")
+    ranked = pieces.repartition(parts, "_task", "length").join(before, (F.col("_task") == F.col("_of")) & (F.col("length") == F.col("_len"))).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_task", "_of", "_len", "_before")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"]) + ", ids array<int>" * with_ids
-    return bounded(ranked).mapInArrow(trimmed(place), schema)
+    return bounded(ranked, size=BATCH_BYTES).mapInArrow(trimmed(place), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
