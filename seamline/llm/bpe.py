@@ -420,7 +420,8 @@ def count_words(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> D
 def build_lexicon(docs: DataFrame, tokenizer: str, *, text_col: str = "text", max_words: int = LEXICON_WORDS) -> str:
     """Compiles the most frequent words of all texts, at most max_words; returns the shared folder that holds the automaton."""
     spark = docs.sparkSession
-    counted = store.written(count_words(docs, tokenizer, text_col=text_col).where((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1)), "word-counts")
+    passing: list[str] = []
+    counted = store.written(count_words(docs, tokenizer, text_col=text_col).where((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1)), "word-counts", passing=passing)
     eighths = F.floor(8 * F.log2("n")).cast("int")  # some hundred different values at most
     least, room = None, max_words
     for eighth, many in sorted(counted.groupBy(eighths.alias("eighth")).count().collect(), reverse=True):
@@ -429,6 +430,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ma
             break
         least = eighth
     frequent = [] if least is None else [r.word for r in counted.where(eighths >= least).select("word").collect()]
+    store.remove_all(spark, passing)
     vocab = vocabulary(tokenizer)
     words = [w for w in frequent if w not in vocab.special]
     entries = sorted(zip(map(str.encode, words), vocab.merge_many(words)))

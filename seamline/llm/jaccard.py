@@ -208,7 +208,7 @@ def _list_chunk(percent: int):
     return run
 
 
-def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int, passing: list[str] | None = None) -> DataFrame:
     """LISTED rows of all sets; written. Hashes are shuffled once, in packed rows; places of shared ones once more."""
     size = docs.agg(F.sum(F.length(f"`{text_col}`"))).first()[0] or 0
     words = size / 6
@@ -244,13 +244,13 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int) -> D
     packed = rows.mapInArrow(trimmed(pack), PACKED)
     shared = packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count_bucket, PACKED)
     listed = shared.repartition(parts, "chunk").groupBy("chunk").applyInArrow(_list_chunk(percent), LISTED)
-    return store.written(listed, "prefixes")
+    return store.written(listed, "prefixes", passing=passing)
 
 
 # -- comparisons --------------------------------------------------------------
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, passing: list[str] | None = None) -> DataFrame:
     """_d1, _d2, _set (packed hashes) and _s0 to _s3 (parity sketch) of the documents with these ids (column _rep); written."""
     small = ids.count() <= BROADCAST_ROWS
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_rep"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(ids) if small else ids, "_rep", "left_semi")
@@ -264,13 +264,13 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=["_d1", "_d2", "_set", *SKETCH])
 
     made = bounded(rows).mapInArrow(trimmed(run), "_d1 long, _d2 long, _set binary, " + ", ".join(f"{c} long" for c in SKETCH))
-    return store.written(made.dropDuplicates(["_d1", "_d2"]), "compared-sets")
+    return store.written(made.dropDuplicates(["_d1", "_d2"]), "compared-sets", passing=passing)
 
 
 _EDGE = ["a1", "a2", "b1", "b2"]
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, sets: DataFrame, passing: list[str] | None = None) -> DataFrame:
     """pairs (_EDGE: two digests) with common, the size of their sets' intersection; written."""
     left = sets.select(F.col("_d1").alias("a1"), F.col("_d2").alias("a2"), F.col("_set").alias("_a"))
     right = sets.select(F.col("_d1").alias("b1"), F.col("_d2").alias("b2"), F.col("_set").alias("_b"))
@@ -287,7 +287,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _EDGE), pa.array(common, pa.int64())], names=[*_EDGE, "common"])
 
     joined = bounded(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select(*_EDGE, "_a", "_b"))
-    return store.written(joined.mapInArrow(trimmed(run), "a1 long, a2 long, b1 long, b2 long, common long"), "overlaps")
+    return store.written(joined.mapInArrow(trimmed(run), "a1 long, a2 long, b1 long, b2 long, common long"), "overlaps", passing=passing)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,16 +295,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of all neighbours, then the label's own label, until nothing changes.
     """
-    both = store.written(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct(), "edges")
-    labels = store.written(both.groupBy("x").agg(F.least("x", F.min("y")).alias("label")).withColumnRenamed("x", "v"), "labels")
+    spark, passing = edges.sparkSession, []
+    both = store.written(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct(), "edges", passing=passing)
+    old: list[str] = []
+    labels = store.written(both.groupBy("x").agg(F.least("x", F.min("y")).alias("label")).withColumnRenamed("x", "v"), "labels", passing=old)
     while True:
+        now: list[str] = []
         near = both.join(labels.withColumnRenamed("v", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("x", "v"), "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        step = store.written(step.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        step = store.written(step.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels", passing=now)
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("v", "label")
+        store.remove_all(spark, old)
+        old = now
         if not changed:
+            store.remove_all(spark, passing)
             return labels
 
 
@@ -341,20 +347,21 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = document_sets(docs, id_col, text_col)
     named = sets.where("_n > 0 and _id is not null")
     reps = store.written(named.groupBy("_d1", "_d2").agg(F.min("_id").alias("_rep")), "representatives")
-    listed = prefix_lists(docs, id_col, text_col, percent)
+    passing: list[str] = []  # tables that are gone when the groups are known
+    listed = prefix_lists(docs, id_col, text_col, percent, passing)
     listed = listed.dropDuplicates(["shingle", "d1", "d2"])
     typical = F.struct("typical", "n", "d1", "d2")
     hubs = listed.groupBy("shingle").agg(F.max(typical).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     placed = listed.join(hubs.select("shingle", F.col("hub.d1").alias("h1"), F.col("hub.d2").alias("h2")), "shingle")
-    placed = store.written(placed, "placed")
+    placed = store.written(placed, "placed", passing=passing)
 
     star = placed.where("d1 <> h1 or d2 <> h2").select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), "n").distinct()
-    star = store.written(star, "star")
+    star = store.written(star, "star", passing=passing)
     sized = placed.select("d1", "d2", "n").distinct()
     involved = sized.join(reps, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).select("_rep").distinct()
-    shingle_sets = _sets_of(docs, involved, id_col, text_col)
+    shingle_sets = _sets_of(docs, involved, id_col, text_col, passing)
     hub_size = sized.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("m"))
-    known = overlaps(star.select(*_EDGE), shingle_sets).join(star, _EDGE).join(hub_size, ["b1", "b2"])
+    known = overlaps(star.select(*_EDGE), shingle_sets, passing).join(star, _EDGE).join(hub_size, ["b1", "b2"])
     similar = F.expr(f"100 * common >= {percent} * (n + m - common)")
 
     rep = lambda side, name: reps.select(F.col("_d1").alias(f"{side}1"), F.col("_d2").alias(f"{side}2"), F.col("_rep").alias(name))
@@ -366,13 +373,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     here = placed.join(reps, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).join(labels, F.col("_rep") == F.col("v"), "left")
     here = here.join(known.select(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.col("b1").alias("h1"), F.col("b2").alias("h2"), "common"), ["d1", "d2", "h1", "h2"], "left")
-    here = store.written(here.select("shingle", "d1", "d2", "n", "pos", F.coalesce("label", "_rep").alias("grp"), F.coalesce("common", "n").alias("with_hub")), "grouped")
+    here = store.written(here.select("shingle", "d1", "d2", "n", "pos", F.coalesce("label", "_rep").alias("grp"), F.coalesce("common", "n").alias("with_hub")), "grouped", passing=passing)
     mixed = here.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("shingle")
     here = here.join(mixed, "shingle", "left_semi").join(shingle_sets.select(F.col("_d1").alias("d1"), F.col("_d2").alias("d2"), *SKETCH), ["d1", "d2"])
-    pairs = block_pairs(store.written(here, "lists"), percent)
-    pairs = store.written(pairs, "pairs")
-    across = overlaps(pairs.select(*_EDGE), shingle_sets).join(pairs, _EDGE).where(similar).select("x", "y")
+    pairs = block_pairs(store.written(here, "lists", passing=passing), percent)
+    pairs = store.written(pairs, "pairs", passing=passing)
+    across = overlaps(pairs.select(*_EDGE), shingle_sets, passing).join(pairs, _EDGE).where(similar).select("x", "y")
     merged = components(across)
+    store.remove_all(docs.sparkSession, passing)
 
     of_set = reps.join(labels, F.col("_rep") == F.col("v"), "left").select("_d1", "_d2", F.coalesce("label", "_rep").alias("grp"))
     of_set = of_set.join(merged.select(F.col("v").alias("grp"), F.col("label").alias("final")), "grp", "left").select("_d1", "_d2", F.coalesce("final", "grp").alias("component_id"))

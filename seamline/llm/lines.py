@@ -148,12 +148,14 @@ def dedup_lines(
         .where(F.length("_key") >= min_chars)
         .select("_batch", *_hashes(F.col("_key")))
     )
-    keys = store.written(keys, "line-keys", "_batch")
+    passing: list[str] = []
+    keys = store.written(keys, "line-keys", "_batch", passing=passing)
     runs = LineRuns(spark, min_docs)
     for batch in range(batches):
         runs.add(keys.where(F.col("_batch") == batch).select("_h1", "_h2"))
     frequent = runs.frequent()
     runs.close()
+    store.remove_all(spark, passing)
 
     mark = [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(7), text).alias("_t2")]
     lines = (

@@ -57,7 +57,11 @@ def _sections(items: Column) -> Column:
 
 def _matches(text: Column, pattern: str, good: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
     """array<struct(start, end, word)> (code points, end exclusive) of the pattern's leftmost matches whose group is good."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if group:
+        found = F.arrays_zip(whole.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
+    else:
+        found = F.transform(whole, lambda m: F.struct(m.alias("m"), m.alias("g")))
     pieces = F.zip_with(F.split(text, pattern, -1), found, lambda s, x: F.struct(s.alias("s"), x["m"].alias("m"), x["g"].alias("g")))
     none = F.array().cast("array<struct<start:int,end:int,word:string>>")
 

@@ -26,15 +26,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/seamline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends here and lost executors cost nothing before it."""
+def written(df: DataFrame, name: str, *partition_by: str, passing: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: lineage ends here and lost executors cost nothing before it.
+
+    The path joins `passing`, if given, for the caller to remove once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    if passing is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_all(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    while paths:
+        remove(spark, paths.pop())
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
