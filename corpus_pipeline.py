@@ -63,8 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read back."""
+    """All stages over documents, each one's result written and read back; a stage's documents go once the next has read them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = store.written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made: list[str] = []
+        docs = store.written(stage(spark, docs, sf_dir), name, passing=made)
+        store.remove_all(spark, read)
+        read = made
+    packed = store.written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    store.remove_all(spark, read)
+    return packed
