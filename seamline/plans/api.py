@@ -93,6 +93,13 @@ def explain(index: Index, name: str) -> DataFrame:
     return graph.dependencies(index.edges, _keys(index, name))
 
 
+def explained_imports(index: Index, name: str) -> DataFrame:
+    """import: what the files of symbols that match the name, loosely, bring in, each once."""
+    found = imports_for_files(index, search.find_symbols(index.symbols, name).select("path"))
+    shown = F.concat(F.col("module"), F.when(F.coalesce("name", F.lit("")) != "", F.concat(F.lit("."), "name")).otherwise(""), F.when(F.coalesce("alias", F.lit("")) != "", F.concat(F.lit(" as "), "alias")).otherwise(""))
+    return found.select(shown.alias("import")).distinct()
+
+
 def neighborhood(index: Index, name: str, depth: int = 1) -> DataFrame:
     return graph.traverse(index.edges, _keys(index, name), depth)
 

@@ -169,6 +169,34 @@ def incremental_edges(spark, sf_dir):
     return calls.select("source_key", "target_key")
 
 
+@_query(f"+s AS (SELECT path, q FROM sym UNION ALL SELECT path, a FROM {ADDED} t) SELECT path, q AS qualified_name FROM s", tables=LATER)
+def stream_index(spark, sf_dir):
+    """The same update, but the changed files come as a stream."""
+    from ..streaming import index as stream
+
+    before, after = _sources(spark, sf_dir), _sources(spark, sf_dir, True)
+    state = plan.status(before, after).where("status <> 'clean'").select("path")
+    changes = state.join(after.select("path", "language", "content"), "path", "left").select("path", "language", "content", F.lit(0).cast("long").alias("seq"))
+    folder = scratch.folder(spark, "stream-index")
+    changes.repartition(3).write.parquet(f"{folder}/changes")
+    stream.begin(index_of(spark, sf_dir), f"{folder}/index")
+    rows = spark.readStream.schema(stream.CHANGE).option("maxFilesPerTrigger", 2).parquet(f"{folder}/changes")
+    stream.follow(rows, f"{folder}/index", f"{folder}/checkpoint", once=True).awaitTermination()
+    return stream.current(spark, f"{folder}/index").symbols.select("path", "qualified_name")
+
+
+@query("SELECT 'gone' AS part, unnest(['files', 'symbols']) AS name UNION ALL SELECT 'left', 'evidence'")
+def clear_index(spark, sf_dir):
+    """A folder's index tables go, its memory stays."""
+    from ..sources import artifacts
+
+    folder, index = scratch.folder(spark, "cleared"), index_of(spark, sf_dir)
+    artifacts.export_tables({"files": index.files, "symbols": index.symbols, "evidence": index.errors}, folder)
+    gone = artifacts.clear_index(spark, folder)
+    left = [name for name in ("files", "symbols", "evidence") if artifacts.exists(spark, f"{folder}/{name}")]
+    return spark.createDataFrame([("gone", n) for n in gone] + [("left", n) for n in left], "part string, name string")
+
+
 @query(RESOLVED.replace(", defs AS", "+defs AS", 1) + """, gone AS (SELECT key FROM node_rows WHERE file_path IN (SELECT path FROM first_state WHERE k % 6 = 0)), again AS (SELECT key FROM gone WHERE starts_with(key, 'symbol:'))
 SELECT source_key, target_key, edge_type, count(*)::BIGINT AS n FROM edge_rows WHERE source_key NOT IN (SELECT key FROM gone) AND (target_key NOT IN (SELECT key FROM gone) OR target_key IN (SELECT key FROM again)) GROUP BY ALL""")
 def delete_files(spark, sf_dir):
@@ -249,6 +277,12 @@ def structural_callees(spark, sf_dir):
     return found.select("source_key", "target_key", "weight", F.concat_ws("|", arguments, meta("display"), meta("line")).alias("about"))
 
 
+@query("+found AS (SELECT DISTINCT path FROM (SELECT path FROM sym WHERE name ILIKE '%unused_1%' OR q ILIKE '%unused_1%' ORDER BY CASE WHEN name = 'unused_1' THEN 0 WHEN q = 'unused_1' THEN 1 WHEN name ILIKE 'unused_1%' THEN 2 ELSE 3 END, length(q), q LIMIT 50)) SELECT DISTINCT module || coalesce('.' || name, '') || coalesce(' as ' || alias, '') AS import FROM imp JOIN found USING (path)")
+def dependency_imports(spark, sf_dir):
+    """What files of loosely matching symbols import."""
+    return api.explained_imports(index_of(spark, sf_dir), "unused_1")
+
+
 @query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT q AS qualified_name, path, line_start FROM sym s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edge_rows e WHERE e.target_key = 'symbol:' || s.q AND e.edge_type IN ('CALLS', 'REFERENCES', 'HANDLES')) AND NOT (starts_with(name, '_') OR regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown') OR regexp_matches(lower(path), '(^|/)(tests?|spec|migrations?)/')) ORDER BY path, line_start, q LIMIT 200")
 def structural_dead(spark, sf_dir):
     return api.structural_query(index_of(spark, sf_dir), "dead:", 200).select("qualified_name", "path", "line_start")

@@ -261,6 +261,52 @@ def component_summary(m: Memory, topic: str, limit: int = 8) -> DataFrame:
     return all_.select(F.lit(topic).alias("component"), summary.alias("summary"), "commits", "authors", F.slice("files", 1, limit).alias("files"), F.array(*map(F.lit, related)).cast("array<string>").alias("related"))
 
 
+def impact(m: Memory, changed: DataFrame, max_related: int = 5) -> DataFrame:
+    """path, status, component, risk, reasons, owners, related, evidence of changed files (path, status): one plan over all.
+
+    Evidence of a file is what its path or its first changed files name, the newest five; its owners are the authors of
+    all such commits, three at most by commits and files, or, where there is none, of commits to its component.
+    """
+    named = m.evidence.select("source_type", "source_id", "author", "ts", "files", F.explode(F.array_union(F.slice("files", 1, 6), F.array(F.nullif(F.col("path"), F.lit(""))))).alias("_path")).where("_path is not null")
+    paths = changed.select("path").distinct()
+    met = named.join(paths, F.col("_path") == F.col("path")).drop("_path")
+    newest = Window.partitionBy("path").orderBy(F.desc(F.coalesce("ts", F.lit(""))), "source_id")
+    shown_ = met.withColumn("_n", F.row_number().over(newest)).where("_n <= 5").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "source_id"))), lambda s: s["source_id"]).alias("evidence"))
+    own = _owners(met.where("source_type = 'commit'").select("path", "author", "source_id"), "path")
+    touched = m.evidence.where("source_type = 'commit'").select("author", "source_id", F.explode("files").alias("_p")).select("author", "source_id", infer.component(F.col("_p")).alias("component"))
+    wide = changed.withColumn("component", infer.component(F.col("path")))
+    near = _owners(touched.join(wide.select("component").distinct(), "component", "left_semi").distinct(), "component").withColumnRenamed("owners", "_near")
+    pairs = m.relationships.where("cochange").select(F.regexp_replace("source_key", "^file:", "").alias("path"), F.regexp_replace("target_key", "^file:", "").alias("other"))
+    counted = pairs.join(paths, "path", "left_semi").groupBy("path", "other").agg(F.count(F.lit(1)).alias("_c"))
+    top = Window.partitionBy("path").orderBy(F.desc("_c"), "other")
+    related = counted.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= max_related).groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "other"))), lambda s: s["other"]).alias("related"))
+    rows = wide.join(shown_, "path", "left").join(own, "path", "left").join(near, "component", "left").join(related, "path", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"evidence": F.coalesce("evidence", none), "owners": F.coalesce("owners", "_near", none), "related": F.coalesce("related", none)})
+    risk, reasons = infer.impact_risk(F.col("status"), F.col("path"), F.size("owners"), F.size("related"), F.size("evidence"))
+    return rows.select("path", "status", "component", risk.alias("risk"), reasons.alias("reasons"), "owners", "related", "evidence")
+
+
+def _owners(rows: DataFrame, key: str) -> DataFrame:
+    """key and owners: the three authors with most commits, by name among equals."""
+    counted = rows.groupBy(key, "author").agg(F.count_distinct("source_id").alias("_c"))
+    top = Window.partitionBy(key).orderBy(F.desc("_c"), "author")
+    return counted.withColumn("_n", F.row_number().over(top)).where("_n <= 3").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "author"))), lambda s: s["author"]).alias("owners"))
+
+
+def impact_summary(found: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: files, high, medium, low, risk, baseline_tokens, optimized_tokens, summary of impact() and files (path, size_bytes)."""
+    kind = lambda k: F.sum(F.when(F.col("risk") == k, 1).otherwise(0)).alias(k)
+    told = F.length(F.to_json(F.struct("path", "risk", "owners", "related", "reasons")))
+    sized = found.join(files.select("path", "size_bytes"), "path", "left")
+    row = sized.agg(F.count(F.lit(1)).alias("files"), kind("high"), kind("medium"), kind("low"), memory.aggregate_risk(F.col("risk")).alias("risk"), F.ceil(F.coalesce(F.sum("size_bytes"), F.lit(0)) / 4).alias("_b"), F.ceil(F.coalesce(F.sum(told), F.lit(0)) / 4).alias("optimized_tokens"))
+    row = row.withColumn("baseline_tokens", F.greatest("_b", "optimized_tokens")).fillna(0, ["high", "medium", "low"])
+    saved = F.when(F.col("baseline_tokens") > 0, F.round((1 - F.col("optimized_tokens") / F.col("baseline_tokens")) * 100).cast("int")).otherwise(0)
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    summary = text(F.col("files"), " changed files analyzed: ", F.col("high"), " high, ", F.col("medium"), " medium, ", F.col("low"), " low risk. Estimated context savings: ", saved, "%.")
+    return row.drop("_b").withColumn("summary", F.when(F.col("files") > 0, summary).otherwise("No local changes were detected."))
+
+
 def collected(*parts: DataFrame) -> DataFrame:
     """Evidence of several answers (source_type, source_id, path): each once, at its first place."""
     numbered = [p.select("source_type", "source_id", "path").withColumn("seq", F.struct(F.lit(i).alias("part"), F.monotonically_increasing_id().alias("row"))) for i, p in enumerate(parts)]

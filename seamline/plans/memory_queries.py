@@ -216,6 +216,30 @@ def memory_component_summary(spark, sf_dir):
     return found.select("component", "summary", "commits", F.array_join("authors", "|").alias("authors"), F.array_join("files", "|").alias("files"))
 
 
+IMPACT = CM + f""", ch AS (SELECT path, component, CASE file_id % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'R100' WHEN 2 THEN 'A' ELSE 'M' END AS status FROM files), nm AS (SELECT sha, author, ts, unnest(files[1:6]) AS path FROM cm), sw AS (SELECT path, list(sha ORDER BY coalesce(ts, '') DESC, sha)[1:5] AS evidence FROM nm GROUP BY path),
+oc AS (SELECT path, author, count(DISTINCT sha) AS c FROM nm GROUP BY ALL), ow AS (SELECT path, list(author ORDER BY c DESC, author)[1:3] AS owners FROM oc GROUP BY path), kc AS (SELECT component, author, count(DISTINCT sha) AS c FROM commit_files GROUP BY ALL), kw AS (SELECT component, list(author ORDER BY c DESC, author)[1:3] AS near FROM kc GROUP BY component),
+pc AS (SELECT a AS path, b AS other, count(*) AS c FROM (SELECT a, unnest(fs) AS b FROM (SELECT files[1:30] AS fs, unnest(files[1:30]) AS a FROM cm)) WHERE a <> b GROUP BY ALL), rt AS (SELECT path, list(other ORDER BY c DESC, other)[1:5] AS related FROM pc GROUP BY path),
+im AS (SELECT ch.*, coalesce(evidence, []) AS evidence, coalesce(owners, near, []) AS owners, coalesce(related, []) AS related FROM ch LEFT JOIN sw USING (path) LEFT JOIN ow USING (path) LEFT JOIN kw USING (component) LEFT JOIN rt USING (path)),
+sr AS (SELECT *, CASE substr(status, 1, 1) WHEN 'D' THEN 3 WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(path), '{_in(infer.SENSITIVE)}') THEN 4 ELSE 0 END + CASE WHEN len(owners) > 0 THEN 1 ELSE 2 END + least(3, len(related)) + CASE WHEN len(evidence) > 0 THEN 1 ELSE 0 END AS score FROM im),
+ir AS (SELECT *, CASE WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS risk FROM sr)"""
+
+
+def _impact(spark, sf_dir) -> DataFrame:
+    key = F.col("file_id") % 4
+    changed = ad.files(spark, sf_dir).select("path", F.when(key == 0, "D").when(key == 1, "R100").when(key == 2, "A").otherwise("M").alias("status"))
+    return mi.impact(memory_of(spark, sf_dir), changed)
+
+
+@query(IMPACT + " SELECT path, status, component, risk, array_to_string(owners, '|') AS owners, array_to_string(related, '|') AS related, array_to_string(evidence, '|') AS evidence FROM ir")
+def impact_report(spark, sf_dir):
+    return _impact(spark, sf_dir).drop("reasons").withColumns({c: F.array_join(c, "|") for c in ("owners", "related", "evidence")})
+
+
+@query(IMPACT + " SELECT count(*)::BIGINT AS files, count(*) FILTER (WHERE risk = 'high')::BIGINT AS high, count(*) FILTER (WHERE risk = 'medium')::BIGINT AS medium, count(*) FILTER (WHERE risk = 'low')::BIGINT AS low, CASE WHEN bool_or(risk = 'high') THEN 'high' WHEN bool_or(risk = 'medium') THEN 'medium' ELSE 'low' END AS risk FROM ir")
+def impact_summary(spark, sf_dir):
+    return mi.impact_summary(_impact(spark, sf_dir), ad.files(spark, sf_dir)).select("files", "high", "medium", "low", "risk")
+
+
 @query("SELECT o_orderkey % 50 AS source_id, max(o_orderkey) AS value, min(o_orderkey) AS place FROM orders GROUP BY ALL", canonical=False)
 def collected_evidence(spark, sf_dir):
     """Evidence met several times: the last value at the first place."""

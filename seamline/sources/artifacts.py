@@ -146,3 +146,26 @@ def load_snapshot(spark: SparkSession, folder: str, sha: str) -> dict[str, DataF
     if not found or found.get("schema_version") != SNAPSHOT_VERSION or found.get("sha") != sha or not found.get("tables"):
         return None
     return import_tables(spark, f"{folder}/{sha}", found["tables"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def clear_index(spark: SparkSession, folder: str, keep: list[str] = ("evidence", "entities", "relationships")) -> list[str]:
+    """Removes an index's tables from a folder, but not those of its memory; returns what was removed."""
+    fs, target = _fs(spark, folder)
+    gone = []
+    if fs.exists(target):
+        for status in fs.listStatus(target):
+            name = status.getPath().getName()
+            if name not in keep:
+                fs.delete(status.getPath(), True)
+                gone.append(name)
+    return sorted(gone)
