@@ -6,6 +6,7 @@ import fnmatch
 import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -38,21 +39,57 @@ def language(path: Column, enabled: list[str] | None = None) -> Column:
     return F.element_at(F.create_map(*pairs), ending) if pairs else F.lit(None).cast("string")
 
 
-def _listed(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
-    """uri, path below root, size, time in milliseconds of all files: names only, also those that Spark's readers hide (_*, .*)."""
-    parsed = urlparse(root)
+def _walk(uri: str, below: str, deep: bool) -> Iterator[tuple[str, str, int, int, bool]]:
+    """uri, path (with `below` before it), size, milliseconds, is a folder: of a folder's entries, or of all files under it.
+
+    Also what Spark's readers hide (_*, .*); links are left out.
+    """
+    join = lambda *parts: "/".join(p for p in parts if p)
+    parsed = urlparse(uri)
     if parsed.scheme in ("", "file"):
-        base = unquote(parsed.path) if parsed.scheme else os.path.abspath(root)
-        found = [os.path.join(folder, name) for folder, _, names in os.walk(base) for name in names]
-        return [(p, os.path.relpath(p, base), s.st_size, int(s.st_mtime * 1000)) for p in sorted(found) if not os.path.islink(p) and (s := os.stat(p))]
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, files, out = fs.getFileStatus(path).getPath().toString().rstrip("/"), fs.listFiles(path, True), []
-    while files.hasNext():
-        status = files.next()
-        uri = status.getPath().toString()
-        out.append((uri, uri[len(base) + 1 :], status.getLen(), status.getModificationTime()))
-    return sorted(out)
+        for entry in sorted(os.scandir(unquote(parsed.path) if parsed.scheme else uri), key=lambda e: e.name):
+            if entry.is_symlink():
+                continue
+            if entry.is_dir() and deep:
+                yield from _walk(entry.path, join(below, entry.name), True)
+            else:
+                stat = entry.stat()
+                yield entry.path, join(below, entry.name), stat.st_size, int(stat.st_mtime * 1000), entry.is_dir()
+        return
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    head = uri[: len(uri) - len(path.strip("/"))] if path.strip("/") else uri
+    for info in sorted(system.get_file_info(fs.FileSelector(path, recursive=deep)), key=lambda i: i.path):
+        folder = info.type == fs.FileType.Directory
+        if folder and deep:
+            continue
+        millis = int(info.mtime.timestamp() * 1000) if info.mtime else 0
+        yield head + info.path.strip("/"), join(below, info.path[len(path) :].strip("/")), info.size or 0, millis, folder
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """FOUND rows of all files below root: the driver lists two levels of folders, tasks list what is below them."""
+    base = root if urlparse(root).scheme else os.path.abspath(root)
+    files, folders = [], [(base, "")]
+    for _ in range(2):
+        entries = [e for uri, below in folders for e in _walk(uri, below, False)]
+        files += [e[:4] for e in entries if not e[4]]
+        folders = [(e[0], e[1]) for e in entries if e[4]]
+    here = spark.createDataFrame(files, FOUND)
+    if not folders:
+        return here
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("uri", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("millis", pa.int64())])
+        for batch in batches:
+            for uri, below in zip(batch.column("uri").to_pylist(), batch.column("below").to_pylist()):
+                found = _walk(uri, below, True)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in list(zip(*part))[:4]], schema=schema)
+
+    spread = spark.createDataFrame(folders, "uri string, below string").repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism))
+    return here.union(spread.mapInArrow(run, FOUND))
 
 
 def _content(uri: str) -> bytes:
@@ -72,8 +109,7 @@ READ = "path string, length long, modificationTime timestamp, content binary"
 
 def _binary(spark: SparkSession, root: str, wanted) -> DataFrame:
     """path, length, modificationTime, content of files that wanted(path column) keeps; workers read what is kept."""
-    listed = spark.createDataFrame(_listed(spark, root), FOUND)
-    kept = listed.where(wanted(F.col("path")))
+    kept = _listed(spark, root).where(wanted(F.col("path")))
     spread = kept.repartition(spark.sparkContext.defaultParallelism, "path").withColumn("modificationTime", F.timestamp_millis("millis"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,3 +296,16 @@ def test_watch(spark, tmp_path):
     events = watch.relevant(watch.source_events(spark, str(tmp_path / "in")))
     watch.watch(events, lambda batch, n: seen.extend(r.path for r in batch.collect()), str(tmp_path / "ck"), once=True).awaitTermination(60)
     assert [os.path.basename(p) for p in seen] == ["a.py"]
+
+
+def test_scan_lists_below_two_levels_in_tasks(spark, tmp_path):
+    paths = ["a.py", "x/b.py", "x/y/c.py", "x/y/z/w/d.py", "x/_hidden/.e.py", "node_modules/q/r/f.py", "u/v/w/é.py"]
+    for p in paths:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    (tmp_path / "x" / "link.py").symlink_to(tmp_path / "a.py")
+    rows = {r.path: r.content for r in scan.source_files(spark, "file://" + str(tmp_path)).collect()}
+    assert rows == {p: p for p in paths if "node_modules" not in p}
+    assert names(scan.source_files(spark, str(tmp_path)), "path") == sorted(rows)
+    (tmp_path / "empty").mkdir()
+    assert scan.source_files(spark, str(tmp_path / "empty")).count() == 0
