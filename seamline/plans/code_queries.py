@@ -103,7 +103,7 @@ def http_requests(spark, sf_dir):
 # -- the graph ------------------------------------------------------------------
 
 #: What names resolve to: the symbol itself where a file has it, else where a name or qualified name is the same.
-RESOLVED = """, defs AS (SELECT name, q, m, length(q) AS size FROM sym), names_used AS (
+RESOLVED = """+defs AS (SELECT name, q, m, length(q) AS size FROM sym), names_used AS (
   SELECT DISTINCT m, target AS name FROM called UNION SELECT DISTINCT m, parent FROM inh UNION SELECT DISTINCT m, name FROM refd UNION SELECT DISTINCT f.m, i.name FROM imp i JOIN (SELECT DISTINCT path, m FROM first_state) f USING (path) WHERE i.name <> ''
 ), known AS (
   SELECT u.m, u.name, arg_min(d.q, (CASE WHEN d.m = u.m THEN 0 ELSE 1 END, d.size, d.q)) AS q FROM names_used u JOIN defs d ON d.name = u.name GROUP BY ALL
@@ -127,12 +127,12 @@ RESOLVED = """, defs AS (SELECT name, q, m, length(q) AS size FROM sym), names_u
   ))"""
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT key, type, label, file_path FROM node_rows")
+@query(RESOLVED + " SELECT key, type, label, file_path FROM node_rows")
 def index_nodes(spark, sf_dir):
     return index_of(spark, sf_dir).nodes.select("key", "type", "label", "file_path")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT source_key, target_key, edge_type, weight, count(*)::BIGINT AS n FROM edge_rows GROUP BY ALL")
+@query(RESOLVED + " SELECT source_key, target_key, edge_type, weight, count(*)::BIGINT AS n FROM edge_rows GROUP BY ALL")
 def index_edges(spark, sf_dir):
     return index_of(spark, sf_dir).edges.groupBy("source_key", "target_key", "edge_type", "weight").agg(F.count(F.lit(1)).alias("n"))
 
@@ -197,7 +197,7 @@ def clear_index(spark, sf_dir):
     return spark.createDataFrame([("gone", n) for n in gone] + [("left", n) for n in left], "part string, name string")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + """, gone AS (SELECT key FROM node_rows WHERE file_path IN (SELECT path FROM first_state WHERE k % 6 = 0)), again AS (SELECT key FROM gone WHERE starts_with(key, 'symbol:'))
+@query(RESOLVED + """, gone AS (SELECT key FROM node_rows WHERE file_path IN (SELECT path FROM first_state WHERE k % 6 = 0)), again AS (SELECT key FROM gone WHERE starts_with(key, 'symbol:'))
 SELECT source_key, target_key, edge_type, count(*)::BIGINT AS n FROM edge_rows WHERE source_key NOT IN (SELECT key FROM gone) AND (target_key NOT IN (SELECT key FROM gone) OR target_key IN (SELECT key FROM again)) GROUP BY ALL""")
 def delete_files(spark, sf_dir):
     index = index_of(spark, sf_dir)
@@ -222,7 +222,7 @@ def all_symbols(spark, sf_dir):
     return api.all_symbols(index_of(spark, sf_dir)).select("qualified_name", "name", "kind", "path")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + ", w AS (SELECT 'symbol:' || q AS key FROM sym WHERE kind = 'CLASS' UNION SELECT 'module:json' UNION SELECT 'symbol:nothing') SELECT n.key, n.type, n.label, s.q AS qualified_name FROM node_rows n JOIN w USING (key) LEFT JOIN sym s ON n.key = 'symbol:' || s.q")
+@query(RESOLVED + ", w AS (SELECT 'symbol:' || q AS key FROM sym WHERE kind = 'CLASS' UNION SELECT 'module:json' UNION SELECT 'symbol:nothing') SELECT n.key, n.type, n.label, s.q AS qualified_name FROM node_rows n JOIN w USING (key) LEFT JOIN sym s ON n.key = 'symbol:' || s.q")
 def node_lookup(spark, sf_dir):
     index = index_of(spark, sf_dir)
     classes = index.symbols.where("kind = 'CLASS'").select(F.concat(F.lit("symbol:"), "qualified_name").alias("key"))
@@ -249,12 +249,12 @@ def imports_search(spark, sf_dir):
     return api.structural_query(index_of(spark, sf_dir), "imports:brand3", 500).select("path", "module", "name", "alias", "line_number")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT key, label, file_path FROM node_rows WHERE type = 'ROUTE' ORDER BY file_path NULLS FIRST, label, key LIMIT 100")
+@query(RESOLVED + " SELECT key, label, file_path FROM node_rows WHERE type = 'ROUTE' ORDER BY file_path NULLS FIRST, label, key LIMIT 100")
 def route_list(spark, sf_dir):
     return api.route_list(index_of(spark, sf_dir)).select("key", "label", "file_path")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT key, label, file_path FROM node_rows WHERE type = 'ROUTE' AND (label ILIKE '%items/1%' OR file_path ILIKE '%items/1%') ORDER BY file_path NULLS FIRST, label, key LIMIT 50")
+@query(RESOLVED + " SELECT key, label, file_path FROM node_rows WHERE type = 'ROUTE' AND (label ILIKE '%items/1%' OR file_path ILIKE '%items/1%') ORDER BY file_path NULLS FIRST, label, key LIMIT 50")
 def route_search(spark, sf_dir):
     return api.structural_query(index_of(spark, sf_dir), "route:items/1").select("key", "label", "file_path")
 
@@ -269,7 +269,7 @@ def source_outline(spark, sf_dir):
 SEARCHED = """, hits AS (SELECT q FROM sym WHERE name ILIKE '%unused_1%' OR q ILIKE '%unused_1%' OR coalesce(docstring, '') ILIKE '%unused_1%' ORDER BY CASE WHEN name = 'unused_1' THEN 0 WHEN q = 'unused_1' THEN 1 WHEN name ILIKE 'unused_1%' THEN 2 ELSE 3 END, length(q), q LIMIT 50)"""
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + SEARCHED + " SELECT source_key, target_key, weight, about FROM edge_rows WHERE edge_type = 'CALLS' AND source_key IN (SELECT 'symbol:' || q FROM hits) ORDER BY weight DESC, source_key, target_key LIMIT 1000")
+@query(RESOLVED + SEARCHED + " SELECT source_key, target_key, weight, about FROM edge_rows WHERE edge_type = 'CALLS' AND source_key IN (SELECT 'symbol:' || q FROM hits) ORDER BY weight DESC, source_key, target_key LIMIT 1000")
 def structural_callees(spark, sf_dir):
     found = api.structural_query(index_of(spark, sf_dir), "callees:unused_1", 1000)
     meta = lambda name: F.get_json_object("metadata", f"$.{name}")
@@ -283,24 +283,24 @@ def dependency_imports(spark, sf_dir):
     return api.explained_imports(index_of(spark, sf_dir), "unused_1")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT q AS qualified_name, path, line_start FROM sym s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edge_rows e WHERE e.target_key = 'symbol:' || s.q AND e.edge_type IN ('CALLS', 'REFERENCES', 'HANDLES')) AND NOT (starts_with(name, '_') OR regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown') OR regexp_matches(lower(path), '(^|/)(tests?|spec|migrations?)/')) ORDER BY path, line_start, q LIMIT 200")
+@query(RESOLVED + " SELECT q AS qualified_name, path, line_start FROM sym s WHERE kind IN ('FUNCTION', 'METHOD') AND NOT EXISTS (SELECT 1 FROM edge_rows e WHERE e.target_key = 'symbol:' || s.q AND e.edge_type IN ('CALLS', 'REFERENCES', 'HANDLES')) AND NOT (starts_with(name, '_') OR regexp_matches(lower(name), 'main|handler|route_|describe_|it_|test_|setup|teardown') OR regexp_matches(lower(path), '(^|/)(tests?|spec|migrations?)/')) ORDER BY path, line_start, q LIMIT 200")
 def structural_dead(spark, sf_dir):
     return api.structural_query(index_of(spark, sf_dir), "dead:", 200).select("qualified_name", "path", "line_start")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT e.source_key, e.target_key, e.edge_type, e.weight, CASE WHEN e.edge_type = 'HANDLES' THEN 0.95::DOUBLE ELSE 0.78::DOUBLE END AS confidence FROM edge_rows e LEFT JOIN node_rows s ON s.key = e.source_key LEFT JOIN node_rows t ON t.key = e.target_key WHERE e.edge_type IN ('HTTP_CALLS', 'HANDLES') ORDER BY e.weight DESC, s.label, t.label, e.source_key, e.target_key LIMIT 100")
+@query(RESOLVED + " SELECT e.source_key, e.target_key, e.edge_type, e.weight, CASE WHEN e.edge_type = 'HANDLES' THEN 0.95::DOUBLE ELSE 0.78::DOUBLE END AS confidence FROM edge_rows e LEFT JOIN node_rows s ON s.key = e.source_key LEFT JOIN node_rows t ON t.key = e.target_key WHERE e.edge_type IN ('HTTP_CALLS', 'HANDLES') ORDER BY e.weight DESC, s.label, t.label, e.source_key, e.target_key LIMIT 100")
 def http_confidence(spark, sf_dir):
     return api.http_confidence(index_of(spark, sf_dir)).select("source_key", "target_key", "edge_type", "weight", "confidence")
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + """, seeds AS (SELECT 'symbol:' || q AS key FROM sym WHERE name ILIKE '%Part7%' OR q ILIKE '%Part7%' ORDER BY CASE WHEN name = 'Part7' THEN 0 WHEN q = 'Part7' THEN 1 WHEN name ILIKE 'Part7%' THEN 2 ELSE 3 END, length(q), q LIMIT 50),
+@query(RESOLVED + """, seeds AS (SELECT 'symbol:' || q AS key FROM sym WHERE name ILIKE '%Part7%' OR q ILIKE '%Part7%' ORDER BY CASE WHEN name = 'Part7' THEN 0 WHEN q = 'Part7' THEN 1 WHEN name ILIKE 'Part7%' THEN 2 ELSE 3 END, length(q), q LIMIT 50),
 pairs AS (SELECT source_key AS a, target_key AS b FROM edge_rows UNION SELECT target_key, source_key FROM edge_rows), one AS (SELECT DISTINCT b AS key FROM pairs JOIN seeds ON seeds.key = a)
 SELECT key, 0 AS dist FROM seeds UNION ALL SELECT key, 1 FROM one WHERE key NOT IN (SELECT key FROM seeds)""")
 def symbol_neighborhood(spark, sf_dir):
     return api.neighborhood(index_of(spark, sf_dir), "Part7", 1)
 
 
-@query(RESOLVED.replace(", defs AS", "+defs AS", 1) + " SELECT e.edge_type, e.source_key, e.target_key, s.label AS source_label, t.label AS target_label, ss.q AS source_symbol, ss.kind AS source_symbol_kind, ts.q AS target_symbol, ts.line_start AS target_line, count(*)::BIGINT AS n FROM edge_rows e LEFT JOIN node_rows s ON s.key = e.source_key LEFT JOIN node_rows t ON t.key = e.target_key LEFT JOIN sym ss ON s.key = 'symbol:' || ss.q LEFT JOIN sym ts ON t.key = 'symbol:' || ts.q GROUP BY ALL")
+@query(RESOLVED + " SELECT e.edge_type, e.source_key, e.target_key, s.label AS source_label, t.label AS target_label, ss.q AS source_symbol, ss.kind AS source_symbol_kind, ts.q AS target_symbol, ts.line_start AS target_line, count(*)::BIGINT AS n FROM edge_rows e LEFT JOIN node_rows s ON s.key = e.source_key LEFT JOIN node_rows t ON t.key = e.target_key LEFT JOIN sym ss ON s.key = 'symbol:' || ss.q LEFT JOIN sym ts ON t.key = 'symbol:' || ts.q GROUP BY ALL")
 def wide_edges(spark, sf_dir):
     wide = api.wide_edges(index_of(spark, sf_dir))
     rows = wide.select("edge_type", "source_key", "target_key", "source_label", "target_label", F.col("source_qualified_name").alias("source_symbol"), "source_symbol_kind", F.col("target_qualified_name").alias("target_symbol"), F.col("target_line_start").alias("target_line"))

@@ -11,7 +11,6 @@ from .code_queries import RESOLVED, _sources, index_of
 from .memory_queries import CM, _hits, memory_of
 from .registry import query
 
-CODE = RESOLVED.replace(", defs AS", "+defs AS", 1)
 Q = "unused_14"
 #: Symbols that a search for Q and two hops reach, ranked; then taken in order while they fit into 300 tokens.
 RANKED = f""", hits AS (SELECT q FROM sym WHERE name ILIKE '%{Q}%' OR q ILIKE '%{Q}%' OR coalesce(docstring, '') ILIKE '%{Q}%' ORDER BY CASE WHEN name = '{Q}' THEN 0 WHEN q = '{Q}' THEN 1 WHEN name ILIKE '{Q}%' THEN 2 ELSE 3 END, length(q), q LIMIT 50
@@ -29,12 +28,12 @@ RANKED = f""", hits AS (SELECT q FROM sym WHERE name ILIKE '%{Q}%' OR q ILIKE '%
 ), taken AS (SELECT unnest(arg_max(kept, n)) AS q FROM fold)"""
 
 
-@query(CODE + RANKED + " SELECT q AS qualified_name, path, line_start, score::DOUBLE AS score, tokens FROM ranked JOIN taken USING (q)", recursive=True, tables=code_tables.SQL)
+@query(RESOLVED + RANKED + " SELECT q AS qualified_name, path, line_start, score::DOUBLE AS score, tokens FROM ranked JOIN taken USING (q)", recursive=True, tables=code_tables.SQL)
 def retrieval(spark, sf_dir):
     return composites.retrieve(index_of(spark, sf_dir), Q, max_tokens=300).select("qualified_name", "path", "line_start", "score", "tokens")
 
 
-@query(CODE + RANKED + """, folders AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS f FROM ranked JOIN taken USING (q)), o AS (SELECT sum(tokens)::BIGINT AS o FROM ranked JOIN taken USING (q)), b AS (SELECT coalesce(sum(ceil(length(content) / 4.0)), 0)::BIGINT AS b FROM first_state WHERE kind <> 'ignored' AND EXISTS (SELECT 1 FROM folders WHERE starts_with(path, f || '/')))
+@query(RESOLVED + RANKED + """, folders AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS f FROM ranked JOIN taken USING (q)), o AS (SELECT sum(tokens)::BIGINT AS o FROM ranked JOIN taken USING (q)), b AS (SELECT coalesce(sum(ceil(length(content) / 4.0)), 0)::BIGINT AS b FROM first_state WHERE kind <> 'ignored' AND EXISTS (SELECT 1 FROM folders WHERE starts_with(path, f || '/')))
 SELECT greatest(b, o) AS baseline_tokens, o AS optimized_tokens, round((1 - o / greatest(b, o)::DOUBLE) * 100, 4) AS savings_percent FROM b, o""", recursive=True, tables=code_tables.SQL)
 def retrieval_tokens(spark, sf_dir):
     index = index_of(spark, sf_dir)
@@ -55,7 +54,7 @@ def text_search_rank(spark, sf_dir):
     return found.select("path", F.round("score", 6).alias("score"), F.col("line_start").cast("int").alias("line_start"))
 
 
-@query(TEXTS.replace("SELECT path, round(18", "SELECT path, round(18"), tables=code_tables.SQL)
+@query(TEXTS, tables=code_tables.SQL)
 def retrieval_fallback(spark, sf_dir):
     """No symbol holds the words, so texts are searched."""
     found = composites.retrieve(index_of(spark, sf_dir), "test price").where("kind = 'FILE'")
