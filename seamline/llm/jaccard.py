@@ -92,24 +92,13 @@ def prefix_length(percent: int, n: np.ndarray) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _n, _d1, _d2 of each row: size and digest of its set; written."""
-    rows = bounded(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column("_text").to_pylist()]
-            digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1]))], names=["_id", "_n", "_d1", "_d2"])
-
-    return store.written(rows.mapInArrow(trimmed(run), "_id long, _n long, _d1 long, _d2 long"), "sets")
-
-
 # -- frequencies and prefixes -------------------------------------------------
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 PACKED = "bucket long, chunk long, kind int, a binary, b binary, c binary"
 COLD, HOT_NAMES, HOT_PLACES, TABLE = range(4)
+#: Marks a document's row among those of lists, whose `typical` is positive.
+DOCUMENT = -1.0
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -121,8 +110,8 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
 
 
-def _pack_chunk(chunk: int, sets: list[np.ndarray], digests: list[tuple[int, int]], bits: int, hot_from: int) -> Iterator[dict]:
-    hashes = np.concatenate(sets)
+def _pack_chunk(chunk: int, sets: list[np.ndarray], digests: list[tuple[int, int]], documents: list[tuple], bits: int, hot_from: int) -> Iterator[dict]:
+    hashes = np.concatenate([np.empty(0, np.uint64), *sets])
     places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
     order = np.argsort(hashes, kind="stable")
     hashes, places = hashes[order], places[order]
@@ -130,7 +119,7 @@ def _pack_chunk(chunk: int, sets: list[np.ndarray], digests: list[tuple[int, int
     counts = np.diff(np.append(first, len(hashes)))
     hot = np.repeat(counts >= hot_from, counts)
     passed = -1 - chunk  # a group of its own takes what only passes through to its chunk
-    yield {"bucket": passed, "chunk": chunk, "kind": TABLE, "a": np.array(digests, np.int64).tobytes(), "b": np.array([len(s) for s in sets], np.int64).tobytes(), "c": b""}
+    yield {"bucket": passed, "chunk": chunk, "kind": TABLE, "a": np.array(digests, np.int64).tobytes(), "b": np.array([len(s) for s in sets], np.int64).tobytes(), "c": np.array(documents, np.int64).tobytes()}
     shift = np.uint64(64 - bits)
     names = hashes[first[counts >= hot_from]]
     if hot.any():
@@ -184,14 +173,17 @@ LISTED = "shingle long, d1 long, d2 long, n long, pos long, typical double"
 
 def _list_chunk(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one chunk: each set's prefix shingles that others have, with their places in the global order."""
+        """Of one chunk: each set's prefix shingles that others have, with their places in the global order, and a row for each document (typical: DOCUMENT, pos: its id)."""
         kinds = table.column("kind").to_pylist()
         a, b, c = (table.column(x).to_pylist() for x in "abc")
         at = kinds.index(TABLE)
         digests, n = np.frombuffer(a[at], np.int64).reshape(-1, 2), np.frombuffer(b[at], np.int64)
+        known, ident, size, d1, d2 = np.frombuffer(c[at], np.int64).reshape(-1, 5).T.copy()
+        none = np.zeros(len(known), np.int64)
+        documents = pa.Table.from_arrays([pa.array(none), pa.array(d1), pa.array(d2), pa.array(size), pa.array(ident, mask=known == 0), pa.array(np.full(len(known), DOCUMENT))], schema=_LISTED)
         rows = [i for i, k in enumerate(kinds) if k in (COLD, HOT_PLACES)]
         if not rows:
-            return _LISTED.empty_table()
+            return documents
         shingle = np.concatenate([np.frombuffer(a[i], np.uint64) for i in rows])
         place = np.concatenate([np.frombuffer(b[i], np.uint16) for i in rows]).astype(np.int64)
         number = np.concatenate([np.frombuffer(c[i], np.int32) if kinds[i] == COLD else np.full(len(b[i]) // 2, FREQUENT, np.int32) for i in rows])
@@ -203,48 +195,56 @@ def _list_chunk(percent: int):
         weight = np.bincount(place, np.minimum(number, 1_000_000), len(n)) / np.maximum(n, 1)
         keep = pos < prefix_length(percent, n)[place]
         place = place[keep]
-        return pa.Table.from_arrays([pa.array(v) for v in (shingle[keep].view(np.int64), np.ascontiguousarray(digests[place, 0]), np.ascontiguousarray(digests[place, 1]), n[place], pos[keep], weight[place])], schema=_LISTED)
+        found = pa.Table.from_arrays([pa.array(v) for v in (shingle[keep].view(np.int64), np.ascontiguousarray(digests[place, 0]), np.ascontiguousarray(digests[place, 1]), n[place], pos[keep], weight[place])], schema=_LISTED)
+        return pa.concat_tables([documents, found])
 
     return run
 
 
-def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int, passing: list[str] | None = None) -> DataFrame:
-    """LISTED rows of all sets; written. Hashes are shuffled once, in packed rows; places of shared ones once more."""
+def prefix_lists(docs: DataFrame, id_col: str, text_col: str, percent: int, passing: list[str]) -> tuple[DataFrame, DataFrame]:
+    """_id, _n, _d1, _d2 of each document (size and digest of its set), and LISTED rows of all sets; both written.
+
+    Texts are read and hashed once; hashes are shuffled once, in packed rows, and places of shared ones once more.
+    """
     size = docs.agg(F.sum(F.length(f"`{text_col}`"))).first()[0] or 0
     words = size / 6
     bits = max(3, int(np.ceil(np.log2(max(1.0, words / BUCKET_WORDS)))))
     hot_from = int(min(256, max(2, BUCKET_PLACES / max(1.0, words / CHUNK_SHINGLES))))
     # buckets and chunks have about equal sizes, whatever the corpus: one partition for each, or for a few small ones
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, 1 << bits)
-    rows = bounded(docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("_text")))
+    rows = bounded(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         held: dict[tuple[int, int], np.ndarray] = {}
+        documents: list[tuple] = []
         total = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            out = list(_pack_chunk(task << 24 | made, list(held.values()), list(held), bits, hot_from))
+            out = list(_pack_chunk(task << 24 | made, list(held.values()), list(held), documents, bits, hot_from))
             for at in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist(out[at : at + 64], schema=_PACKED)
 
         for batch in batches:
-            for text in batch.column("_text").to_pylist():
+            for ident, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
                 own = shingles(text)
-                if not len(own) or (digest := _digest(own)) in held:
-                    continue
-                held[digest] = own
-                total += len(own)
-                if total >= CHUNK_SHINGLES or len(held) >= CHUNK_DOCS:
+                digest = _digest(own)
+                documents.append((ident is not None, ident or 0, len(own), *digest))
+                if ident is not None and len(own) and digest not in held:
+                    held[digest] = own
+                    total += len(own)
+                if total >= CHUNK_SHINGLES or len(held) >= CHUNK_DOCS or len(documents) >= 4 * CHUNK_DOCS:
                     yield from flushed()
-                    held, total, made = {}, 0, made + 1
-        if held:
+                    held, documents, total, made = {}, [], 0, made + 1
+        if documents:
             yield from flushed()
 
     packed = rows.mapInArrow(trimmed(pack), PACKED)
     shared = packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count_bucket, PACKED)
     listed = shared.repartition(parts, "chunk").groupBy("chunk").applyInArrow(_list_chunk(percent), LISTED)
-    return store.written(listed, "prefixes", passing=passing)
+    listed = store.written(listed, "prefixes", passing=passing)
+    documents = listed.where(F.col("typical") == DOCUMENT).select(F.col("pos").alias("_id"), F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
+    return store.written(documents, "sets"), listed.where(F.col("typical") != DOCUMENT)
 
 
 # -- comparisons --------------------------------------------------------------
@@ -344,11 +344,10 @@ def block_pairs(listed: DataFrame, percent: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """A row for each of docs: _id, n_shingles, component_id (the smallest id that links reach)."""
-    sets = document_sets(docs, id_col, text_col)
+    passing: list[str] = []  # tables that are gone when the groups are known
+    sets, listed = prefix_lists(docs, id_col, text_col, percent, passing)
     named = sets.where("_n > 0 and _id is not null")
     reps = store.written(named.groupBy("_d1", "_d2").agg(F.min("_id").alias("_rep")), "representatives")
-    passing: list[str] = []  # tables that are gone when the groups are known
-    listed = prefix_lists(docs, id_col, text_col, percent, passing)
     listed = listed.dropDuplicates(["shingle", "d1", "d2"])
     typical = F.struct("typical", "n", "d1", "d2")
     hubs = listed.groupBy("shingle").agg(F.max(typical).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
