@@ -64,8 +64,11 @@ def slug_name(text: Column, size: int = 48) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Values of credential-like assignments, and bearer tokens, replaced."""
-    return F.regexp_replace(F.regexp_replace(text, SECRET_ASSIGNMENT, "$1$2[REDACTED]$3"), BEARER, "$1[REDACTED]")
+    """Values of credential-like assignments, and bearer tokens, replaced; the patterns run only where their words stand."""
+    low = F.lower(text)
+    named = F.contains(low, F.lit("api")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("password"))
+    clean = F.when(named, F.regexp_replace(text, SECRET_ASSIGNMENT, "$1$2[REDACTED]$3")).otherwise(text)
+    return F.when(F.contains(low, F.lit("bearer")), F.regexp_replace(clean, BEARER, "$1[REDACTED]")).otherwise(clean)
 
 
 def file_query_terms(query: str) -> list[str]:

@@ -36,10 +36,12 @@ def hotspots(commit_files: DataFrame, limit: int = 25, *, newest: int | None = N
 
 
 def ownership(commit_files: DataFrame, limit: int = 10) -> DataFrame:
-    """author, commits, files, last_active, score of (sha, author, ts, path) rows, best first."""
-    found = commit_files.groupBy("author").agg(F.count_distinct("sha").alias("commits"), F.count_distinct("path").alias("files"), F.max("ts").alias("last_active"))
+    """author, commits, files, last_active, score of (sha, author, ts, path) rows, best first. A commit has one author."""
+    shas = commit_files.select("author", "sha", "ts").distinct().groupBy("author").agg(F.count_distinct("sha").alias("commits"), F.max("ts").alias("last_active"))
+    paths = commit_files.select("author", "path").distinct().groupBy("author").agg(F.count(F.lit(1)).alias("files"))
+    found = shas.join(paths, "author")
     found = found.withColumn("score", F.round(F.col("commits") * F.lit(2.0) + F.col("files") * F.lit(0.5), 6))
-    return found.orderBy(F.desc("score"), "author").limit(limit)
+    return found.select("author", "commits", "files", "last_active", "score").orderBy(F.desc("score"), "author").limit(limit)
 
 
 def cochange_pairs(commit_files: DataFrame, *, min_commits: int = 2, mode: str = "exact") -> DataFrame:

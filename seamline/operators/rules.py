@@ -21,16 +21,18 @@ class Rule:
     pattern: str
     unless: str | None = None
     confidence: float = 0.74
+    #: Lower-case texts of which every line that the pattern finds holds one: looked for before the pattern is tried.
+    hints: tuple[str, ...] = ()
 
 
 #: The rules' patterns.
 RULES = [
-    Rule("possible-secret", "high", ("python", "javascript"), r"(?i)\b([A-Za-z0-9_]*(?:api[_-]?key|secret|token|password)[A-Za-z0-9_]*)\b\s*[:=]\s*['\"]([^'\"]{8,})['\"]", confidence=0.82),
-    Rule("python-requests-without-timeout", "medium", ("python",), r"\brequests\.(get|post|put|patch|delete|request)\s*\(", r"timeout\s*="),
-    Rule("shell-true", "high", ("python",), r"\bsubprocess\.[A-Za-z_]+\([^#\n]*shell\s*=\s*True"),
-    Rule("dynamic-code-execution", "high", ("python", "javascript"), r"\b(eval|exec)\s*\("),
-    Rule("sql-string-interpolation", "high", ("python", "javascript"), r"\bexecute(?:Query)?\s*\(\s*(?:f['\"]|`|\w+\s*\+)"),
-    Rule("fetch-without-abort", "low", ("javascript",), r"\bfetch\s*\(", r"signal"),
+    Rule("possible-secret", "high", ("python", "javascript"), r"(?i)\b([A-Za-z0-9_]*(?:api[_-]?key|secret|token|password)[A-Za-z0-9_]*)\b\s*[:=]\s*['\"]([^'\"]{8,})['\"]", confidence=0.82, hints=("api", "secret", "token", "password")),
+    Rule("python-requests-without-timeout", "medium", ("python",), r"\brequests\.(get|post|put|patch|delete|request)\s*\(", r"timeout\s*=", hints=("requests.",)),
+    Rule("shell-true", "high", ("python",), r"\bsubprocess\.[A-Za-z_]+\([^#\n]*shell\s*=\s*True", hints=("subprocess.",)),
+    Rule("dynamic-code-execution", "high", ("python", "javascript"), r"\b(eval|exec)\s*\(", hints=("eval", "exec")),
+    Rule("sql-string-interpolation", "high", ("python", "javascript"), r"\bexecute(?:Query)?\s*\(\s*(?:f['\"]|`|\w+\s*\+)", hints=("execute",)),
+    Rule("fetch-without-abort", "low", ("javascript",), r"\bfetch\s*\(", r"signal", hints=("fetch",)),
 ]
 HARMLESS_VALUES = ["change_password", "updating_password", "admin_password", "fake_password", "fake_token", "test_password"]
 TEST_VALUES = ["fake", "dummy", "test", "password", "token", "secret"]
@@ -63,16 +65,21 @@ def _severity(rule: Rule, path: Column, config: RuleConfig) -> Column:
     return F.when(infer.is_test_for_rules(path), lower).otherwise(level) if config.tests_lower else F.lit(level)
 
 
+def _hinted(low: Column, rule: Rule) -> Column:
+    return reduce(lambda a, h: a | F.contains(low, F.lit(h)), rule.hints, F.lit(False)) if rule.hints else F.lit(True)
+
+
 def findings(files: DataFrame, *, rules: list[Rule] = RULES, config: RuleConfig | None = None, limit: int | None = None) -> DataFrame:
     """path, line_number, rule, severity, confidence, code of files (path, language, content); with a limit the first by path, line and rule.
 
-    A file's lines are exploded once; all rules are tried on a line in one pass, without a join.
+    A file's lines are exploded once; all rules are tried on a line in one pass, without a join, and patterns only where
+    a rule's hints stand.
     """
     config = config or RuleConfig()
     path, line = F.col("path"), F.col("line")
     tried = []
     for rule in rules:
-        hit = F.col("language").isin(list(rule.languages)) & line.rlike(rule.pattern)
+        hit = F.col("language").isin(list(rule.languages)) & _hinted(F.col("low"), rule) & line.rlike(rule.pattern)
         if rule.unless:
             hit = hit & ~line.rlike(rule.unless)
         if rule.id == "possible-secret":
@@ -81,8 +88,9 @@ def findings(files: DataFrame, *, rules: list[Rule] = RULES, config: RuleConfig
             if s.get("rule", "*") in ("*", rule.id):
                 hit = hit & ~glob(path, s.get("path", "*"))
         tried.append(F.when(hit, F.struct(F.lit(rule.id).alias("rule"), _severity(rule, path, config).alias("severity"), F.lit(rule.confidence).alias("confidence"))))
-    anything = reduce(lambda a, r: a | F.col("content").rlike(r.pattern), rules, F.lit(False))
-    lines = files.where(anything).select("path", "language", F.posexplode(tx.split_lines(F.col("content"))).alias("_at", "line"))
+    low = F.lower("content")
+    anything = reduce(lambda a, r: a | (_hinted(low, r) if r.hints else F.col("content").rlike(r.pattern)), rules, F.lit(False))
+    lines = files.where(anything).select("path", "language", F.posexplode(tx.split_lines(F.col("content"))).alias("_at", "line")).withColumn("low", F.lower("line"))
     found = lines.select("path", (F.col("_at") + 1).alias("line_number"), F.explode(F.array_compact(F.array(*tried))).alias("_f"), tx.redact(F.trim("line")).alias("code"))
     found = found.select("path", "line_number", "_f.*", "code")
     return found.orderBy("path", "line_number", "rule").limit(limit) if limit else found

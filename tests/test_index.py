@@ -309,3 +309,77 @@ def test_scan_lists_below_two_levels_in_tasks(spark, tmp_path):
     assert names(scan.source_files(spark, str(tmp_path)), "path") == sorted(rows)
     (tmp_path / "empty").mkdir()
     assert scan.source_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+@pytest.mark.parametrize("cut_first", [False, True])
+def test_greedy_budget_in_rounds(spark, cut_first):
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([0, 1, 2, 5, 9, 30, 60]), f"n{i}") for g in range(6) for i in rng.sample(range(100), rng.randrange(1, 60))]
+    want = {}
+    for g in range(6):
+        used, names, free = 0, [], 0
+        for _, i, cost, name in sorted(r for r in rows if r[0] == g):
+            if cost == 0:
+                free += 1
+            elif used + cost <= 40 or (cut_first and not names and cost > 40):
+                used, names = min(40, used + cost), names + [name]
+        want[g] = (len(names) + free, used, names)
+    df = spark.createDataFrame(rows, "g int, i int, cost int, name string").repartition(3)
+    got = rank.greedy_kept(df, "g", ["i"], "cost", 40, "name", cut_first=cut_first, chunk=4)
+    assert {r.g: (r.kept, r.used, r.names) for r in got.collect()} == want
+
+
+def test_resolution_prefers_module_then_length(spark):
+    symbols = spark.createDataFrame([("run", "a.b.run", "a.b"), ("run", "c.run", "c"), ("go", "x.y.Thing.go", "x.y"), ("load", "zz.load", "zz")], "name string, qualified_name string, module string")
+    refs = spark.createDataFrame([(1, "run", "a.b"), (2, "run", "q"), (3, "Thing.go", "q"), (4, "none", "q"), (5, "run", None), (6, "c.run", "a.b")], "ref_id int, name string, source_module string")
+    got = {r.ref_id: r.qualified_name for r in search.resolve(refs, symbols).collect()}
+    assert got == {1: "a.b.run", 2: "c.run", 3: "x.y.Thing.go", 4: None, 5: "c.run", 6: "c.run"}
+    many = spark.createDataFrame([("n", f"m{'x' * i}.k.n{i}.end", "far" if i == 20 else "m") for i in range(30)], "name string, qualified_name string, module string")
+    one = spark.createDataFrame([(1, "end", "far")], "ref_id int, name string, source_module string")
+    assert search.resolve(one, many).first().qualified_name == "m.k.n0.end"  # the module's own is not among the ten shortest
+
+
+def test_artifacts_are_checked(spark, tmp_path):
+    table = spark.createDataFrame([(i, {"a": str(i)}) for i in range(20)], "i int, m map<string,string>")
+    path = str(tmp_path / "out")
+    artifacts.export_index({"t": table}, path)
+    assert artifacts.import_index(spark, path, ["t"])["t"].count() == 20
+    into = str(tmp_path / "in")
+    assert artifacts.import_index(spark, path, ["t"], into)["t"].count() == 20
+    with pytest.raises(FileExistsError):
+        artifacts.import_index(spark, path, ["t"], into)
+    assert artifacts.import_index(spark, path, ["t"], into, overwrite=True)["t"].count() == 20
+    table.limit(19).write.mode("overwrite").parquet(f"{path}/t")
+    with pytest.raises(ValueError):
+        artifacts.import_index(spark, path, ["t"])
+    with pytest.raises(FileNotFoundError):
+        artifacts.import_index(spark, str(tmp_path / "nothing"), ["t"])
+
+
+def test_streamed_batches_are_taken_once(spark, index, tmp_path):
+    from seamline.streaming import index as stream
+
+    folder = str(tmp_path / "followed")
+    stream.begin(index, folder)
+    change = spark.createDataFrame([("app/new.py", "python", "def fresh():\n    return charge(1)\n", 0), ("app/api.py", "python", None, 1)], stream.CHANGE)
+    for _ in range(2):
+        stream.take(spark, folder, change, 0)
+    now = stream.current(spark, folder)
+    assert "app.new.fresh" in names(now.symbols, "qualified_name") and "app/api.py" not in names(now.files, "path")
+    assert artifacts.read_json(spark, f"{folder}/current.json") == {"version": 1, "batch": 0}
+    found = {(r.source_key, r.target_key) for r in now.edges.where("edge_type = 'CALLS'").collect()}
+    assert ("symbol:app.new.fresh", "symbol:app.payments.PaymentService.charge") in found
+    assert not any("app.api" in s for s, _ in found)
+
+
+def test_classification_moves_packages(tmp_path):
+    from seamline import config
+
+    (tmp_path / ".repolens.json").write_text(json.dumps({"classification": {"owned_prefixes": ["Six", "a"]}, "other": 1}))
+    assert config.classify(str(tmp_path), "six", "third-party").classification.third_party_packages == ("six",)
+    raw = json.loads((tmp_path / ".repolens.json").read_text())
+    assert raw["other"] == 1 and raw["classification"]["owned_prefixes"] == ["a"]
+    assert config.restore_classification(str(tmp_path), {"hide_packages": ["b", "B", " "]}).classification.hide_packages == ("b",)
+    for bad in (("", "owned"), ("x", "nothing")):
+        with pytest.raises(ValueError):
+            config.classify(str(tmp_path), *bad)
