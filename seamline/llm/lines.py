@@ -50,7 +50,8 @@ WHILE_WRITTEN = {
 def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
-        spark.conf.set(name, value)
+        listed = before[name] if name.endswith("excludedRules") else None
+        spark.conf.set(name, f"{listed},{value}" if listed else value)
     try:
         yield
     finally:
@@ -151,11 +152,13 @@ def dedup_lines(
     passing: list[str] = []
     keys = store.written(keys, "line-keys", "_batch", passing=passing)
     runs = LineRuns(spark, min_docs)
-    for batch in range(batches):
-        runs.add(keys.where(F.col("_batch") == batch).select("_h1", "_h2"))
-    frequent = runs.frequent()
-    runs.close()
-    store.remove_all(spark, passing)
+    try:
+        for batch in range(batches):
+            runs.add(keys.where(F.col("_batch") == batch).select("_h1", "_h2"))
+        frequent = runs.frequent()
+    finally:
+        runs.close()
+        store.remove_all(spark, passing)
 
     mark = [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(7), text).alias("_t2")]
     lines = (
