@@ -12,29 +12,37 @@ from seamline.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 #: A line's place among its text's lines must not be taken for characters to cut off it.
-TEXTS = ["0 zero\n1219 one edit 1\n2 two\n3 33 layout 3", "  # 0 heading \n 1 one \n\n\u00a0 4 four\u3000\nlayout", "a\r\n1 b\rc", "#\n11", "", None, " \n \n2", "x" * 690 + "\n1 y\u00a0 z"]
-NAMES = ["document_summary"]
+TEXTS = ["0 zero\n1219 one edit 1\n2 two\n3 33 layout 3", "  # 0 heading \n 1 one \n\n\u00a0 4 four\u3000\nlayout", "a\r\n1 b\rc", "#\n11", "", None, " \n \n2", "x" * 690 + "\n1 y\u00a0 z", "the word edi alone"]
+NAMES = ["document_summary", "memory_evidence"]
 
 
-@pytest.fixture(scope="module")
-def odd(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("texts")
+def linked(folder, but: str) -> str:
+    """The tables of DATA in a folder, without one."""
     for path in glob.glob(f"{DATA}/*.parquet"):
-        if "documents" not in path:
+        if os.path.basename(path) != f"{but}.parquet":
             os.symlink(path, folder / os.path.basename(path))
-    n = len(TEXTS)
-    pq.write_table(pa.table({"doc_id": list(range(n)), "text": TEXTS, "lang": ["en"] * n, "source": ["web"] * n, "n_chars": [len(t or "") for t in TEXTS]}), folder / "documents.parquet")
     return str(folder)
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_lines_keep_their_characters(spark, odd, name):
-    got, con = QUERIES[name](spark, odd).toArrow(), duckdb.connect()
-    for path in glob.glob(f"{odd}/*.parquet"):
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    folder, n = tmp_path_factory.mktemp("texts"), len(TEXTS)
+    pq.write_table(pa.table({"doc_id": list(range(n)), "text": TEXTS, "lang": ["en"] * n, "source": ["web"] * n, "n_chars": [len(t or "") for t in TEXTS]}), folder / "documents.parquet")
+    return linked(folder, "documents")
+
+
+def differences(spark, folder: str, name: str) -> tuple[list, list]:
+    """Rows of a query's SQL that its plan lacks, and those that it has besides."""
+    got, con = QUERIES[name](spark, folder).toArrow(), duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
         con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     con.register("got", got)
     con.sql(f"create table want as {SQL[name]}")
     columns = ", ".join(f'"{r[0]}"' for r in con.sql("describe want").fetchall())
-    missing = con.sql(f"select {columns} from want except all select {columns} from got").fetchall()
-    extra = con.sql(f"select {columns} from got except all select {columns} from want").fetchall()
-    assert (missing[:2], extra[:2]) == ([], [])
+    both = lambda a, b: con.sql(f"select {columns} from {a} except all select {columns} from {b}").fetchall()[:2]
+    return both("want", "got"), both("got", "want")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_lines_keep_their_characters(spark, odd, name):
+    assert differences(spark, odd, name) == ([], [])
