@@ -31,6 +31,14 @@ def odd(tmp_path_factory):
     return linked(folder, "documents")
 
 
+@pytest.fixture(scope="module")
+def untouched(tmp_path_factory):
+    """Commits that touch no file."""
+    folder = tmp_path_factory.mktemp("untouched")
+    pq.write_table(pq.read_table(f"{DATA}/lineitem.parquet").slice(0, 0), folder / "lineitem.parquet")
+    return linked(folder, "lineitem")
+
+
 def differences(spark, folder: str, name: str) -> tuple[list, list]:
     """Rows of a query's SQL that its plan lacks, and those that it has besides."""
     got, con = QUERIES[name](spark, folder).toArrow(), duckdb.connect()
@@ -46,3 +54,7 @@ def differences(spark, folder: str, name: str) -> tuple[list, list]:
 @pytest.mark.parametrize("name", NAMES)
 def test_lines_keep_their_characters(spark, odd, name):
     assert differences(spark, odd, name) == ([], [])
+
+
+def test_summary_of_commits_without_files(spark, untouched):
+    assert differences(spark, untouched, "memory_component_summary") == ([], [])
