@@ -13,7 +13,7 @@ from seamline.plans.catalog import QUERIES, SQL
 DATA = "/root/testdata/sf0.001"
 #: A line's place among its text's lines must not be taken for characters to cut off it.
 TEXTS = ["0 zero\n1219 one edit 1\n2 two\n3 33 layout 3", "  # 0 heading \n 1 one \n\n\u00a0 4 four\u3000\nlayout", "a\r\n1 b\rc", "#\n11", "", None, " \n \n2", "x" * 690 + "\n1 y\u00a0 z", "the word edi alone"]
-NAMES = ["document_summary", "memory_evidence", "memory_entities"]
+NAMES = ["document_summary", "memory_evidence", "memory_entities", "evidence_fallback"]
 
 
 def linked(folder, but: str) -> str:
