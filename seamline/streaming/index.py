@@ -27,7 +27,7 @@ def current(spark: SparkSession, folder: str) -> plan.Index:
 
 def begin(index: plan.Index, folder: str) -> None:
     spark = index.files.sparkSession
-    artifacts.export_tables(dict(vars(index)), f"{folder}/version=0", overwrite=True)
+    artifacts.export_tables({name: getattr(index, name) for name in plan.Index.__dataclass_fields__}, f"{folder}/version=0", overwrite=True)
     artifacts.write_json(spark, f"{folder}/current.json", {"version": 0, "batch": -1})
 
 
