@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seamline.plans import code_queries
+from seamline.plans import code_queries, memory_queries
 from seamline.sources import parsers
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +27,12 @@ def test_an_index_makes_what_is_asked(spark, monkeypatch):
     assert made(index) == {"parsed", "symbols"}
     code_queries.index_edges(spark, DATA).count()
     assert made(index) == {"parsed", "symbols", "edges"}
+
+
+def test_a_memory_makes_what_is_asked(spark, monkeypatch):
+    monkeypatch.setattr(memory_queries, "_MEMORIES", {})
+    memory = memory_queries.memory_of(spark, DATA)
+    memory_queries.evidence_refs(spark, DATA).count()
+    assert made(memory) == {"evidence"}
+    memory_queries.relationship_evidence(spark, DATA).count()
+    assert made(memory) == {"commits_read", "documents_read", "evidence"}
