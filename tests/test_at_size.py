@@ -33,3 +33,10 @@ def test_endings_meet_names_of_several_parts(spark):
     assert asked("g", "K.g", "x.K.g", "named", "none") == {"g": "b.K.g", "K.g": "b.K.g", "x.K.g": "c.x.K.g", "named": "d.K.named", "none": None}
     assert asked("named") == {"named": "d.K.named"}
     assert "_most" in _plan(search.resolve(spark.createDataFrame([("g", "z")], "name string, source_module string"), symbols))
+
+
+def test_component_edges_pass_once(spark):
+    links = spark.createDataFrame([("a", "b", "calls", f"e{i % 13:02}", f"r{i % 7}") for i in range(40)] + [("a", "a", "calls", "x", "y"), ("b", "a", "calls", "x", None)], "source_component string, target_component string, edge_type string, example string, reason string")
+    made = components.component_edges(links, 3, 2)
+    assert sorted(map(tuple, made.collect())) == [("a", "b", "calls", 40, "e00|e00|e00", "r0|r0"), ("b", "a", "calls", 1, "x", "")]
+    assert "Window" not in _plan(made) and "Join" not in _plan(made)
