@@ -15,6 +15,11 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_made_in_all_tasks(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert code_tables.sources(spark, DATA).rdd.getNumPartitions() == parts
+
+
 def test_names_resolved_once_serve_nodes_and_edges(spark):
     files = spark.createDataFrame(FILES, "path string, language string, content string")
     parsed = parsers.parse_files(files).cache()
