@@ -45,3 +45,18 @@ def test_component_edges_pass_once(spark):
     made = components.component_edges(links, 3, 2)
     assert sorted(map(tuple, made.collect())) == [("a", "b", "calls", 40, "e00|e00|e00", "r0|r0"), ("b", "a", "calls", 1, "x", "")]
     assert "Window" not in _plan(made) and "Join" not in _plan(made)
+
+
+def test_texts_are_lower_cased_once(spark):
+    rows = spark.createDataFrame([("Caching the API: load_ing Tests, Migration; file",)], "t string").select(infer.feature_terms(F.col("t")).alias("f"))
+    assert rows.first()["f"] == ["api", "caching", "load ing", "migration"]
+    assert _plan(rows).count("lower(") == 1
+
+
+def test_evidence_is_ranked_without_its_texts(spark):
+    rows = [("commit", str(i), "", "redis" if i % 3 else "plain", "timeout " * (i % 5), f"2024-01-{i % 28 + 1:02}") for i in range(60)]
+    evidence = spark.createDataFrame(rows, "source_type string, source_id string, path string, title string, snippet string, ts string")
+    found = [r["source_id"] for r in reports.search_evidence(evidence, "timeout", 7).collect()]
+    order = search.phrase_bm25(evidence, "source_id", reports.EVIDENCE_TEXT, "timeout").join(evidence, F.col("id") == F.col("source_id")).orderBy(F.desc("rank"), F.desc("ts"), "source_id")
+    assert found == [r["source_id"] for r in order.limit(7).collect()]
+    assert _plan(reports.search_evidence(evidence, "timeout", 7)).count("GlobalLimit") == 3  # of the best ids, of what holds words within others, of both
