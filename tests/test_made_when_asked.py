@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seamline.plans import code_queries, memory_queries
+from seamline.plans import code_queries, memory_index, memory_queries
 from seamline.sources import parsers
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +36,21 @@ def test_a_memory_makes_what_is_asked(spark, monkeypatch):
     assert made(memory) == {"evidence"}
     memory_queries.relationship_evidence(spark, DATA).count()
     assert made(memory) == {"commits_read", "documents_read", "evidence"}
+
+
+def test_decisions_are_the_entities_of_their_kind(spark):
+    commits = [("ab" * 20, "a", "a@b.c", "2024-01-01", "Migrate database schema", ["src/api/x.py"]), ("ab" * 20, "a", "a@b.c", "2024-01-02", "Migrate auth", ["src/api/y.py"]), ("cd" * 20, "a", None, "2024-01-01", "Fix typo", ["src/x/z.py"])]
+    documents = [("docs/adr/1.md", "# Use queues"), ("docs/adr/1.md", "# Use queues"), ("docs/release.md", "# One")]
+    m = memory_index.build(spark.createDataFrame(commits, "sha string, author string, email string, ts string, subject string, files array<string>"), spark.createDataFrame(documents, "path string, content string"))
+    rows = lambda df: sorted(map(str, df.select("key", "kind", "name", "summary", "confidence").collect()))
+    assert rows(m.decided) == rows(m.entities.where(F.col("kind") == memory_index.DECISION)) and m.decided.count() == 2
+
+
+def test_evidence_is_made_of_what_is_written(spark, monkeypatch):
+    monkeypatch.setattr(memory_queries, "_MEMORIES", {})
+    used = []
+    made_of = memory_index.evidence_of
+    monkeypatch.setattr(memory_index, "evidence_of", lambda c, d: used.append((c, d)) or made_of(c, d))
+    memory = memory_queries.memory_of(spark, DATA)
+    assert memory_index.relationship_evidence(memory).count() == memory.relationships.count()
+    assert [(c is memory.commits_read, d is memory.documents_read) for c, d in used] == [(True, True)]
