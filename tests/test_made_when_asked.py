@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seamline.plans import code_queries, memory_index, memory_queries
+from seamline.plans import api, code_queries, composites, memory_index, memory_queries
 from seamline.sources import parsers
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +38,18 @@ def test_a_memory_makes_what_is_asked(spark, monkeypatch):
     assert made(memory) == {"commits_read", "documents_read", "evidence"}
 
 
+def test_questions_that_no_symbol_answers_need_no_graph(spark, monkeypatch):
+    monkeypatch.setattr(code_queries, "_INDEXES", {})
+    monkeypatch.setattr(memory_queries, "_MEMORIES", {})
+    index, memory = code_queries.index_of(spark, DATA), memory_queries.memory_of(spark, DATA)
+    assert composites.compressed_context(memory, index, "migrate")["snippets"].count() == 0
+    assert made(index) == {"parsed", "symbols"}
+    assert made(memory) == {"evidence"}
+    none, some = (api.retrieve(index, word, max_tokens=300) for word in ("migrate", "unused_16"))
+    assert none.count() == 0 < some.count()
+    assert [(f.name, f.dataType) for f in none.schema] == [(f.name, f.dataType) for f in some.schema]
+
+
 def test_decisions_are_the_entities_of_their_kind(spark):
     commits = [("ab" * 20, "a", "a@b.c", "2024-01-01", "Migrate database schema", ["src/api/x.py"]), ("ab" * 20, "a", "a@b.c", "2024-01-02", "Migrate auth", ["src/api/y.py"]), ("cd" * 20, "a", None, "2024-01-01", "Fix typo", ["src/x/z.py"])]
     documents = [("docs/adr/1.md", "# Use queues"), ("docs/adr/1.md", "# Use queues"), ("docs/release.md", "# One")]
