@@ -1,5 +1,6 @@
 """How often an index's plans read, spread and sort their rows, and that what they leave out changes no result."""
 
+import ast
 
 from pyspark.sql import functions as F
 
@@ -23,3 +24,19 @@ def test_sources_are_spread_before_anything_is_made(spark):
     plan = _optimized(made)
     assert "Join" not in plan and "EndsWith" not in plan[plan.index("RepartitionByExpression") :]
     assert made.count() == sum(r["path"].endswith(".py") for r in code_tables.sources(spark, DATA).collect())
+
+
+def test_spread_files_are_not_spread_again(spark):
+    files = code_tables.sources(spark, DATA)
+    once, twice = parsers.parse_files(files, spread=True), parsers.parse_files(files)
+    assert _executed(once).count("Exchange") == 1
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+
+
+def test_statements_come_in_the_order_of_a_walk():
+    text = "try:\n    import a\nexcept E:\n    if x:\n        import b\nelse:\n    import c\nfinally:\n    import d\nmatch m:\n    case 1:\n        import e\nasync def f():\n    with g:\n        from h import i\n    x = lambda: [j for j in k if j]\nwhile l:\n    import n\nelse:\n    import o\n"
+    tree = ast.parse(text)
+    assert list(parsers._statements(tree)) == [n for n in ast.walk(tree) if isinstance(n, (ast.mod, ast.stmt, ast.ExceptHandler, ast.match_case))]
+    assert [r["module"] for r in parsers.parse_python("p.py", text)["imports"]] == [a.name if isinstance(n, ast.Import) else n.module for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
+    for node in ast.walk(tree):
+        assert parsers._children(node) == [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop))]
