@@ -40,3 +40,19 @@ def test_statements_come_in_the_order_of_a_walk():
     assert [r["module"] for r in parsers.parse_python("p.py", text)["imports"]] == [a.name if isinstance(n, ast.Import) else n.module for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
     for node in ast.walk(tree):
         assert parsers._children(node) == [c for c in ast.iter_child_nodes(node) if not isinstance(c, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop))]
+
+
+def test_symbols_are_sorted_once(spark):
+    files = spark.createDataFrame([*FILES, ("b.ts", "javascript", "class K {\n}\n")], "path string, language string, content string")
+    made = index.last_symbols(parsers.parse_files(files).cache())
+    assert _executed(made).split("InMemoryTableScan")[0].count("Sort [") == 1
+    assert {r["qualified_name"]: r["path"] for r in made.collect()} == {"a.f": "a.py", "b.K": "b.ts", "b.K.g": "b.py"}
+
+
+def test_popular_keys_are_written_once(spark):
+    files = spark.createDataFrame(FILES, "path string, language string, content string")
+    made = index.build(files, parsers.parse_files(files).cache())
+    assert "RepartitionByExpression [key" in _optimized(made.nodes) and "RepartitionByExpression [source_key" in _optimized(made.edges)
+    assert sorted(r["key"] for r in made.nodes.collect() if r["type"] in ("MODULE", "SYMBOL")) == ["module:a", "module:b", "module:os", "symbol_ref:h"]
+    used = _optimized(index.wanted_names(parsers.parse_files(files).cache()))
+    assert all("regexp_replace" not in line for line in used.splitlines() if "_r#" in line and "Project" in line)  # modules go by files, not by uses
