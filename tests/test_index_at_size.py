@@ -4,6 +4,7 @@ import ast
 
 from pyspark.sql import functions as F
 
+from seamline.operators import search
 from seamline.plans import code_tables, index
 from seamline.sources import parsers
 
@@ -56,3 +57,11 @@ def test_popular_keys_are_written_once(spark):
     assert sorted(r["key"] for r in made.nodes.collect() if r["type"] in ("MODULE", "SYMBOL")) == ["module:a", "module:b", "module:os", "symbol_ref:h"]
     used = _optimized(index.wanted_names(parsers.parse_files(files).cache()))
     assert all("regexp_replace" not in line for line in used.splitlines() if "_r#" in line and "Project" in line)  # modules go by files, not by uses
+
+
+def test_names_with_more_parts_than_asked_are_not_keys(spark):
+    symbols = spark.createDataFrame([("g", "b.K.g", "b"), ("g", "a.g", "a"), ("n", "n", None)], "name string, qualified_name string, module string")
+    asked = lambda rows: search.resolve(spark.createDataFrame(rows, "name string, source_module string"), symbols)
+    assert {(r["name"], r["source_module"]): r["qualified_name"] for r in asked([("g", "b"), ("g", "z"), ("g", None), ("n", None)]).collect()} == {("g", "b"): "b.K.g", ("g", "z"): "a.g", ("g", None): "a.g", ("n", None): "n"}
+    assert {r["name"]: r["qualified_name"] for r in asked([("b.K.g", "z"), ("K.g", "z")]).collect()} == {"b.K.g": "b.K.g", "K.g": "b.K.g"}
+    assert "isnotnull(module" not in _optimized(asked([("g", "b")]))  # else both uses of the keys would be made
