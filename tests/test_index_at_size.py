@@ -5,7 +5,7 @@ import ast
 from pyspark.sql import functions as F
 
 from seamline.operators import search
-from seamline.plans import code_tables, index
+from seamline.plans import api, code_tables, index
 from seamline.sources import parsers
 
 DATA = "/root/testdata/sf0.001"
@@ -65,3 +65,14 @@ def test_names_with_more_parts_than_asked_are_not_keys(spark):
     assert {(r["name"], r["source_module"]): r["qualified_name"] for r in asked([("g", "b"), ("g", "z"), ("g", None), ("n", None)]).collect()} == {("g", "b"): "b.K.g", ("g", "z"): "a.g", ("g", None): "a.g", ("n", None): "n"}
     assert {r["name"]: r["qualified_name"] for r in asked([("b.K.g", "z"), ("K.g", "z")]).collect()} == {"b.K.g": "b.K.g", "K.g": "b.K.g"}
     assert "isnotnull(module" not in _optimized(asked([("g", "b")]))  # else both uses of the keys would be made
+
+
+def test_wide_edges_join_a_side_once(spark):
+    frame = spark.createDataFrame
+    symbols = frame([("K.g", "g", "METHOD", "K", "def g", 1, 2), ("x", "x", "CLASS", "m", None, 3, 4)], "qualified_name string, name string, kind string, module string, signature string, line_start int, line_end int")
+    nodes = frame([("symbol:K.g", "METHOD", "g", "k.py"), ("module:m", "MODULE", "m", None)], "key string, type string, label string, file_path string")
+    edges = frame([("module:m", "symbol:K.g", "CONTAINS", "{}", 1.0), ("symbol:K.g", "symbol:x", "CALLS", "{}", 1.0), ("symbol:K.g", "symbol_ref:z", "CALLS", "{}", 1.0)], "source_key string, target_key string, edge_type string, metadata string, weight double")
+    made = api.wide_edges(index.Index(None, symbols, None, None, nodes, edges, None))
+    seen = {r["target_key"]: (r["source_label"], r["source_symbol_kind"], r["target_label"], r["target_path"], r["target_qualified_name"], r["target_line_start"]) for r in made.collect()}
+    assert seen == {"symbol:K.g": ("m", None, "g", "k.py", "K.g", 1), "symbol:x": ("g", "METHOD", None, None, "x", 3), "symbol_ref:z": ("g", "METHOD", None, None, None, None)}
+    assert _optimized(made).count("Join LeftOuter") == 2
