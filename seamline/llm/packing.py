@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ from .batches import bounded, trimmed
 from .bpe import BATCH_BYTES, BATCH_ROWS, HELD_CHARS, PLAIN, Vocabulary, ids_by_parts
 
 WINDOW, END_ID = 2048, 1
-#: Pieces of words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Pieces of words whose ids a worker remembers; beyond it the memory starts anew. What a task leaves with the worker, for
+#: its next task or another stage's, is fewer.
+REMEMBERED, LEFT = 250_000, 20_000
 #: Fixed value: how this kind of tokenizer cuts folded text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _task int, _rank long"
@@ -58,6 +59,11 @@ class WordIds:
         self.pieces.update((p, ids) for p, ids in made.items() if len(p) <= HELD_CHARS)
         return table
 
+    def forget(self) -> None:
+        """Remembers the first LEFT pieces alone; frequent ones come early."""
+        if len(self.pieces) > LEFT:
+            self.pieces = dict(islice(self.pieces.items(), LEFT))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin, with the end."""
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -105,6 +111,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col:
             if with_ids:
                 arrays["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(arrays)
+        words.forget()
 
     return store.written(rows.mapInArrow(trimmed(cut), PIECE + ", ids array<int>" * with_ids), "pieces")
 
