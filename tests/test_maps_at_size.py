@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from seamline.functions import infer
 from seamline.operators import components, lineage
-from seamline.plans import composites, context_queries, memory_index, memory_queries, scratch
+from seamline.plans import code_queries, composites, context_queries, memory_index, memory_queries, scratch
+from seamline.sources import parsers
 
 DATA = "/root/testdata/sf0.001"
 MANY = [f"src/m{i}/x.py" for i in range(40)]
@@ -60,6 +61,19 @@ def test_a_map_makes_no_evidence(spark, monkeypatch):
     assert newest == _rows(composites.commit_inventory(memory.evidence)) and len(newest) == memory.history.count()
 
 
+def test_a_comparison_parses_no_file_again(spark, monkeypatch):
+    index = code_queries.index_of(spark, DATA)
+    index.parsed.count()
+    monkeypatch.setattr(parsers, "parse_files", lambda *a, **b: 1 / 0)
+    part = code_queries.part_of(spark, DATA, "file_id % 9 = 4")
+    paths = lambda df: sorted(r["path"] for r in df.select("path").collect())
+    assert paths(part.parsed) == paths(part.files) and 0 < part.files.count() < index.files.count()
+    assert context_queries.build_compare(spark, DATA).first()["n"] > 0
+    monkeypatch.setattr(code_queries, "LEFT_OUT", 0)
+    shuffled = code_queries.part_of(spark, DATA, "file_id % 9 = 4")
+    assert paths(shuffled.parsed) == paths(part.parsed)
+
+
 def test_written_tables_leave_no_shuffle(spark):
     statuses = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
     tables = scratch.Tables(spark, "some", {"t": lambda: spark.range(1000).repartition(3, "id")}, {})
